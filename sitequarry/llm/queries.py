@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, edit_fingerprint, html_extract, quality, simhash, source_mix, suffix_dedup, topk_search
+from . import backoff_lm, curve_packing, edit_fingerprint, html_extract, quality, simhash, source_mix, suffix_dedup, topk_search
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
