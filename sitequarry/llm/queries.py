@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, curve_packing, edit_fingerprint, html_extract, quality, simhash, source_mix, suffix_dedup, topk_search
-from .common import table
+from . import backoff_lm, curve_packing, edit_fingerprint, html_extract, quality, simhash, source_mix, suffix_dedup, token_rollup, topk_search
+from .common import materialised, shared_folder, table
+from .tokens import public_path
 
 
 def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, all lose their repeated lines (a batch that is sent twice), and exact copies go again."""
+    versions = {"byte_bpe_50k": public_path("byte_bpe_50k.json"), "byte_bpe_multi_50k": public_path("byte_bpe_multi_50k.tiktoken")}
+    rows = materialised(token_rollup.counted(table(spark, sf_dir, "documents"), versions))
+    rollup = token_rollup.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-insert", token_rollup.inserts(rows))
+    changed = rows.where("tokens <> revised_tokens")
+    for _ in range(2):
+        rollup.commit("2-revise", token_rollup.revisions(changed, changed, "tokens", "revised_tokens"))
+    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    rollup.commit("3-delete", token_rollup.deletes(rows.join(first, "text_hash").where("doc_id > first_id"), "revised_tokens"))
+    return rollup.totals()
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 

@@ -15,8 +15,10 @@ A shard holds at most about `shard_words` words until a source has `max_shards`
 from __future__ import annotations
 
 import heapq
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,3 +125,43 @@ def taken_before(at: Column, block: int) -> Column:
     drawn = lambda k: F.expr("0L") + (F.floor((k * F.col("quota") + F.col("offset")) / F.col("blocks")) - F.floor(F.col("offset") / F.col("blocks")))
     k = F.floor(at / block)
     return F.when(F.col("blocks") > 0, drawn(k) * block + (drawn(k + 1) - drawn(k)) * (at - k * block)).otherwise(F.lit(0))
+
+
+def drawn_texts(text: str, start: int, quota: int, blocks: int, offset: int, block: int) -> list[str]:
+    """The text as often as the mix takes it: each time what is left of it when only the blocks drawn that often stay."""
+    spans = [m.span() for m in re.finditer(WORD, text)]
+    if not spans or not blocks:
+        return []
+    times = [((k + 1) * quota + offset) // blocks - (k * quota + offset) // blocks for k in range(start // block, (start + len(spans) - 1) // block + 1)]
+    out = []
+    for r in range(1, max(times) + 1):
+        if min(times) >= r:
+            out.append(text)
+            continue
+        runs: list[list[int]] = []
+        for i, n in enumerate(times):
+            first, end = max(0, (start // block + i) * block - start), min(len(spans), (start // block + i + 1) * block - start)
+            if n >= r:
+                if runs and runs[-1][1] == first:
+                    runs[-1][1] = end
+                else:
+                    runs.append([first, end])
+        out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mixed_texts(docs: DataFrame, mix_rows: DataFrame, *, block: int = 32) -> DataFrame:
+    """The columns of documents, a row for each time that a document is taken. Rows pair by id and size: of rows with equal
+    id and size, each has the draws of all."""
+    placed = mix_rows.where("taken > 0").select("doc_id", "size", "start", "quota", "blocks", "offset")
+    sized = docs.select("doc_id", "text", "lang", "source", word_count(F.col("text")).alias("words"))
+    joined = sized.join(placed.withColumnsRenamed({"doc_id": "id"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(d, t, lang, source) for d, text, lang, source, *draw in zip(*(c.to_pylist() for c in batch.columns)) for t in drawn_texts(text, *draw, block)]
+            columns = [*zip(*rows)] or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "text", "lang", "source"])
+
+    out = joined.select("doc_id", "text", "lang", "source", "start", "quota", "blocks", "offset").mapInArrow(run, "doc_id long, text string, lang string, source string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from itertools import islice
@@ -34,13 +35,18 @@ class ByteBpe:
     def __init__(self, path: str, cached: int = 400_000):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
         self.path, self.cached = path, cached
-        self.specials = [x["content"] for x in model["added_tokens"]]
-        byte, vocab = byte_of_char(), model["model"]["vocab"]
-        ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if piece not in self.specials}
-        self.kind = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
+        if path.endswith(".tiktoken"):
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(piece): int(i) for piece, i in map(bytes.split, f)}
+            self.specials = []
+        else:
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)
+            self.specials = [x["content"] for x in model["added_tokens"]]
+            byte = byte_of_char()
+            ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.specials}
+        self.kind = np.dtype("<u2" if len(ranks) + len(self.specials) < 65536 else "<u4")
         self.encode = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}
         self.library = None
