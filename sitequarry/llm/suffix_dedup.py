@@ -45,6 +45,8 @@ class Parser:
 
     def __init__(self, length: int, k: int, seed: int = 42):
         self.length, self.k = length, k
+        self.left = (length - k) // 2
+        self.right = length - k - max(0, self.left - 1)
         rng = np.random.default_rng(seed)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
         n = CHUNK + 2 * length
@@ -53,6 +55,11 @@ class Parser:
         self.up = np.cumprod(np.full(n, base, np.uint64))
         self.down = np.cumprod(np.full(n, back, np.uint64))
 
+    def _string(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of strings, in 32 bits, never 0."""
+        first = np.maximum(first, 0)
+        return (_mixed((sums[end] - sums[first]) * self.down[np.minimum(first, len(self.down) - 1)]) >> np.uint64(32)) | np.uint64(1)
+
     def chunks(self, texts: list[bytes]):
         """(buffer, doc, begin, first) of joined texts: buffer, and for each piece its document, its place in the buffer and in the text."""
         parts, doc, begin, first, used = [], [], [], [], 0
@@ -71,7 +78,7 @@ class Parser:
             yield b"".join(parts), doc, begin, first
 
     def phrases(self, texts: list[bytes], hold: bool = False):
-        """(trigger, phrase, doc, start, windows) of all phrases, in text order; with hold also a hash for each suffix."""
+        """(trigger, phrase, doc, start, windows, left, right) of all phrases, in text order; with hold also a hash for each suffix."""
         found: list[tuple] = []
         for data, doc, begin, first in self.chunks(texts):
             buffer = np.frombuffer(data, np.uint8)
@@ -102,14 +109,18 @@ class Parser:
             hi = np.flatnonzero(stops)
             at = trigger_at[lo]
             phrase = _mixed((sums[hi + length] - sums[lo]) * self.down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            # two windows at one place of their triggers are equal only if what lies left of the triggers is, or what lies right
+            left = np.where(at - lo >= self.left, self._string(sums, at - self.left, at), 0).astype(np.uint32)
+            right = np.where(hi + length - at - k >= self.right, self._string(sums, at + k, np.minimum(at + k + self.right, n)), 0).astype(np.uint32)
             piece = np.searchsorted(begins, lo, side="right") - 1
             suffixes = _mixed((sums[length:] - sums[:-length]) * self.down[: n - length + 1]) if hold else None
-            found.append((grams[at] >> np.uint64(16), phrase, np.array(doc)[piece], lo - begins[piece] + np.array(first)[piece], hi - lo + 1, (suffixes, lo)))
+            found.append((grams[at] >> np.uint64(16), phrase, np.array(doc)[piece], lo - begins[piece] + np.array(first)[piece], hi - lo + 1, left, right, (suffixes, lo)))
         if not found:
             zero = np.zeros(0, np.uint64)
-            return zero, zero, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        joined = [np.concatenate([f[i] for f in found]) for i in range(5)]
-        return *joined, [f[5] for f in found]
+            none = np.zeros(0, np.int64)
+            return zero, zero, none, none, none, none.astype(np.uint32), none.astype(np.uint32), []
+        joined = [np.concatenate([f[i] for f in found]) for i in range(7)]
+        return *joined, [f[7] for f in found]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
@@ -133,7 +144,7 @@ def _least_by(order: np.ndarray, change: np.ndarray, docs: np.ndarray) -> np.nda
 
 
 SHARED = "block int, keys binary"
-PHRASES = "range int, block int, keys binary, phrases binary, docs binary"
+PHRASES = "range int, block int, keys binary, phrases binary, docs binary, sides binary"
 SETTLED = "block int, range int, kind int, keys binary, phrases binary, docs binary"
 SUFFIXES = "range int, block int, keys binary, suffixes binary, docs binary"
 
@@ -168,36 +179,46 @@ class Passes:
         t, p = trigger[order], phrase[order]
         first = np.ones(len(order), bool)
         first[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
-        return t[first], p[first], doc[order][first]
+        return t[first], p[first], doc[order][first], np.stack([found[5][order][first], found[6][order][first]], axis=1)
 
     def ask_phrases(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows(PHRASES, [])
         block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
         got = [unpack48(x) for x in answers.column("keys").to_pylist()]
-        t, p, d = self._dictionary(ids, self.parser.phrases(texts), np.concatenate(got) if got else np.zeros(0, np.uint64))
-        return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), d[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
+        t, p, d, sides = self._dictionary(ids, self.parser.phrases(texts), np.concatenate(got) if got else np.zeros(0, np.uint64))
+        return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), d[s].tobytes(), sides[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
 
     def settled_phrases(self, asked: pa.Table) -> pa.Table:
-        """To each block, for its phrases: the least document with the phrase, and (kind 1) whether others have its trigger."""
+        """To each block, for its phrases: the least document with the phrase, and (kind 1) whether it is contested: another phrase
+        has its trigger and the same string on a side of it. What is neither contested nor in another block is left out."""
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
         keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
-        t, p = np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("phrases").to_pylist()])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in asked.column("docs").to_pylist()])
+        joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
+        t, p, d, sides = np.concatenate(keys), joined("phrases", np.uint64), joined("docs", np.int64), joined("sides", np.uint32).reshape(-1, 2)
         order = np.lexsort((p, t))
-        new_t, new_p = np.ones(len(order), bool), np.ones(len(order), bool)
-        new_t[1:] = t[order][1:] != t[order][:-1]
-        new_p[1:] = new_t[1:] | (p[order][1:] != p[order][:-1])
-        least = _least_by(order, new_p, d)
-        firsts = np.flatnonzero(new_t)
-        several = np.empty(len(order), bool)
-        several[order] = np.repeat(np.add.reduceat(new_p.astype(np.int64), firsts) > 1, np.diff(np.append(firsts, len(order))))
+        new = np.ones(len(order), bool)
+        new[1:] = (t[order][1:] != t[order][:-1]) | (p[order][1:] != p[order][:-1])
+        least = _least_by(order, new, d)
+        firsts = np.flatnonzero(new)
+        one = order[firsts]  # a row for each phrase
+        contested = np.zeros(len(one), bool)
+        for side in (0, 1):
+            value = sides[one, side]
+            by = np.lexsort((value, t[one]))
+            same = (t[one][by][1:] == t[one][by][:-1]) & (value[by][1:] == value[by][:-1]) & (value[by][1:] != 0)
+            contested[by[1:][same]] = True
+            contested[by[:-1][same]] = True
+        times = np.diff(np.append(firsts, len(order)))
+        several, told = np.empty(len(order), bool), np.empty(len(order), bool)
+        several[order] = np.repeat(contested, times)
+        told[order] = np.repeat(contested | (times > 1), times)
         out, at = [], 0
         for b, x in zip(blocks, keys):
             s = slice(at, at + len(x))
             at += len(x)
             for kind in (0, 1):
-                some = np.flatnonzero(several[s] == bool(kind))
+                some = np.flatnonzero(told[s] & (several[s] == bool(kind)))
                 if len(some):
                     out.append((b, own, kind, pack48(t[s][some]), p[s][some].tobytes(), least[s][some].tobytes()))
         return _rows(SETTLED, out)
@@ -237,7 +258,7 @@ class Passes:
         some = own[first[order]]
         asked = np.argsort(order)[same]  # of each occurrence in own, which of some has its suffixes
         suffixes, bounds, base = [], [], 0
-        for hashes, lo in found[5]:
+        for hashes, lo in found[7]:
             here = some[(some >= base) & (some < base + len(lo))] - base
             suffixes += [hashes[lo[i] : lo[i] + found[4][base + i]] for i in here.tolist()]
             base += len(lo)
@@ -271,10 +292,8 @@ class Passes:
         """The texts of a block and the removed spans of each."""
         ids, texts = _texts(docs)
         removed: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if not answers.num_rows:
-            return texts, removed
         found, settled = self.parser.phrases(texts, True), self._settled(answers)
-        if not len(settled[0]):
+        if not len(found[0]):
             return texts, removed
         at, own, asked, hashes, _, _, count = self._contested(ids, found, settled)
         order = np.argsort(hashes, kind="stable")
@@ -283,7 +302,14 @@ class Passes:
         for r, s in split_ranges(hashes[order], self.ranges, 64):
             smaller[order[s]] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=s.stop - s.start).astype(bool)
         doc, start, windows = found[2], found[3], found[4]
-        whole = np.flatnonzero((at >= 0) & (settled[2][at] < ids[doc]))
+        # a phrase of which no answer came is in this block alone
+        order = np.lexsort((found[1], found[0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (found[0][order][1:] != found[0][order][:-1]) | (found[1][order][1:] != found[1][order][:-1])
+        least = _least_by(order, new, ids[doc])
+        if len(settled[2]):
+            least = np.where(at >= 0, settled[2][at], least)
+        whole = np.flatnonzero(least < ids[doc])
         # suffixes that are set, in runs within their phrase
         count, begin = count[asked], (np.cumsum(count) - count)[asked]
         phrase = np.repeat(own, count)
