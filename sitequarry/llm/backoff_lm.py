@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, split_ranges
+from .blocks import by_block, from_planes, planes, split_ranges
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BEGIN, END = 0, 1  # token numbers; words follow
@@ -152,7 +152,7 @@ class BackoffAutomaton:
         return total
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 100.0, block_bytes: int = 6 << 20) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 100.0, block_bytes: int = 5 << 20) -> DataFrame:
     """Scores of every text under a model of the texts that aren't held out."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks, _ = by_block(read, block_bytes)
@@ -166,11 +166,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         none = slice(0, 0)  # every range is asked, so that each block learns the totals of all
         slices = [parts.get(r, none) for r in range(ranges)]
         block = table.column("block")[0].as_py()
-        return pa.table([pa.array(range(ranges), pa.int32()), pa.array([block] * ranges, pa.int32()), pa.array([keys[s].tobytes() for s in slices], pa.binary()), pa.array([counts[s].tobytes() for s in slices], pa.binary())], names=["range", "block", "keys", "counts"])
+        return pa.table([pa.array(range(ranges), pa.int32()), pa.array([block] * ranges, pa.int32()), pa.array([planes(keys[s]) for s in slices], pa.binary()), pa.array([planes(counts[s]) for s in slices], pa.binary())], names=["range", "block", "keys", "counts"])
 
     def tell(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        keys = [from_planes(x, np.uint64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([from_planes(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(unique), np.int64)
         np.add.at(total, inverse, counts)
@@ -179,7 +179,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         told = total[inverse].astype("<u4" if not len(total) or total.max() < 1 << 32 else "<u8")
         cuts = np.cumsum([0, *map(len, keys)])
         m = len(keys)
-        return pa.table([table.column("block"), pa.array([own] * m, pa.int32()), pa.array([told[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n] * m, pa.int64()), pa.array([v] * m, pa.int64())], names=["block", "range", "counts", "tokens", "words"])
+        return pa.table([table.column("block"), pa.array([own] * m, pa.int32()), pa.array([planes(told[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n] * m, pa.int64()), pa.array([v] * m, pa.int64())], names=["block", "range", "counts", "tokens", "words"])
 
     def read_through(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("doc_id").to_pylist()
@@ -189,7 +189,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         for r, told in zip(right.column("range").to_pylist(), right.column("counts").to_pylist()):
             if r in parts:
                 n = parts[r].stop - parts[r].start
-                total[parts[r]] = np.frombuffer(told, "<u4" if len(told) == 4 * n else "<u8")
+                total[parts[r]] = from_planes(told, "<u4" if len(told) == 4 * n else "<u8")
         by_order = np.empty(len(keys), np.int64)
         by_order[place] = total
         count = np.split(by_order, np.cumsum([*map(len, grams.key)])[:-1])

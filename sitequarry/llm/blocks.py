@@ -12,9 +12,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ASKED = "range int, block int, keys binary, more binary"
-
-
 def by_block(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """docs (doc_id, text, others) dealt to blocks of about block_bytes of text, and the number of blocks."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -30,11 +27,20 @@ def split_ranges(keys: np.ndarray, ranges: int, bits: int):
     return [(r, slice(a, b)) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane: what sorted or small values have in common then lies together, and Spark's codec packs it."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
 def pack48(keys: np.ndarray) -> bytes:
     """Keys of 48 bits in six bytes each."""
-    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+    return planes(keys)[: 6 * len(keys)]
 
 
 def unpack48(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, "<u2", n, n * 4).astype(np.uint64) << np.uint64(32))
+    return from_planes(data + bytes(len(data) // 3), np.uint64)

@@ -6,8 +6,8 @@ embeddings (the character at each step) differ in few places: edit distance beco
 samples the embedding: each slot has a fixed series of steps of growing distance and takes the last one inside the
 embedding, so texts of near lengths sample the same steps. A slot is one byte of a hash of (slot, step, character).
 
-near_duplicates() cuts fingerprints into bands of bit samples, links the documents that share a band with the smallest id
-of that band, and keeps the links whose fingerprints agree in enough slots.
+near_duplicates() cuts fingerprints into bands of bit samples and links the documents that share a band and whose
+fingerprints agree in enough slots.
 
 Defined results: null texts are empty; empty texts have the fingerprint of zeros; equal texts have equal fingerprints; a
 text shorter than four characters is its own edited text; rows with equal ids follow each other in the order of their texts;
@@ -141,15 +141,54 @@ def edited(walk: EditWalk, doc_id, text: str, starts: list[int], mark: np.ndarra
 
 
 def near_duplicates(prints: DataFrame, *, id_col: str = "doc_id", print_col: str = "fingerprint", bands: int = 16, least: float = 0.8) -> DataFrame:
-    """Links (a, b, likeness), a < b, between the smallest ids of different fingerprints, from bit-sampled bands.
-
-    Equal fingerprints count once, by their smallest id. Each band is a slice of the slots; the documents of a band link to
-    its smallest id, so a band of n documents makes n - 1 links at most."""
-    marks = materialised(prints.where(F.col(print_col).isNotNull()).groupBy(F.col(print_col).alias("mark")).agg(F.min(id_col).alias("id")))
-    width = F.length("mark") / bands
-    banded = marks.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).withColumn("key", F.xxhash64("band", F.substring("mark", (F.col("band") * width + 1).cast("int"), width.cast("int"))))
-    heads = banded.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(heads, "key").where(F.col("id") > F.col("head.id")).select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.mark").alias("x"), F.col("mark").alias("y")).distinct()
-    slots = F.sequence(F.lit(0), F.length("x") / 2 - 1).cast("array<int>")
-    same = F.aggregate(slots, F.lit(0), lambda n, i: n + F.when(F.substring(F.col("x"), i * 2 + 1, F.lit(2)) == F.substring(F.col("y"), i * 2 + 1, F.lit(2)), 1).otherwise(0))
-    return pairs.select("a", "b", (same / (F.length("x") / 2)).alias("likeness")).where(F.col("likeness") >= least)
+    """a, b, likeness, a < b: links that connect all fingerprints that share a band of bit samples and agree in `least` of the
+    slots. Equal fingerprints count once, by their smallest id. Only bands that several share are looked at again; a task gives
+    the verified links of its bands as a spanning forest, never as all pairs."""
+    marks = materialised(prints.where(F.col(print_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(print_col).alias("mark")).agg(F.min(id_col).alias("id")))
+    width = (F.length("mark") / bands).cast("int")
+    keyed = marks.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    keyed = keyed.select(F.xxhash64("band", F.substring(F.col("mark"), F.col("band") * width + 1, width)).alias("key"), "id")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = keyed.join(several, "key").join(marks, "id").select("key", "id", "mark")
+
+    def run(batches):
+        held: list[tuple] = []
+        for key, doc_id, mark in _rows(batches):
+            if held and key != held[0][0]:
+                yield from _forest(held, least)
+                held = []
+            held.append((key, doc_id, mark))
+        yield from _forest(held, least)
+
+    return met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, likeness double").distinct()
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _forest(band: list[tuple], least: float, block: int = 512):
+    """The links of one band: each document with the documents before it, as long as they aren't connected yet."""
+    if len(band) < 2:
+        return
+    ids = [x[1] for x in band]
+    marks = np.frombuffer(bytes.fromhex("".join(x[2] for x in band)), np.uint8).reshape(len(band), -1)
+    root, out = list(range(len(ids))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for at in range(0, len(ids), block):
+        for before in range(0, at + 1, block):
+            same = np.stack([(marks[before : before + block] == m).mean(1) for m in marks[at : at + block]])
+            for i, j in np.argwhere(same >= least).tolist():
+                x, y = find(at + i), find(before + j)
+                if before + j < at + i and x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((ids[before + j], ids[at + i], float(same[i, j])))
+    if out:
+        a, b, like = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like)], names=["a", "b", "likeness"])

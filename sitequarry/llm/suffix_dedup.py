@@ -13,7 +13,7 @@ gives each occurrence in the parse its removed suffixes, and these give the span
 
 The work is done in passes over blocks of documents (see blocks.py): which triggers are shared, which phrases, which
 suffixes. Triggers are compared by 48 bits (what meets by chance is only looked at twice), phrases by 64 more, suffixes by
-64 bits and their trigger's 48.
+64 bits and 16 of their trigger's.
 
 Defined results: null texts are empty; an empty text has no bytes and no spans; rows with equal ids don't remove from each
 other; a null id counts as the smallest; texts of any length are read whole, a piece at a time; an empty table gives no rows; columns
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, pack48, split_ranges, unpack48
+from .blocks import by_block, from_planes, pack48, planes, split_ranges, unpack48
 
 CHUNK = 1 << 19  # bytes that are parsed at once
 NO_ID = -(1 << 63)
@@ -187,7 +187,7 @@ class Passes:
         block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
         got = [unpack48(x) for x in answers.column("keys").to_pylist()]
         t, p, d, sides = self._dictionary(ids, self.parser.phrases(texts), np.concatenate(got) if got else np.zeros(0, np.uint64))
-        return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), d[s].tobytes(), sides[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
+        return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), planes(d[s]), sides[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
 
     def settled_phrases(self, asked: pa.Table) -> pa.Table:
         """To each block, for its phrases: the least document with the phrase, and (kind 1) whether it is contested: another phrase
@@ -195,7 +195,7 @@ class Passes:
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
         keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
         joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
-        t, p, d, sides = np.concatenate(keys), joined("phrases", np.uint64), joined("docs", np.int64), joined("sides", np.uint32).reshape(-1, 2)
+        t, p, d, sides = np.concatenate(keys), joined("phrases", np.uint64), np.concatenate([from_planes(x, np.int64) for x in asked.column("docs").to_pylist()]), joined("sides", np.uint32).reshape(-1, 2)
         order = np.lexsort((p, t))
         new = np.ones(len(order), bool)
         new[1:] = (t[order][1:] != t[order][:-1]) | (p[order][1:] != p[order][:-1])
@@ -220,7 +220,7 @@ class Passes:
             for kind in (0, 1):
                 some = np.flatnonzero(told[s] & (several[s] == bool(kind)))
                 if len(some):
-                    out.append((b, own, kind, pack48(t[s][some]), p[s][some].tobytes(), least[s][some].tobytes()))
+                    out.append((b, own, kind, pack48(t[s][some]), p[s][some].tobytes(), planes(least[s][some])))
         return _rows(SETTLED, out)
 
     @staticmethod
@@ -231,7 +231,7 @@ class Passes:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         keys = [unpack48(r["keys"]) for r in rows]
         t, p = np.concatenate(keys), np.concatenate([np.frombuffer(r["phrases"], np.uint64) for r in rows])
-        d = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
+        d = np.concatenate([from_planes(r["docs"], np.int64) for r in rows])
         kind = np.concatenate([np.full(len(x), r["kind"] == 1) for r, x in zip(rows, keys)])
         order = np.lexsort((p, t))
         return t[order], p[order], d[order], kind[order]
@@ -273,14 +273,15 @@ class Passes:
         _, _, _, hashes, trigger, doc, _ = self._contested(ids, self.parser.phrases(texts, True), self._settled(answers))
         order = np.argsort(hashes, kind="stable")
         h, t, d = hashes[order], trigger[order], doc[order]
-        return _rows(SUFFIXES, [(r, block, pack48(t[s]), h[s].tobytes(), d[s].tobytes()) for r, s in split_ranges(h, self.ranges, 64)])
+        tag = t.astype(np.uint16)  # 16 bits of the trigger, beside the suffix's 64
+        return _rows(SUFFIXES, [(r, block, tag[s].tobytes(), planes(h[s]), planes(d[s])) for r, s in split_ranges(h, self.ranges, 64)])
 
     def settled_suffixes(self, asked: pa.Table) -> pa.Table:
         """To each block, for each of its suffixes in the order asked, whether a smaller document has it (kind 2)."""
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
-        keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
-        t, h = np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column("suffixes").to_pylist()])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in asked.column("docs").to_pylist()])
+        keys = [np.frombuffer(x, np.uint16) for x in asked.column("keys").to_pylist()]
+        t, h = np.concatenate(keys), np.concatenate([from_planes(x, np.uint64) for x in asked.column("suffixes").to_pylist()])
+        d = np.concatenate([from_planes(x, np.int64) for x in asked.column("docs").to_pylist()])
         order = np.lexsort((t, h))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
@@ -318,7 +319,7 @@ class Passes:
         first = np.ones(len(on), bool)
         first[1:] = (on[1:] != on[:-1] + 1) | (phrase[on[1:]] != phrase[on[:-1]])
         heads = np.flatnonzero(first)
-        tails = np.append(heads[1:], len(on)) - 1
+        tails = np.append(heads[1:], len(on))[: len(heads)] - 1
         d = np.concatenate([doc[whole], doc[phrase[on[heads]]]])
         a = np.concatenate([start[whole], start[phrase[on[heads]]] + offset[on[heads]]])
         z = np.concatenate([start[whole] + windows[whole], start[phrase[on[tails]]] + offset[on[tails]] + 1]) + self.length - 1
