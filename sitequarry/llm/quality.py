@@ -88,21 +88,22 @@ class Logistic:
         vars(model).update(state)
         return model
 
-    def fit(self, sets: list[np.ndarray], dense: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.5, penalty: float = 1e-5) -> Logistic:
+    def fit(self, flat: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.5, penalty: float = 1e-5) -> Logistic:
+        """flat, row: the buckets of all rows' words and the row of each; dense and y: style and class of each row."""
         if len(set(y.tolist())) < 2:
             return self
         self.mean, self.scale = dense.mean(0), dense.std(0) + 1e-6
         x = np.clip((dense - self.mean) / self.scale, -5, 5)
-        used, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        telling = self._telling(np.bincount(flat, y[row], len(used)), np.bincount(flat, minlength=len(used)), y)
-        number = np.cumsum(telling) - 1
-        flat, row, used = number[flat[telling[flat]]], row[telling[flat]], used[telling]
+        used = np.flatnonzero(self._telling(np.bincount(flat, y[row], len(self.words)), np.bincount(flat, minlength=len(self.words)), y))
+        number = np.full(len(self.words), -1, np.int32)
+        number[used] = np.arange(len(used))
+        some = number[flat] >= 0
+        flat, row = number[flat[some]], row[some]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes alike
         w, d, b = np.zeros(len(used)), np.zeros(x.shape[1]), 0.0
         gw, gd, gb = np.full(len(used), 1e-8), np.full(x.shape[1], 1e-8), 1e-8
         for _ in range(rounds):
-            z = np.bincount(row, w[flat], len(sets)) + x @ d + b
+            z = np.bincount(row, w[flat], len(y)) + x @ d + b
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
             dw, dd, db = np.bincount(flat, e[row], len(used)) + penalty * w, x.T @ e + penalty * d, e.sum()
             gw, gd, gb = gw + dw * dw, gd + dd * dd, gb + db * db
@@ -114,7 +115,7 @@ class Logistic:
     def _telling(ones: np.ndarray, all_: np.ndarray, y: np.ndarray, least: float = 24.0) -> np.ndarray:
         """Which words occur in one class so much more often that chance is no likely cause: the G statistic is `least` or more."""
         share = y.mean()
-        part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / e), 0.0)
+        part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0.0)
         return (all_ >= 5) & (2 * (part(ones, all_ * share) + part(all_ - ones, all_ * (1 - share))) >= least)
 
     def evidence(self, words: np.ndarray, dense: list[float]) -> float:
@@ -131,14 +132,16 @@ def fitted(docs: DataFrame, labels: DataFrame, *, train_rows: int, buckets: int,
     def run(batches):
         for batch in batches:
             got = [features(x or "", buckets) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([d for _, d in got], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["words", "dense", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.int32) for w, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["words", "dense", "quality", "toxic"])
 
-    sample = rows.mapInArrow(run, "words array<long>, dense array<double>, quality int, toxic int").toPandas()
-    if not len(sample):
+    sample = rows.mapInArrow(run, "words array<int>, dense array<double>, quality int, toxic int").toArrow()  # some hundred numbers a row
+    if not sample.num_rows:
         return Logistic(buckets), Logistic(buckets), 0.5, 0.0
-    sets, dense = [np.asarray(w) for w in sample["words"]], np.array(sample["dense"].tolist())
-    good, toxic = sample["quality"].to_numpy(float), sample["toxic"].to_numpy(float)
-    return Logistic(buckets).fit(sets, dense, good), Logistic(buckets).fit(sets, dense, toxic), float(good.mean()), float(toxic.mean())
+    words, dense = (sample.column(c).combine_chunks() for c in ("words", "dense"))
+    flat, dense = words.flatten().to_numpy(), dense.flatten().to_numpy().reshape(sample.num_rows, -1)
+    row = np.repeat(np.arange(sample.num_rows, dtype=np.int32), np.diff(words.offsets.to_numpy()))
+    good, toxic = (sample.column(c).to_numpy().astype(float) for c in ("quality", "toxic"))
+    return Logistic(buckets).fit(flat, row, dense, good), Logistic(buckets).fit(flat, row, dense, toxic), float(good.mean()), float(toxic.mean())
 
 
 def logit(p: Column) -> Column:
