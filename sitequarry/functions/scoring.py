@@ -219,7 +219,8 @@ def is_injection(text: Column) -> Column:
 
 def clamp(value: Column, low: float, high: float, fallback: float) -> Column:
     """FLT15: a number in range, or the fallback if it's none."""
-    return F.coalesce(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.nanvl(value.try_cast("double"), F.lit(None)))), F.lit(float(fallback)))
+    n = value.try_cast("double")
+    return F.when(n.isNotNull() & ~F.isnan(n), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), n))).otherwise(F.lit(float(fallback)))
 
 
 def whole_in_range(value: Column, low: int, high: int) -> Column:

@@ -178,4 +178,5 @@ def parsed_json(text: Column, schema: str, default: Column) -> Column:
 
 def clamped_number(text: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """FUN12: the first decimal in a text, clamped; null if there is none."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")))
+    n = F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+    return F.when(n.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n)))
