@@ -38,8 +38,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = rows.where("tokens <> revised_tokens")
     for _ in range(2):
         rollup.commit("2-revise", token_rollup.revisions(changed, changed, "tokens", "revised_tokens"))
-    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
-    rollup.commit("3-delete", token_rollup.deletes(rows.join(first, "text_hash").where("doc_id > first_id"), "revised_tokens"))
+    rollup.commit("3-delete", token_rollup.copies(rows, "revised_tokens"))
     return rollup.totals()
 
 

@@ -91,7 +91,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("source_key"),  # a null source sorts last
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"),
-        )
+        ).withColumn("cell", F.pmod(F.xxhash64("draw"), F.lit(max_shards)).cast("int"))
     )
     # A table of sources has a row each; what follows on it is a running number in code point order.
     sources = sized.groupBy("source_key").agg(F.sum("size").alias("size"))
@@ -103,9 +103,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     sources = source_seats(sources.withColumn("target", target), round(total / block))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("size") / shard_words))).cast("int"))
 
-    parts = sized.join(sources.select("source_key", F.col("size").alias("source_size"), "target", "seats", "shards"), "source_key")
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")).cast("int"))
-    shard_sizes = parts.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
+    # What documents learn of their source they learn by cell, of which a source has max_shards at most: no join has a hot key.
+    cells = sized.groupBy("source_key", "cell").agg(F.sum("size").alias("cell_size"))
+    cells = cells.join(sources.select("source_key", F.col("size").alias("source_size"), "target", "seats", "shards"), "source_key").withColumn("shard", F.pmod("cell", "shards"))
+    cells = materialised(cells)
+    shard_sizes = cells.groupBy("source_key", "shard").agg(F.sum("cell_size").alias("shard_size"), F.first("seats").alias("seats"))
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:  # at most max_shards rows
         group = group.sort_values("shard", ignore_index=True)
@@ -115,7 +117,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block)).withColumn("quota", F.least("quota", F.col("blocks") * cap))
     shards = shards.withColumn("offset", F.pmod(F.xxhash64("source_key", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1))))
     stream = Window.partitionBy("source_key", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.join(shards, ["source_key", "shard"]).withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
+    told = cells.join(shards, ["source_key", "shard"]).drop("cell_size", "seats", "shards", "shard_size")
+    placed = sized.join(told, ["source_key", "cell"]).withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     taken = taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)
     return placed.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"), "shard", "start", "quota", "blocks", "offset")
 

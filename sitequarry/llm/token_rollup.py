@@ -61,6 +61,17 @@ def revisions(old: DataFrame, new: DataFrame, old_tokens: str = "tokens", new_to
     return deletes(old, old_tokens).unionByName(inserts(new, new_tokens))
 
 
+def copies(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The deletes of all documents whose text another with a smaller id has too (of rows with equal ids one stays). Rows of one
+    text are summed by group before its groups meet, so a text in a third of all rows is a few rows."""
+    summed = rows.groupBy("text_hash", *KEYS).agg(F.count("*").alias("n"), F.sum(tokens).alias("t"), F.min(F.struct("doc_id", tokens)).alias("first"))
+    least = summed.groupBy("text_hash", "tokenizer_version").agg(F.min(F.struct(F.col("first.doc_id"), "source", "lang")).alias("head"))
+    joined = summed.join(least, ["text_hash", "tokenizer_version"])
+    heads = F.struct(F.col("first.doc_id"), "source", "lang").eqNullSafe(F.col("head"))
+    out = joined.select(*KEYS, (F.when(heads, 1).otherwise(0) - F.col("n")).alias("docs"), (F.when(heads, F.col("first")[tokens]).otherwise(0) - F.col("t")).alias("tokens"))
+    return out.where("docs <> 0")
+
+
 class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
