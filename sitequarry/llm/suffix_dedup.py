@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import by_block, from_planes, pack48, planes, split_ranges, unpack48
 
-CHUNK = 1 << 19  # bytes that are parsed at once
+CHUNK = 1 << 18  # bytes that are parsed at once
 NO_ID = -(1 << 63)
 
 
@@ -143,9 +143,8 @@ def _least_by(order: np.ndarray, change: np.ndarray, docs: np.ndarray) -> np.nda
     return out
 
 
-SHARED = "block int, keys binary"
 PHRASES = "range int, block int, keys binary, phrases binary, docs binary, sides binary"
-SETTLED = "block int, range int, kind int, keys binary, phrases binary, docs binary"
+ANSWER = "block int, range int, kind int, data binary, docs binary"  # kind 0: shared triggers, 1: settled phrases, 2: settled suffixes
 SUFFIXES = "range int, block int, keys binary, suffixes binary, docs binary"
 
 
@@ -166,7 +165,8 @@ class Passes:
         keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
         joined = np.sort(np.concatenate(keys))
         shared = np.unique(joined[1:][joined[1:] == joined[:-1]])
-        return _rows(SHARED, [(b, pack48(x[np.isin(x, shared, assume_unique=True)])) for b, x in zip(blocks, keys)])
+        own = asked.column("range")[0].as_py()
+        return _rows(ANSWER, [(b, own, 0, pack48(x[np.isin(x, shared, assume_unique=True)]), b"") for b, x in zip(blocks, keys)])
 
     def _dictionary(self, ids: np.ndarray, found, shared: np.ndarray):
         """The different (trigger, phrase) of a block whose trigger may be in another document, and the least document of each."""
@@ -185,12 +185,11 @@ class Passes:
         if not docs.num_rows:
             return _rows(PHRASES, [])
         block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
-        got = [unpack48(x) for x in answers.column("keys").to_pylist()]
-        t, p, d, sides = self._dictionary(ids, self.parser.phrases(texts), np.concatenate(got) if got else np.zeros(0, np.uint64))
+        t, p, d, sides = self._dictionary(ids, self.parser.phrases(texts), self._shared(answers))
         return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), planes(d[s]), sides[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
 
     def settled_phrases(self, asked: pa.Table) -> pa.Table:
-        """To each block, for its phrases: the least document with the phrase, and (kind 1) whether it is contested: another phrase
+        """To each block, for its phrases: the least document with the phrase, and whether it is contested: another phrase
         has its trigger and the same string on a side of it. What is neither contested nor in another block is left out."""
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
         keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
@@ -213,28 +212,30 @@ class Passes:
         several, told = np.empty(len(order), bool), np.empty(len(order), bool)
         several[order] = np.repeat(contested, times)
         told[order] = np.repeat(contested | (times > 1), times)
-        out, at = [], 0
-        for b, x in zip(blocks, keys):
-            s = slice(at, at + len(x))
-            at += len(x)
-            for kind in (0, 1):
-                some = np.flatnonzero(told[s] & (several[s] == bool(kind)))
-                if len(some):
-                    out.append((b, own, kind, pack48(t[s][some]), p[s][some].tobytes(), planes(least[s][some])))
-        return _rows(SETTLED, out)
+        cuts = np.cumsum([0, *map(len, keys)])
+        bits = lambda x: np.packbits(x).tobytes()
+        return _rows(ANSWER, [(b, own, 1, bits(told[x:y]) + bits(several[x:y]), planes(least[x:y][told[x:y]])) for b, x, y in zip(blocks, cuts, cuts[1:])])
 
     @staticmethod
-    def _settled(answers: pa.Table):
-        """Of a block's answers, sorted by (trigger, phrase): triggers, phrases, least documents, whether contested."""
-        rows = [r for r in answers.to_pylist() if r["kind"] < 2]
-        if not rows:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-        keys = [unpack48(r["keys"]) for r in rows]
-        t, p = np.concatenate(keys), np.concatenate([np.frombuffer(r["phrases"], np.uint64) for r in rows])
-        d = np.concatenate([from_planes(r["docs"], np.int64) for r in rows])
-        kind = np.concatenate([np.full(len(x), r["kind"] == 1) for r, x in zip(rows, keys)])
-        order = np.lexsort((p, t))
-        return t[order], p[order], d[order], kind[order]
+    def _shared(answers: pa.Table) -> np.ndarray:
+        """The triggers of a block that other blocks have too."""
+        got = [unpack48(r["data"]) for r in answers.to_pylist() if r["kind"] == 0]
+        return np.concatenate(got) if got else np.zeros(0, np.uint64)
+
+    def _settled(self, ids: np.ndarray, found, answers: pa.Table):
+        """Of a block's phrases, those that the ranges told of: triggers, phrases, least documents, whether contested. An answer
+        has two bits for each phrase asked, in that order, and the documents of those told of."""
+        t, p, _, _ = self._dictionary(ids, found, self._shared(answers))
+        told, contested, least = np.zeros(len(t), bool), np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+        parts = dict(split_ranges(t, self.ranges, 48))
+        for r in answers.to_pylist():
+            if r["kind"] == 1:
+                s = parts[r["range"]]
+                n = s.stop - s.start
+                both = np.frombuffer(r["data"], np.uint8)
+                told[s], contested[s] = (np.unpackbits(x, count=n).astype(bool) for x in np.split(both, 2))
+                least[np.arange(s.start, s.stop)[told[s]]] = from_planes(r["docs"], np.int64)
+        return t[told], p[told], least[told], contested[told]
 
     @staticmethod
     def _where(t: np.ndarray, p: np.ndarray, trigger: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -270,14 +271,15 @@ class Passes:
         if not docs.num_rows or not answers.num_rows:
             return _rows(SUFFIXES, [])
         block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
-        _, _, _, hashes, trigger, doc, _ = self._contested(ids, self.parser.phrases(texts, True), self._settled(answers))
+        found = self.parser.phrases(texts, True)
+        _, _, _, hashes, trigger, doc, _ = self._contested(ids, found, self._settled(ids, found, answers))
         order = np.argsort(hashes, kind="stable")
         h, t, d = hashes[order], trigger[order], doc[order]
         tag = t.astype(np.uint16)  # 16 bits of the trigger, beside the suffix's 64
         return _rows(SUFFIXES, [(r, block, tag[s].tobytes(), planes(h[s]), planes(d[s])) for r, s in split_ranges(h, self.ranges, 64)])
 
     def settled_suffixes(self, asked: pa.Table) -> pa.Table:
-        """To each block, for each of its suffixes in the order asked, whether a smaller document has it (kind 2)."""
+        """To each block, for each of its suffixes in the order asked, whether a smaller document has it."""
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
         keys = [np.frombuffer(x, np.uint16) for x in asked.column("keys").to_pylist()]
         t, h = np.concatenate(keys), np.concatenate([from_planes(x, np.uint64) for x in asked.column("suffixes").to_pylist()])
@@ -287,19 +289,20 @@ class Passes:
         new[1:] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
         smaller = _least_by(order, new, d) < d
         cuts = np.cumsum([0, *map(len, keys)])
-        return _rows(SETTLED, [(b, own, 2, b"", np.packbits(smaller[x:y]).tobytes(), b"") for b, x, y in zip(blocks, cuts, cuts[1:])])
+        return _rows(ANSWER, [(b, own, 2, np.packbits(smaller[x:y]).tobytes(), b"") for b, x, y in zip(blocks, cuts, cuts[1:])])
 
     def spans(self, docs: pa.Table, answers: pa.Table) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
         """The texts of a block and the removed spans of each."""
         ids, texts = _texts(docs)
         removed: list[list[tuple[int, int]]] = [[] for _ in texts]
-        found, settled = self.parser.phrases(texts, True), self._settled(answers)
+        found = self.parser.phrases(texts, True)
         if not len(found[0]):
             return texts, removed
+        settled = self._settled(ids, found, answers)
         at, own, asked, hashes, _, _, count = self._contested(ids, found, settled)
         order = np.argsort(hashes, kind="stable")
         smaller = np.zeros(len(hashes), bool)
-        bits = {r["range"]: r["phrases"] for r in answers.to_pylist() if r["kind"] == 2}
+        bits = {r["range"]: r["data"] for r in answers.to_pylist() if r["kind"] == 2}
         for r, s in split_ranges(hashes[order], self.ranges, 64):
             smaller[order[s]] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=s.stop - s.start).astype(bool)
         doc, start, windows = found[2], found[3], found[4]
@@ -337,7 +340,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 3 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with carried columns; with_text also spans and text
     (what is kept; a character that a span cuts in two is left out)."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
@@ -345,11 +348,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     passes = Passes(length, k, ranges)
     asked = blocks.groupBy("block").applyInArrow(lambda t: passes.ask_triggers(t), "range int, block int, keys binary")
-    shared = asked.groupBy("range").applyInArrow(lambda t: passes.shared_triggers(t), SHARED)
+    shared = asked.groupBy("range").applyInArrow(lambda t: passes.shared_triggers(t), ANSWER)
     phrases = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: passes.ask_phrases(a, b), PHRASES)
-    settled = phrases.groupBy("range").applyInArrow(lambda t: passes.settled_phrases(t), SETTLED)
-    suffixes = blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(lambda a, b: passes.ask_suffixes(a, b), SUFFIXES)
-    last = suffixes.groupBy("range").applyInArrow(lambda t: passes.settled_suffixes(t), SETTLED)
+    settled = phrases.groupBy("range").applyInArrow(lambda t: passes.settled_phrases(t), ANSWER)
+    told = shared.unionByName(settled)
+    suffixes = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: passes.ask_suffixes(a, b), SUFFIXES)
+    last = suffixes.groupBy("range").applyInArrow(lambda t: passes.settled_suffixes(t), ANSWER)
 
     kinds = {f.name: f.dataType.simpleString() for f in read.schema}
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", carried_{c} {kinds[f'carried_{c}']}" for c in carry) + (", spans array<struct<first:long,end:long>>, text string" if with_text else "")
@@ -370,5 +374,5 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
             columns["text"] = pa.array([x.decode(errors="ignore") for x in kept], pa.string())
         return pa.table(columns)
 
-    out = blocks.groupBy("block").cogroup(settled.unionByName(last).groupBy("block")).applyInArrow(remove, result)
+    out = blocks.groupBy("block").cogroup(told.unionByName(last).groupBy("block")).applyInArrow(remove, result)
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
