@@ -206,3 +206,24 @@ def documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 def is_utility_title(title: Column) -> Column:
     """HTM27: the title up to its first separator."""
     return F.coalesce(F.lower(T.trimmed(F.element_at(F.split(title, r"[|\-–—:•·]"), 1))).isin(*UTILITY_TITLES), F.lit(False))
+
+
+# The looser patterns of collected data; quantifiers are bounded so that long prose can't make them backtrack.
+LOOSE_PHONE = r"(?:\+39|0)?\s*\d{2,4}\s*\d{6,8}|800\s*\d{6}"
+LOOSE_ADDRESS = r"(?i)(?:Via|Piazza|Corso|Viale|Strada)\s+[a-zA-Z]+(?:\s[a-zA-Z]+){0,6},\s*\d+\s*-?\s*\d{5}\s+[a-zA-Z]+(?:\s[a-zA-Z()]+){0,4}"
+
+
+def collected(pages: DataFrame, key: str, order: str, *, most: int = 10, chars: int = 3000) -> DataFrame:
+    """HTM21: pages (key, order, content, links of text and url) -> for each key the different phones, emails, addresses and the
+    texts of links to forms and to services, `most` of each in page order, and the first `chars` characters of the contents."""
+    mentions = lambda a, words: F.greatest(*[F.contains(F.lower(a), F.lit(w)) for w in words]) if len(words) > 1 else F.contains(F.lower(a), F.lit(words[0]))
+    texts_of = lambda in_text, in_url: F.transform(F.filter("links", lambda a: mentions(a["text"], in_text) | mentions(a["url"], in_url)), lambda a: a["text"])
+    found = {
+        "phones": T.found(F.col("content"), LOOSE_PHONE), "emails": T.found(F.col("content"), T.EMAIL), "addresses": T.found(F.col("content"), LOOSE_ADDRESS),
+        "forms": texts_of(("modulo", "form"), ("modulo",)), "services": texts_of(("servizio", "servizi"), ("servizio",)),
+    }
+    none = F.array().cast("array<string>")
+    rows = pages.select(key, order, F.substring("content", 1, chars).alias("content"), *[F.slice(F.array_distinct(F.coalesce(c, none)), 1, most).alias(n) for n, c in found.items()])
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
+    lists = [F.slice(F.array_distinct(F.flatten(in_order(n))), 1, most).alias(n) for n in found]
+    return rows.groupBy(key).agg(*lists, F.substring(F.array_join(in_order("content"), " "), 1, chars).alias("text_content"))

@@ -100,6 +100,15 @@ def page_documents(spark, sf_dir):
     return html.documents(table(spark, sf_dir, "pages")).select("url", "canonical_url", "title", "lang", F.length("text").alias("chars"), F.size("links").alias("links"), F.size("headings").alias("headings"), F.size("named_links").alias("named_links"), "content_hash", "needs_rendering")
 
 
+@query()
+def collected_data(spark, sf_dir):
+    """HTM21: what the pages of each site hold."""
+    docs = html.documents(table(spark, sf_dir, "pages"))
+    pages = docs.select(U.site_of(F.col("url")).alias("site"), "url", F.col("raw_text").alias("content"), F.col("named_links").alias("links"))
+    out = html.collected(pages, "site", "url")
+    return out.select("site", F.size("phones").alias("phones"), F.size("emails").alias("emails"), F.size("forms").alias("forms"), F.length("text_content").alias("chars"))
+
+
 @query(rf"""SELECT doc_id, least(10, len(list_distinct(regexp_extract_all(text, '{T.EMAIL}'))))::INTEGER AS emails,
        least(10, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{T.PHONE}'), lambda p: regexp_replace(p, '\s+', '', 'g')), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) >= 9))))::INTEGER AS phones FROM documents""")
 def contacts(spark, sf_dir):

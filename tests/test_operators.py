@@ -24,6 +24,16 @@ def test_documents(spark):
     assert got["https://x.it/n"].title == "" and got["https://x.it/e"].text == ""
 
 
+def test_collected_data(spark):
+    link = lambda t, u: (t, u)
+    rows = [("s", 1, "tel 0545 123456 Via Roma, 12 - 48022 Lugo. a@b.it", [link("Modulo ISEE", "/x"), link("Servizi online", "/y"), link("Home", "/")]), ("s", 2, "a@b.it c@d.it " + "x" * 4000, [link("Modulo ISEE", "/x"), link("Altro", "/servizio")]), ("t", 1, None, None)]
+    df = spark.createDataFrame(rows, "site string, n int, content string, links array<struct<text:string,url:string>>")
+    got = {r.site: r for r in html.collected(df, "site", "n").collect()}
+    assert got["s"].emails == ["a@b.it", "c@d.it"] and got["s"].forms == ["Modulo ISEE"] and got["s"].services == ["Servizi online", "Altro"]
+    assert len(got["s"].text_content) == 3000 and got["s"].addresses == ["Via Roma, 12 - 48022 Lugo"] and [p.strip() for p in got["s"].phones] == ["0545 123456"]
+    assert got["t"].phones == [] and got["t"].forms == []
+
+
 def test_utility_titles(spark):
     df = spark.createDataFrame([("Accedi | Comune",), ("Ricerca avanzata contratti",), (None,)], "t string")
     assert [r[0] for r in df.select(html.is_utility_title(F.col("t"))).collect()] == [True, False, False]
