@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, from_planes, planes, split_ranges
+from .blocks import by_block, from_planes, give_back, planes, split_ranges
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BEGIN, END = 0, 1  # token numbers; words follow
@@ -203,6 +203,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         begin = np.cumsum(ends + 1) - ends
         all_tokens = grams.tokens.tolist()
         scores = [automaton.score(all_tokens[a : a + n]) for a, n in zip(begin.tolist(), grams.length)]
+        del automaton, all_tokens, keys, place, by_order
+        give_back()
         return pa.table([left.column("doc_id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(grams.length, pa.int64()), pa.array(known), pa.array([tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=[x.split()[0] for x in RESULT.split(", ")])
 
     asked = blocks.groupBy("block").applyInArrow(lambda t: ask(t), ASKED)

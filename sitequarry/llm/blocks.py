@@ -8,7 +8,10 @@ the texts by block is the same subtree in every pass over them, so Spark writes
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,11 @@ def pack48(keys: np.ndarray) -> bytes:
 
 def unpack48(data: bytes) -> np.ndarray:
     return from_planes(data + bytes(len(data) // 3), np.uint64)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, since several workers share what an executor has."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, from_planes, pack48, planes, split_ranges, unpack48
+from .blocks import by_block, from_planes, give_back, pack48, planes, split_ranges, unpack48
 
 CHUNK = 1 << 18  # bytes that are parsed at once
 NO_ID = -(1 << 63)
@@ -129,6 +129,7 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _rows(names: str, rows: list[tuple]) -> pa.Table:
+    give_back()
     kinds = {"int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in names.split(", ")]
     return pa.table([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
@@ -360,6 +361,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, removed = passes.spans(left, right)
+        give_back()
         kept = [kept_bytes(x, s) if s else x for x, s in zip(texts, removed)]
         long = lambda x: pa.array(x, pa.int64())
         columns = {
