@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from sitequarry.llm import quality, simhash, suffix_dedup
 from sitequarry.llm.common import materialised
@@ -39,3 +41,37 @@ def test_stages_take_odd_rows(spark, sf, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialised(stage(spark, docs, sf))
         docs.count()
+
+
+def shingles(text: str) -> set[tuple[str, ...]]:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_copies_against_brute_force(spark, sf):
+    """Texts with a few words changed, as pairs and as a chain, at similarities around 0.8 to 0.95."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(words)
+        for _ in range(4 if i % 10 == 0 else 1):
+            words = [*words]
+            for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.004, 0.03)))):
+                words[at] = "changed" + str(rng.randrange(1000))
+            texts.append(words)
+    rows = [(i * 3, " ".join(x), "en", "s", 1) for i, x in enumerate(texts)]
+    rng.shuffle(rows)
+    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+    find = lambda x: x if root[x] == x else find(root[x])
+    grades = []
+    for a in sets:
+        for b in sets:
+            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8:
+                grades.append(j)
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert sum(0.8 <= j < 0.95 for j in grades) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(x for x in root if root[x] == x)
