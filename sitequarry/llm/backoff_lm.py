@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, from_planes, give_back, planes, split_ranges
+from .blocks import by_block, by_range, from_planes, give_back, planes, ranges_of, split_ranges
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BEGIN, END = 0, 1  # token numbers; words follow
@@ -152,11 +152,11 @@ class BackoffAutomaton:
         return total
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 100.0, block_bytes: int = 5 << 20) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 100.0, block_bytes: int = 5 << 20, range_bytes: int = 12 << 20) -> DataFrame:
     """Scores of every text under a model of the texts that aren't held out."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks, _ = by_block(read, block_bytes)
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, n_blocks = by_block(read, block_bytes)
+    ranges = ranges_of(n_blocks, block_bytes, range_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
         grams = Grams(table.column("text").to_pylist(), order)
@@ -208,5 +208,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         return pa.table([left.column("doc_id"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(grams.length, pa.int64()), pa.array(known), pa.array([tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=[x.split()[0] for x in RESULT.split(", ")])
 
     asked = blocks.groupBy("block").applyInArrow(lambda t: ask(t), ASKED)
-    told = asked.groupBy("range").applyInArrow(lambda t: tell(t), TOLD)
+    told = by_range(asked, ranges).groupBy("range").applyInArrow(lambda t: tell(t), TOLD)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(read_through, RESULT)

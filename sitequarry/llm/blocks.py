@@ -2,7 +2,8 @@
 
 Some operators need to know of every key in a document what the whole corpus says about it. Documents are dealt to blocks of a
 few megabytes by a hash of their id. A block asks once for each different key (so a key that is in a third of all documents
-comes once from each block), in sorted arrays, one for each range of keys; a range answers each block. The exchange of
+comes once from each block), in sorted arrays, one for each range of keys; a range answers each block. There are as many ranges as the corpus has bytes for, like blocks,
+so that neither grows with it. The exchange of
 the texts by block is the same subtree in every pass over them, so Spark writes it once and reads it again.
 """
 
@@ -23,6 +24,16 @@ def by_block(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return docs.select(block, "*").repartition(int(n), "block"), int(n)
 
 
+def ranges_of(blocks: int, block_bytes: int, range_bytes: int) -> int:
+    """How many ranges give each the keys of about range_bytes of text, however large the corpus is."""
+    return max(1, -(-blocks * block_bytes // range_bytes))
+
+
+def by_range(asked: DataFrame, ranges: int) -> DataFrame:
+    """What blocks ask, with as many partitions as there are ranges: a task holds one range after another."""
+    return asked.repartition(ranges, "range")
+
+
 def split_ranges(keys: np.ndarray, ranges: int, bits: int):
     """(range, slice) for sorted keys of so many bits."""
     cuts = [((r << bits) + ranges - 1) // ranges for r in range(1, ranges)]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, from_planes, give_back, pack48, planes, split_ranges, unpack48
+from .blocks import by_block, by_range, from_planes, give_back, pack48, planes, ranges_of, split_ranges, unpack48
 
 CHUNK = 1 << 18  # bytes that are parsed at once
 NO_ID = -(1 << 63)
@@ -341,20 +341,20 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 3 << 20, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 3 << 20, range_bytes: int = 12 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with carried columns; with_text also spans and text
     (what is kept; a character that a span cuts in two is left out)."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    blocks, _ = by_block(read, block_bytes)
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, n_blocks = by_block(read, block_bytes)
+    ranges = ranges_of(n_blocks, block_bytes, range_bytes)
     passes = Passes(length, k, ranges)
     asked = blocks.groupBy("block").applyInArrow(lambda t: passes.ask_triggers(t), "range int, block int, keys binary")
-    shared = asked.groupBy("range").applyInArrow(lambda t: passes.shared_triggers(t), ANSWER)
+    shared = by_range(asked, ranges).groupBy("range").applyInArrow(lambda t: passes.shared_triggers(t), ANSWER)
     phrases = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: passes.ask_phrases(a, b), PHRASES)
-    settled = phrases.groupBy("range").applyInArrow(lambda t: passes.settled_phrases(t), ANSWER)
+    settled = by_range(phrases, ranges).groupBy("range").applyInArrow(lambda t: passes.settled_phrases(t), ANSWER)
     told = shared.unionByName(settled)
     suffixes = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: passes.ask_suffixes(a, b), SUFFIXES)
-    last = suffixes.groupBy("range").applyInArrow(lambda t: passes.settled_suffixes(t), ANSWER)
+    last = by_range(suffixes, ranges).groupBy("range").applyInArrow(lambda t: passes.settled_suffixes(t), ANSWER)
 
     kinds = {f.name: f.dataType.simpleString() for f in read.schema}
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", carried_{c} {kinds[f'carried_{c}']}" for c in carry) + (", spans array<struct<first:long,end:long>>, text string" if with_text else "")
