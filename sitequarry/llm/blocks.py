@@ -1,7 +1,7 @@
 """Blocks of documents, and what they ask of ranges of keys.
 
 Some operators need to know of every key in a document what the whole corpus says about it. Documents are dealt to blocks of a
-few megabytes by a hash of their id. A block asks once for each different key (so a key that is in a third of all documents
+few megabytes by a hash of their id and text, so that rows without an id, or of one id, spread. A block asks once for each different key (so a key that is in a third of all documents
 comes once from each block), in sorted arrays, one for each range of keys; a range answers each block. There are as many ranges as the corpus has bytes for, like blocks,
 so that neither grows with it. The exchange of
 the texts by block is the same subtree in every pass over them, so Spark writes it once and reads it again.
@@ -20,7 +20,7 @@ def by_block(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """docs (doc_id, text, others) dealt to blocks of about block_bytes of text, and the number of blocks."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
     return docs.select(block, "*").repartition(int(n), "block"), int(n)
 
 

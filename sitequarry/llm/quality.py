@@ -164,10 +164,11 @@ def shrunk(level: DataFrame, rate: str, above: Column, name: str) -> DataFrame:
     return level.withColumn(name, (F.col("n") * F.col(rate) + strength * above) / (F.col("n") + strength))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_rows: int = 12_000, buckets: int = 1 << 20, least: float = 0.5, toxic_least: float = 0.25, seed: int = 42) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", carry: tuple[str, ...] = (), train_rows: int = 12_000, buckets: int = 1 << 20, least: float = 0.5, toxic_least: float = 0.25, seed: int = 42) -> DataFrame:
     """Of every row: doc_id, evidence, toxic_evidence (log-likelihood ratios), host_rate, path_rate (shrunk shares of good
-    documents), quality (posterior), toxicity (posterior), keep (quality at `least` or more, toxicity beneath `toxic_least`)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
+    documents), quality (posterior), toxicity (posterior), keep (quality at `least` or more, toxicity beneath `toxic_least`).
+    Columns named in `carry` come along."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.struct(*[F.col(c).alias(f"carried_{c}") for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
     good_model, toxic_model, good_rate, toxic_rate = fitted(texts, labels, train_rows=train_rows, buckets=buckets, seed=seed)
     models = docs.sparkSession.sparkContext.broadcast([vars(m) for m in (good_model, toxic_model)])  # a fixed number of buckets
 
@@ -175,11 +176,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         good, toxic = (Logistic.of(x) for x in models.value)
         for batch in batches:
             got = [(good.evidence(w, d), toxic.evidence(w, d)) for w, d in (features(x or "", buckets) for x in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([g for g, _ in got], pa.float64()), pa.array([t for _, t in got], pa.float64())], names=["doc_id", "host", "path", "evidence", "toxic_evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array([g for g, _ in got], pa.float64()), pa.array([t for _, t in got], pa.float64())], names=["doc_id", "host", "path", "carried", "evidence", "toxic_evidence"])
 
     good_rate = min(1 - 1e-3, max(1e-3, good_rate))
     toxic_rate = min(1 - 1e-3, max(1e-3, toxic_rate))
-    scored = texts.mapInArrow(run, "doc_id long, host string, path string, evidence double, toxic_evidence double")
+    scored = texts.mapInArrow(run, f"doc_id long, host string, path string, carried {texts.schema['carried'].dataType.simpleString()}, evidence double, toxic_evidence double")
     scored = materialised(scored.withColumn("p", sigmoid(F.col("evidence") + math.log(good_rate / (1 - good_rate)))))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     paths = materialised(paths)
@@ -192,4 +193,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     joined = scored.join(near, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p_")))
     safe = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("path_rate")))
     joined = joined.withColumn("quality", sigmoid(F.col("evidence") + logit(safe))).withColumn("toxicity", sigmoid(F.col("toxic_evidence") + math.log(toxic_rate / (1 - toxic_rate))))
-    return joined.select("doc_id", "evidence", "toxic_evidence", "host_rate", "path_rate", "quality", "toxicity", ((F.col("quality") >= least) & (F.col("toxicity") < toxic_least)).alias("keep"))
+    return joined.select("doc_id", "evidence", "toxic_evidence", "host_rate", "path_rate", "quality", "toxicity", ((F.col("quality") >= least) & (F.col("toxicity") < toxic_least)).alias("keep"), *[F.col(f"carried.carried_{c}").alias(c) for c in carry])

@@ -82,15 +82,17 @@ def source_seats(sources: DataFrame, seats: int, rounds: int = 12, wide: int = 3
     return sources.join(close, "source_key", "left").withColumn("seats", (won(high) + F.col("quotient").isNotNull().cast("int")).cast("long")).drop("quotient")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 32, shard_words: int = 100_000, max_shards: int = 4096, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 32, shard_words: int = 100_000, max_shards: int = 4096, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken and, for what is cut from the text: shard, start (words of the shard
-    before the document), quota and blocks (of the shard), offset (the draw's seeded start)."""
+    before the document), quota and blocks (of the shard), offset (the draw's seeded start). With row_col, a number of each row, row as well; the
+    draw is then by id and text, so that rows without an id, or of one id, spread."""
     sized = materialised(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("source_key"),  # a null source sorts last
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"),
+            F.xxhash64(*([id_col] if row_col is None else [id_col, text_col]), F.lit(seed)).alias("draw"),
+            *([] if row_col is None else [F.col(row_col).alias("row")]),
         ).withColumn("cell", F.pmod(F.xxhash64("draw"), F.lit(max_shards)).cast("int"))
     )
     # A table of sources has a row each; what follows on it is a running number in code point order.
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     told = cells.join(shards, ["source_key", "shard"]).drop("cell_size", "seats", "shards", "shard_size")
     placed = sized.join(told, ["source_key", "cell"]).withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     taken = taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)
-    return placed.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"), "shard", "start", "quota", "blocks", "offset")
+    return placed.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"), "shard", "start", "quota", "blocks", "offset", *["row"] * (row_col is not None))
 
 
 def taken_before(at: Column, block: int) -> Column:
@@ -154,11 +156,15 @@ def drawn_texts(text: str, start: int, quota: int, blocks: int, offset: int, blo
 
 
 def mixed_texts(docs: DataFrame, mix_rows: DataFrame, *, block: int = 32) -> DataFrame:
-    """The columns of documents, a row for each time that a document is taken. Rows pair by id and size: of rows with equal
-    id and size, each has the draws of all."""
-    placed = mix_rows.where("taken > 0").select("doc_id", "size", "start", "quota", "blocks", "offset")
-    sized = docs.select("doc_id", "text", "lang", "source", word_count(F.col("text")).alias("words"))
-    joined = sized.join(placed.withColumnsRenamed({"doc_id": "id"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    """The columns of documents, a row for each time that a document is taken. Rows pair by row where mix_rows has it; else by id and
+    size: of rows with equal id and size, each has the draws of all."""
+    draw = mix_rows.where("taken > 0")
+    if "row" in mix_rows.columns:
+        joined = docs.select("doc_id", "text", "lang", "source", "row").join(draw.select("row", "start", "quota", "blocks", "offset"), "row")
+    else:
+        placed = draw.select(F.col("doc_id").alias("id"), "size", "start", "quota", "blocks", "offset")
+        sized = docs.select("doc_id", "text", "lang", "source", word_count(F.col("text")).alias("words"))
+        joined = sized.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
 
     def run(batches):
         for batch in batches:

@@ -75,3 +75,35 @@ def test_near_copies_against_brute_force(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
     assert sorted(r.doc_id for r in kept) == sorted(x for x in root if root[x] == x)
+
+
+def test_rows_go_by_their_own_verdict_and_draw(spark, sf):
+    """Null and repeated ids: each row is judged, grouped and drawn for itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    verdict = {r.doc_id: r.keep for r in whole.select("doc_id", "keep").collect()}
+    assert {*verdict.values()} == {True, False}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # doc_id of a third is null, of another third 5; n_chars tells the rows apart. The labelled rows are copies with no id.
+    odd = docs.selectExpr("case doc_id % 3 when 0 then null when 1 then 5 else doc_id end as doc_id", "text", "lang", "source", "doc_id as n_chars")
+    good = corpus_pipeline.keep_good(spark, odd, sf)
+    judged = quality.classify(odd, spark.read.parquet(f"{sf}/labels.parquet"), carry=("n_chars",))
+    assert sorted(r.n_chars for r in good.collect()) == sorted(r.n_chars for r in judged.where("keep").collect())
+    assert all(r.text == texts[r.n_chars] for r in good.collect())
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    rows = [(None if i % 2 else 7, words(64), "en", f"s{i % 3}", 1) for i in range(90)]
+    one = words(80)
+    copies = [(None, one, "en", "s0", 1)] * 3 + [(9, one, "en", "s0", 1)] * 2
+    made = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    single = corpus_pipeline.one_of_each_group(spark, made, sf).collect()
+    assert sorted(r.text for r in single) == sorted([one, *(r[1] for r in rows)])
+    assert [r.doc_id for r in single if r.text == one] == [9]
+
+    drawn = corpus_pipeline.mixed(spark, made.limit(90), sf).collect()
+    most = {}
+    for r in drawn:
+        most[r.text.split("\n")[0].split(" ")[0]] = most.get(r.text.split("\n")[0].split(" ")[0], 0) + 1
+    assert len(drawn) <= 3 * 90 and max(most.values()) <= 6  # at most 3 times each, in two blocks
+    assert abs(sum(len(r.text.split()) for r in drawn) - 64 * 90) <= 64 * 9
