@@ -84,26 +84,40 @@ def test_rates_shrink_towards_the_level_above(spark):
     assert abs(got["big"] - 0.1) < 0.05 and 0.2 < got["small"] < 0.5 and got["other"] > 0.8
 
 
-def best_by_force(rows, k=10):
-    ok = [(i, [math.floor(float(np.float32(x)) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def best_by_force(rows, k=10, kind=np.float32):
+    """Each row is a query or a candidate of its own, whatever its id."""
+    ok = [(i, [math.floor(float(kind(x)) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    end = lambda s: min((1 << 63) - 1, max(-(1 << 63), s))
     out = []
-    for q, v in ok:
+    for n_q, (q, v) in enumerate(ok):
         if q % 100 == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v)))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i, n) for n, (i, w) in enumerate(ok) if n != n_q and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, end(-s)) for n, (s, i, _) in enumerate(scores)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("dim_block,candidates", [(16, 2048), (5, 64)])
+@pytest.mark.parametrize("dim_block,candidates", [(16, 1 << 20), (5, 16_000)])
 def test_top_k_equals_brute_force(spark, sf, dim_block, candidates):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = topk_search.top_k(df, F.col("vec_id") % 100 == 0, dim_block=dim_block, candidate_block=candidates, query_block=3)
+    got = topk_search.top_k(df, F.col("vec_id") % 100 == 0, dim_block=dim_block, candidate_bytes=candidates, query_bytes=1500)
     assert sorted(map(tuple, got.collect())) == best_by_force([(r.vec_id, r.embedding) for r in df.collect()])
 
 
 def test_top_k_of_odd_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (100, [-1.0, 0.5]), (100, [-1.0, 0.5]), (200, [0.0, 0.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (1, [1.0, 2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (100, [-1.0, 0.5]), (100, [-1.0, 0.5]), (100, [3.0, 0.5]), (200, [0.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, id int, v string")
-    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 100 == 0, k=3).collect()))
-    assert got == best_by_force(list({(i, tuple(v) if v else v): (i, v) for i, v in rows}.values()), 3)
+    for k in (3, 20):
+        got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 100 == 0, k=k).collect()))
+        assert got == best_by_force(rows, k)
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [30.0, 1e5, 1e8, 1e12])
+def test_scores_that_doubles_cannot_hold(spark, size):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, size, (1, 12))
+    near = base + rng.normal(0, 1e-3, (60, 12))  # scores that agree in their leading digits
+    rows = [(i, v) for i, v in enumerate([*near.tolist(), *rng.normal(0, size, (200, 12)).tolist(), *near[:5].tolist()])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 100 == 0, candidate_bytes=5000).collect()))
+    assert got == best_by_force(rows, kind=float)
