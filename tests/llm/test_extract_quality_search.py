@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -25,6 +26,13 @@ CASES = {
     "null": (None, ""),
     "no text": (page("<nav>only a menu</nav>"), ""),
     "sidebar": (page(f"<div class=layout><aside><p>{PARAGRAPH}</p></aside><div class=sidebar><p>{PARAGRAPH}</p></div><article><p>{PARAGRAPH}</p></article></div>"), PARAGRAPH),
+    "links in the article": (page(f"<article><p>{PARAGRAPH}</p><ul><li><a href=1>Reference one</a><li><a href=2>Reference two</a><li><a href=3>Reference three</a></ul></article>"), f"{PARAGRAPH}\n\nReference one\n\nReference two\n\nReference three"),
+    "links among paragraphs": (page(f"<div id=wrap><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul><div><p>{PARAGRAPH}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>{PARAGRAPH}</p></div></div>"), f"{PARAGRAPH}\n\nOne\n\nTwo\n\nThree\n\n{PARAGRAPH}"),
+    "names inside the article": (page(f"<article><div class='social-science'>{PARAGRAPH}</div><p id='menu-design'>{PARAGRAPH}</p><h2 id=search>Search</h2><h2 class=header>Head</h2><p title='a hidden place'>{PARAGRAPH}</p><div class='ad-banner'>Buy</div><p class=advertisement>Buy more</p><div class='share-buttons'>Share</div><div id=comments><p>{PARAGRAPH}</p></div><div hidden>{PARAGRAPH}</div></article>"), f"{PARAGRAPH}\n\n{PARAGRAPH}\n\nSearch\n\nHead\n\n{PARAGRAPH}"),
+    "text that isn't markup": (page(f"<article><p>{PARAGRAPH} <math><mi>x</mi><mo>+</mo><mn>1</mn></math> <label>labelled</label> <object>drawn</object> <noscript>still</noscript> end</p></article>"), f"{PARAGRAPH} x+1 labelled drawn still end"),
+    "a short second div": (page(f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div><p>Short end.</p></div><div class=footer>Foot</div>"), f"{PARAGRAPH}\n\n{PARAGRAPH}\n\nShort end."),
+    "parts of an article": (page(f"<article><div class=a><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div class=b><p>Tiny.</p></div></article>"), f"{PARAGRAPH}\n\n{PARAGRAPH}\n\nTiny."),
+    "enable scripts": (page(f"<noscript>Please enable scripts, for this site, at once.</noscript><article><p>{PARAGRAPH}</p></article>"), PARAGRAPH),
     "unclosed": (f"<html><body><article><h1>T<p>{PARAGRAPH}<p>{PARAGRAPH}", f"T\n\n{PARAGRAPH}\n\n{PARAGRAPH}"),
 }
 
@@ -38,6 +46,27 @@ def test_main_text(name):
         assert html_extract.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 200_000 + f"<p>{PARAGRAPH}",
+        "<b>" * 200_000 + PARAGRAPH + "</i>" * 200_000,
+        f"<article><p>{PARAGRAPH}</p></article>" + "<a " * 350_000,
+        f"<article><p>{PARAGRAPH}</p></article>" + "<textarea>" * 100_000,
+        f"<article><p>{PARAGRAPH}</p></article><!-- " + "<a href='" * 100_000,
+        f"<article><p>{PARAGRAPH}</p></article>" + "<a x='> <a x=\"> " * 60_000,
+        f"<article><p>{PARAGRAPH}</p></article><i " + "a" * 1_000_000 + ">",
+        "<i><article>" + "<b>" * 100_000 + PARAGRAPH + "</i>" * 100_000,
+        "<ul>" + "<li><ul>" * 60_000 + f"</ul><p>{PARAGRAPH}",
+    ],
+    ids=["divs", "stray ends", "unended tags", "unended raw", "unended comment", "quotes", "attribute", "barrier", "lists"],
+)
+def test_time_grows_with_the_length_of_a_page(html):
+    begin = time.process_time()
+    assert PARAGRAPH in html_extract.main_text(html)
+    assert time.process_time() - begin < 12
+
+
 def test_extract_keeps_every_row_and_whole_texts(spark):
     long = page("<article>" + f"<p>{PARAGRAPH}</p>" * 5000 + "</article>")
     deep = "<div>" * 3000 + f"<p>{PARAGRAPH}</p>"
