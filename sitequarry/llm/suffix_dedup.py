@@ -7,13 +7,15 @@ with the least hash; windows with the same trigger in a row make a phrase, which
 window to the last byte of its last, so phrases overlap by length - 1 bytes and each suffix of `length` bytes lies in just
 one. Equal suffixes have equal triggers, at equal places. So a phrase whose trigger is in no other document holds no
 repeated suffix, and equal phrases hold equal suffixes: copies are settled phrase by phrase, by the smallest document that
-has the phrase. Dictionary: only where a trigger stands in different phrases (at the borders of what is shared) are the
-suffixes of each different phrase sorted, and equal ones take the smallest document among their phrases. Combining both
-gives each occurrence in the parse its removed suffixes, and these give the spans.
+has the phrase. Dictionary: the different phrases, told apart by their bytes. Where a trigger stands in different phrases
+with the same string on a side of it (at the borders of what is shared), the suffixes of these phrases are sorted by their
+bytes into a suffix array, whose runs of equal suffixes take the smallest document among their phrases. Combining both gives
+each occurrence in the parse its removed suffixes, and these give the spans.
 
-The work is done in passes over blocks of documents (see blocks.py): which triggers are shared, which phrases, which
-suffixes. Triggers are compared by 48 bits (what meets by chance is only looked at twice), phrases by 64 more, suffixes by
-64 bits and 16 of their trigger's.
+The work is done in three passes over blocks of documents (see blocks.py): which triggers are shared, what the dictionary
+says of a block's phrases, which bytes go. The phrases of a trigger meet in one range. A trigger that stands in more than `busy` different
+phrases of a block could bring a range without bound, so everywhere its phrases are cut to single suffixes, which are dealt by their bytes.
+Hashes (48 bits of a trigger, 64 of a phrase) only choose what is compared and what is cut; bytes decide.
 
 Defined results: null texts are empty; an empty text has no bytes and no spans; rows with equal ids don't remove from each
 other; a null id counts as the smallest; texts of any length are read whole, a piece at a time; an empty table gives no rows; columns
@@ -23,9 +25,12 @@ named in `carry` come along, others are ignored.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,33 +45,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Phrases(NamedTuple):
+    """Phrases in text order. The bytes of one are data[at : at + windows + length - 1]."""
+
+    data: bytes
+    trigger: np.ndarray  # 48 bits of the hash
+    mark: np.ndarray  # a hash of the phrase
+    doc: np.ndarray
+    start: np.ndarray  # in the text
+    windows: np.ndarray
+    before: np.ndarray  # bytes before the trigger
+    at: np.ndarray
+
+
 class Parser:
     """Phrases of texts. The rolling hash of any string is a difference of running sums, scaled back to its start."""
 
-    def __init__(self, length: int, k: int, seed: int = 42):
-        self.length, self.k = length, k
-        self.left = (length - k) // 2
-        self.right = length - k - max(0, self.left - 1)
+    def __init__(self, length: int, k: int, chunk: int = CHUNK, seed: int = 42):
+        self.length, self.k, self.chunk = length, k, chunk
         rng = np.random.default_rng(seed)
         self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        n = CHUNK + 2 * length
+        n = chunk + 2 * length
         base = 0x9E3779B97F4A7C15 | 1
         back = pow(base, -1, 1 << 64)
         self.up = np.cumprod(np.full(n, base, np.uint64))
         self.down = np.cumprod(np.full(n, back, np.uint64))
 
-    def _string(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of strings, in 32 bits, never 0."""
-        first = np.maximum(first, 0)
-        return (_mixed((sums[end] - sums[first]) * self.down[np.minimum(first, len(self.down) - 1)]) >> np.uint64(32)) | np.uint64(1)
-
     def chunks(self, texts: list[bytes]):
         """(buffer, doc, begin, first) of joined texts: buffer, and for each piece its document, its place in the buffer and in the text."""
         parts, doc, begin, first, used = [], [], [], [], 0
         for d, text in enumerate(texts):
-            for at in range(0, max(0, len(text) - self.length + 1), CHUNK):
-                piece = text[at : at + CHUNK + self.length - 1]
-                if used + len(piece) > CHUNK + self.length - 1 and parts:
+            for at in range(0, max(0, len(text) - self.length + 1), self.chunk):
+                piece = text[at : at + self.chunk + self.length - 1]
+                if used + len(piece) > self.chunk + self.length - 1 and parts:
                     yield b"".join(parts), doc, begin, first
                     parts, doc, begin, first, used = [], [], [], [], 0
                 parts.append(piece)
@@ -77,9 +88,9 @@ class Parser:
         if parts:
             yield b"".join(parts), doc, begin, first
 
-    def phrases(self, texts: list[bytes], hold: bool = False):
-        """(trigger, phrase, doc, start, windows, left, right) of all phrases, in text order; with hold also a hash for each suffix."""
+    def phrases(self, texts: list[bytes]) -> Phrases:
         found: list[tuple] = []
+        whole, base = [], 0
         for data, doc, begin, first in self.chunks(texts):
             buffer = np.frombuffer(data, np.uint8)
             n, length, k = len(buffer), self.length, self.k
@@ -94,38 +105,63 @@ class Parser:
                 span *= 2
             if want > span:
                 least = np.minimum(least[: span - want], least[want - span :])
-            trigger_at = (least & place).astype(np.int64)
+            trigger_at = (least & place).astype(np.int32)
             begins = np.array(begin)
-            ends = np.append(begins[1:], n)
             edge = np.zeros(n + 1, np.int8)
             edge[begins] += 1
-            np.add.at(edge, ends - length + 1, -1)  # every piece has a window at least
-            inside = np.cumsum(edge)[: len(trigger_at)] > 0
-            starts = inside.copy()
-            starts[1:] &= ~inside[:-1] | (trigger_at[1:] != trigger_at[:-1])
-            lo = np.flatnonzero(starts)
+            np.add.at(edge, np.append(begins[1:], n) - length + 1, -1)  # every piece has a window at least
+            inside = np.cumsum(edge, dtype=np.int8)[: len(trigger_at)] > 0
+            other = trigger_at[1:] != trigger_at[:-1]
+            starts, stops = inside.copy(), inside
+            starts[1:] &= ~inside[:-1] | other
             stops = inside.copy()
-            stops[:-1] &= ~inside[1:] | (trigger_at[1:] != trigger_at[:-1])
-            hi = np.flatnonzero(stops)
+            stops[:-1] &= ~inside[1:] | other
+            lo, hi = np.flatnonzero(starts), np.flatnonzero(stops)
             at = trigger_at[lo]
-            phrase = _mixed((sums[hi + length] - sums[lo]) * self.down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            # two windows at one place of their triggers are equal only if what lies left of the triggers is, or what lies right
-            left = np.where(at - lo >= self.left, self._string(sums, at - self.left, at), 0).astype(np.uint32)
-            right = np.where(hi + length - at - k >= self.right, self._string(sums, at + k, np.minimum(at + k + self.right, n)), 0).astype(np.uint32)
             piece = np.searchsorted(begins, lo, side="right") - 1
-            suffixes = _mixed((sums[length:] - sums[:-length]) * self.down[: n - length + 1]) if hold else None
-            found.append((grams[at] >> np.uint64(16), phrase, np.array(doc)[piece], lo - begins[piece] + np.array(first)[piece], hi - lo + 1, left, right, (suffixes, lo)))
+            # the least of hashes is small: hashed again, triggers spread evenly over ranges
+            mark = _mixed((sums[hi + length] - sums[lo]) * self.down[lo])
+            found.append((_mixed(grams[at]) >> np.uint64(16), mark, np.array(doc)[piece], lo - begins[piece] + np.array(first)[piece], hi - lo + 1, at - lo, lo + base))
+            whole.append(data)
+            base += n
         if not found:
-            zero = np.zeros(0, np.uint64)
             none = np.zeros(0, np.int64)
-            return zero, zero, none, none, none, none.astype(np.uint32), none.astype(np.uint32), []
-        joined = [np.concatenate([f[i] for f in found]) for i in range(7)]
-        return *joined, [f[7] for f in found]
+            return Phrases(b"", none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none)
+        return Phrases(b"".join(whole), *[np.concatenate(x) for x in zip(*found)])
+
+
+def big_endian(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The `size` bytes from each place on as numbers that sort like them; data ends with seven bytes more than are asked."""
+    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+    load = lambda x: np.ascontiguousarray(eights[x]).view(">u8")[:, 0].astype(np.uint64)
+    if size < 8:
+        return [load(at) >> np.uint64(64 - 8 * size)] if size else [np.zeros(len(at), np.uint64)]
+    out = [load(at + j) for j in range(0, size - 7, 8)]
+    return out + [load(at + size - 8)] * bool(size % 8)
+
+
+def runs_of(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows, in that order, differ from the one before."""
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for key in keys:
+            sorted_ = key[order]
+            new[1:] |= sorted_[1:] != sorted_[:-1]
+    return new
 
 
-def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] numbers), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
+    """A block by id and text, so that every pass meets its phrases in one order; its ids and texts."""
     ids = np.array([NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-    return ids, [b"" if x is None else x.encode() for x in table.column("text").to_pylist()]
+    texts = [b"" if x is None else x.encode() for x in table.column("text").to_pylist()]
+    order = np.lexsort((np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64), ids))
+    return table.take(pa.array(order)), ids[order], [texts[i] for i in order.tolist()]
 
 
 def _rows(names: str, rows: list[tuple]) -> pa.Table:
@@ -135,234 +171,216 @@ def _rows(names: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _least_by(order: np.ndarray, change: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each row, the least document of its group; order sorts the rows by group, change marks the first of each."""
-    firsts = np.flatnonzero(change)
-    least = np.minimum.reduceat(docs[order], firsts)
-    out = np.empty(len(docs), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(firsts, len(order))))
-    return out
+TRIGGERS = "range int, block int, keys binary, busy binary"
+PHRASES = "range int, block int, keys binary, sizes binary, phrases binary, docs binary, before binary"
+#: kind 0: the triggers that other blocks have too (data) and those that are busy (docs); 1: bits of the dictionary (data, suffixes), smallest documents (docs)
+ANSWER = "block int, range int, kind int, data binary, suffixes binary, docs binary"
+
 
+class Dictionary(NamedTuple):
+    """A block's different phrases whose trigger may be in another document, by key, and where they occur."""
 
-PHRASES = "range int, block int, keys binary, phrases binary, docs binary, sides binary"
-ANSWER = "block int, range int, kind int, data binary, docs binary"  # kind 0: shared triggers, 1: settled phrases, 2: settled suffixes
-SUFFIXES = "range int, block int, keys binary, suffixes binary, docs binary"
+    key: np.ndarray
+    phrase: pa.BinaryArray
+    doc: np.ndarray  # the smallest of the block that has the phrase
+    before: np.ndarray
+    of: np.ndarray  # of each occurrence, in text order, the place in the dictionary
+    occurs: np.ndarray  # the document of each occurrence
+    start: np.ndarray
+    windows: np.ndarray
 
 
 class Passes:
     """What is done with a block or a range of keys in each pass."""
 
-    def __init__(self, length: int, k: int, ranges: int):
-        self.parser, self.length, self.ranges = Parser(length, k), length, ranges
+    def __init__(self, length: int, k: int, ranges: int, busy: int, chunk: int):
+        self.parser, self.length, self.k, self.ranges, self.busy = Parser(length, k, chunk), length, k, ranges, busy
+        self.left = (length - k) // 2
+        self.right = length - k - max(0, self.left - 1)
 
     def ask_triggers(self, docs: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
-        keys = np.unique(self.parser.phrases(_texts(docs)[1])[0])
-        return _rows("range int, block int, keys binary", [(r, block, pack48(keys[s])) for r, s in split_ranges(keys, self.ranges, 48)])
+        _, _, texts = _ordered(docs)
+        found = self.parser.phrases(texts)
+        order = np.lexsort((found.mark, found.trigger))
+        keys, count = np.unique(found.trigger[order[runs_of(order, [found.trigger, found.mark])]], return_counts=True)
+        busy = count > self.busy
+        return _rows(TRIGGERS, [(r, block, pack48(keys[s]), pack48(keys[s][busy[s]])) for r, s in split_ranges(keys, self.ranges, 48)])
 
     def shared_triggers(self, asked: pa.Table) -> pa.Table:
-        """To each block, those of its triggers that another block has too."""
+        """To each block, those of its triggers that another block has too, and those that are busy in any block."""
         blocks = asked.column("block").to_pylist()
         keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
+        busy = np.unique(np.concatenate([unpack48(x) for x in asked.column("busy").to_pylist()]))
         joined = np.sort(np.concatenate(keys))
         shared = np.unique(joined[1:][joined[1:] == joined[:-1]])
         own = asked.column("range")[0].as_py()
-        return _rows(ANSWER, [(b, own, 0, pack48(x[np.isin(x, shared, assume_unique=True)]), b"") for b, x in zip(blocks, keys)])
-
-    def _dictionary(self, ids: np.ndarray, found, shared: np.ndarray):
-        """The different (trigger, phrase) of a block whose trigger may be in another document, and the least document of each."""
-        trigger, phrase, doc = found[0], found[1], ids[found[2]]
-        order = np.lexsort((doc, trigger))
-        t, d = trigger[order], doc[order]
+        among = lambda x, some: pack48(x[np.isin(x, some, assume_unique=True)])
+        return _rows(ANSWER, [(b, own, 0, among(x, shared), b"", among(x, busy)) for b, x in zip(blocks, keys)])
+
+    def _dictionary(self, ids: np.ndarray, found: Phrases, answers: pa.Table) -> Dictionary:
+        first = answers.filter(pc.equal(answers.column("kind"), 0))
+        told = lambda name: np.concatenate([np.zeros(0, np.uint64), *map(unpack48, first.column(name).to_pylist())])
+        doc = ids[found.doc]
+        order = np.lexsort((doc, found.trigger))
+        t, d = found.trigger[order], doc[order]
         several = np.unique(t[1:][(t[1:] == t[:-1]) & (d[1:] != d[:-1])])
-        keep = np.flatnonzero(np.isin(trigger, np.union1d(shared, several)))
-        order = keep[np.lexsort((doc[keep], phrase[keep], trigger[keep]))]
-        t, p = trigger[order], phrase[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
-        return t[first], p[first], doc[order][first], np.stack([found[5][order][first], found[6][order][first]], axis=1)
+        some = np.flatnonzero(np.isin(found.trigger, np.union1d(told("data"), several)))
+        busy = np.isin(found.trigger[some], told("docs"))
+        times = np.where(busy, found.windows[some], 1)  # a busy trigger's phrases are cut to single suffixes
+        at, start, before = spread(found.at[some], times), spread(found.start[some], times), np.repeat(found.before[some], times) - spread(np.zeros(len(some), np.int64), times)
+        windows, doc, key = np.repeat(np.where(busy, 1, found.windows[some]), times), np.repeat(found.doc[some], times), np.repeat(found.trigger[some], times)
+        data, size = found.data, self.length - 1
+        bytes_of = [data[a : a + n + size] for a, n in zip(at.tolist(), windows.tolist())]
+        if busy.any():
+            cut = np.flatnonzero(np.repeat(busy, times))
+            key[cut] = np.array([xxhash.xxh64_intdigest(bytes_of[i]) >> 16 for i in cut.tolist()], np.uint64)
+        encoded = pa.array(bytes_of, pa.binary()).dictionary_encode()
+        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first_of = np.unique(code, return_index=True)[1]  # documents are in order, so it is the smallest that has the phrase
+        order = np.argsort(key[first_of], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        one = first_of[order]
+        return Dictionary(key[one], encoded.dictionary.take(pa.array(order)), ids[doc[one]], before[one], place[code] if len(code) else code, doc, start, windows)
 
     def ask_phrases(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows(PHRASES, [])
-        block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
-        t, p, d, sides = self._dictionary(ids, self.parser.phrases(texts), self._shared(answers))
-        return _rows(PHRASES, [(r, block, pack48(t[s]), p[s].tobytes(), planes(d[s]), sides[s].tobytes()) for r, s in split_ranges(t, self.ranges, 48)])
-
-    def settled_phrases(self, asked: pa.Table) -> pa.Table:
-        """To each block, for its phrases: the least document with the phrase, and whether it is contested: another phrase
-        has its trigger and the same string on a side of it. What is neither contested nor in another block is left out."""
-        blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
-        keys = [unpack48(x) for x in asked.column("keys").to_pylist()]
-        joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
-        t, p, d, sides = np.concatenate(keys), joined("phrases", np.uint64), np.concatenate([from_planes(x, np.int64) for x in asked.column("docs").to_pylist()]), joined("sides", np.uint32).reshape(-1, 2)
-        order = np.lexsort((p, t))
-        new = np.ones(len(order), bool)
-        new[1:] = (t[order][1:] != t[order][:-1]) | (p[order][1:] != p[order][:-1])
-        least = _least_by(order, new, d)
-        firsts = np.flatnonzero(new)
-        one = order[firsts]  # a row for each phrase
-        contested = np.zeros(len(one), bool)
-        for side in (0, 1):
-            value = sides[one, side]
-            by = np.lexsort((value, t[one]))
-            same = (t[one][by][1:] == t[one][by][:-1]) & (value[by][1:] == value[by][:-1]) & (value[by][1:] != 0)
-            contested[by[1:][same]] = True
-            contested[by[:-1][same]] = True
-        times = np.diff(np.append(firsts, len(order)))
-        several, told = np.empty(len(order), bool), np.empty(len(order), bool)
-        several[order] = np.repeat(contested, times)
-        told[order] = np.repeat(contested | (times > 1), times)
-        cuts = np.cumsum([0, *map(len, keys)])
-        bits = lambda x: np.packbits(x).tobytes()
-        return _rows(ANSWER, [(b, own, 1, bits(told[x:y]) + bits(several[x:y]), planes(least[x:y][told[x:y]])) for b, x, y in zip(blocks, cuts, cuts[1:])])
-
-    @staticmethod
-    def _shared(answers: pa.Table) -> np.ndarray:
-        """The triggers of a block that other blocks have too."""
-        got = [unpack48(r["data"]) for r in answers.to_pylist() if r["kind"] == 0]
-        return np.concatenate(got) if got else np.zeros(0, np.uint64)
-
-    def _settled(self, ids: np.ndarray, found, answers: pa.Table):
-        """Of a block's phrases, those that the ranges told of: triggers, phrases, least documents, whether contested. An answer
-        has two bits for each phrase asked, in that order, and the documents of those told of."""
-        t, p, _, _ = self._dictionary(ids, found, self._shared(answers))
-        told, contested, least = np.zeros(len(t), bool), np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-        parts = dict(split_ranges(t, self.ranges, 48))
-        for r in answers.to_pylist():
-            if r["kind"] == 1:
-                s = parts[r["range"]]
-                n = s.stop - s.start
-                both = np.frombuffer(r["data"], np.uint8)
-                told[s], contested[s] = (np.unpackbits(x, count=n).astype(bool) for x in np.split(both, 2))
-                least[np.arange(s.start, s.stop)[told[s]]] = from_planes(r["docs"], np.int64)
-        return t[told], p[told], least[told], contested[told]
-
-    @staticmethod
-    def _where(t: np.ndarray, p: np.ndarray, trigger: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-        """The place of each occurrence's (trigger, phrase) among the settled ones, or -1."""
-        if not len(t):
-            return np.full(len(trigger), -1)
-        both = _mixed(t * np.uint64(0x9FB21C651E98DF25)) ^ p
-        order = np.argsort(both)
-        mine = _mixed(trigger * np.uint64(0x9FB21C651E98DF25)) ^ phrase
-        at = order[np.minimum(np.searchsorted(both, mine, sorter=order), len(t) - 1)]
-        return np.where((t[at] == trigger) & (p[at] == phrase), at, -1)
-
-    def _contested(self, ids: np.ndarray, found, settled):
-        """The occurrences of contested phrases in their least document, and the suffixes of each such phrase, once."""
-        t, p, least, contested = settled
-        at = self._where(t, p, found[0], found[1])
-        doc = ids[found[2]]
-        own = np.flatnonzero((at >= 0) & contested[at] & (least[at] == doc)) if len(t) else np.zeros(0, np.int64)
-        _, first, same = np.unique(at[own], return_index=True, return_inverse=True)
-        order = np.argsort(first)  # own is in text order
-        some = own[first[order]]
-        asked = np.argsort(order)[same]  # of each occurrence in own, which of some has its suffixes
-        suffixes, bounds, base = [], [], 0
-        for hashes, lo in found[7]:
-            here = some[(some >= base) & (some < base + len(lo))] - base
-            suffixes += [hashes[lo[i] : lo[i] + found[4][base + i]] for i in here.tolist()]
-            base += len(lo)
-        joined = np.concatenate(suffixes) if suffixes else np.zeros(0, np.uint64)
-        count = found[4][some]
-        return at, own, asked, joined, np.repeat(found[0][some], count), np.repeat(doc[some], count), count
-
-    def ask_suffixes(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or not answers.num_rows:
-            return _rows(SUFFIXES, [])
-        block, (ids, texts) = docs.column("block")[0].as_py(), _texts(docs)
-        found = self.parser.phrases(texts, True)
-        _, _, _, hashes, trigger, doc, _ = self._contested(ids, found, self._settled(ids, found, answers))
-        order = np.argsort(hashes, kind="stable")
-        h, t, d = hashes[order], trigger[order], doc[order]
-        tag = t.astype(np.uint16)  # 16 bits of the trigger, beside the suffix's 64
-        return _rows(SUFFIXES, [(r, block, tag[s].tobytes(), planes(h[s]), planes(d[s])) for r, s in split_ranges(h, self.ranges, 64)])
-
-    def settled_suffixes(self, asked: pa.Table) -> pa.Table:
-        """To each block, for each of its suffixes in the order asked, whether a smaller document has it."""
+        block = docs.column("block")[0].as_py()
+        _, ids, texts = _ordered(docs)
+        known = self._dictionary(ids, self.parser.phrases(texts), answers)
+        n = len(known.key)
+        ends = np.frombuffer(known.phrase.buffers()[1], np.int32, n + 1) if n else np.zeros(1, np.int32)
+        data = known.phrase.buffers()[2] if n else b""
+        two = lambda x: x.astype("<u2")
+        return _rows(PHRASES, [(r, block, pack48(known.key[s]), planes(two(np.diff(ends[s.start : s.stop + 1]))), data[int(ends[s.start]) : int(ends[s.stop])].to_pybytes(), planes(known.doc[s]), planes(two(known.before[s]))) for r, s in split_ranges(known.key, self.ranges, 48)])
+
+    def _contested(self, key: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Which of different phrases share a trigger and the string left or right of it with another: two suffixes at one place of
+        their triggers are equal only if what lies left of the triggers is, or what lies right."""
+        out = np.zeros(len(key), bool)
+        order = np.argsort(key, kind="stable")
+        new = runs_of(order, [key])
+        several = order[np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))]
+        for from_trigger, length, there in ((-self.left, self.left, before >= self.left), (self.k, self.right, size - before - self.k >= self.right)):
+            some = several[there[several]]
+            words = [key[some], *big_endian(data, (at + before)[some] + from_trigger, length)]
+            by = np.lexsort(words[::-1])
+            same = ~runs_of(by, words)[1:]
+            out[some[by[1:][same]]] = True
+            out[some[by[:-1][same]]] = True
+        return out
+
+    def _suffix_array(self, data: np.ndarray, at: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Of each suffix of phrases (at, count suffixes each), whether a phrase with a smaller document has it."""
+        words = big_endian(data, spread(at, count), self.length)
+        order = np.lexsort(words[::-1])
+        firsts = np.flatnonzero(runs_of(order, words))
+        doc = np.repeat(least, count)
+        smallest = np.minimum.reduceat(doc[order], firsts)
+        out = np.empty(len(doc), bool)
+        out[order] = np.repeat(smallest, np.diff(np.append(firsts, len(order)))) < doc[order]
+        return out
+
+    def settled_phrases(self, asked: pa.Table, at_once: int = 1 << 18) -> pa.Table:
+        """To each block, for its phrases in the order asked: whether there is something to tell, the smallest document with the phrase, and, where the
+        phrase is contested and the block has that document, which of its suffixes a smaller document has in another phrase."""
         blocks, own = asked.column("block").to_pylist(), asked.column("range")[0].as_py()
-        keys = [np.frombuffer(x, np.uint16) for x in asked.column("keys").to_pylist()]
-        t, h = np.concatenate(keys), np.concatenate([from_planes(x, np.uint64) for x in asked.column("suffixes").to_pylist()])
-        d = np.concatenate([from_planes(x, np.int64) for x in asked.column("docs").to_pylist()])
-        order = np.lexsort((t, h))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
-        smaller = _least_by(order, new, d) < d
-        cuts = np.cumsum([0, *map(len, keys)])
-        return _rows(ANSWER, [(b, own, 2, np.packbits(smaller[x:y]).tobytes(), b"") for b, x, y in zip(blocks, cuts, cuts[1:])])
-
-    def spans(self, docs: pa.Table, answers: pa.Table) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-        """The texts of a block and the removed spans of each."""
-        ids, texts = _texts(docs)
-        removed: list[list[tuple[int, int]]] = [[] for _ in texts]
-        found = self.parser.phrases(texts, True)
-        if not len(found[0]):
-            return texts, removed
-        settled = self._settled(ids, found, answers)
-        at, own, asked, hashes, _, _, count = self._contested(ids, found, settled)
-        order = np.argsort(hashes, kind="stable")
-        smaller = np.zeros(len(hashes), bool)
-        bits = {r["range"]: r["data"] for r in answers.to_pylist() if r["kind"] == 2}
-        for r, s in split_ranges(hashes[order], self.ranges, 64):
-            smaller[order[s]] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=s.stop - s.start).astype(bool)
-        doc, start, windows = found[2], found[3], found[4]
-        # a phrase of which no answer came is in this block alone
-        order = np.lexsort((found[1], found[0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (found[0][order][1:] != found[0][order][:-1]) | (found[1][order][1:] != found[1][order][:-1])
-        least = _least_by(order, new, ids[doc])
-        if len(settled[2]):
-            least = np.where(at >= 0, settled[2][at], least)
-        whole = np.flatnonzero(least < ids[doc])
+        column = lambda name: asked.column(name).to_pylist()
+        parts = [unpack48(x) for x in column("keys")]
+        key, doc = np.concatenate(parts), np.concatenate([from_planes(x, np.int64) for x in column("docs")])
+        size, before = (np.concatenate([from_planes(x, "<u2") for x in column(name)]).astype(np.int64) for name in ("sizes", "before"))
+        joined = b"".join(column("phrases"))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        code = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(joined)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        data = np.frombuffer(joined + bytes(8), np.uint8)
+        _, one, times = np.unique(code, return_index=True, return_counts=True)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        contested = self._contested(key[one], data, ends[one], size[one], before[one])
+        # suffix arrays of the contested phrases, as many whole triggers at once as have about at_once suffixes
+        some = np.flatnonzero(contested)
+        some = some[np.argsort(key[one[some]], kind="stable")]
+        count = size[one[some]] - self.length + 1
+        borders = np.flatnonzero(runs_of(np.arange(len(some)), [key[one[some]]]))
+        cuts = borders[np.unique(np.cumsum(count)[borders] // at_once, return_index=True)[1]] if len(borders) else borders
+        smaller = [self._suffix_array(data, ends[one[some[a:b]]], count[a:b], least[some[a:b]]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(some)])]
+        smaller = np.concatenate([np.zeros(0, bool), *smaller])
+        first = np.zeros(len(one), np.int64)
+        first[some] = np.cumsum(count) - count
+        told, from_here = (contested | (times > 1))[code], contested[code] & (doc == least[code])
+        out, a = [], 0
+        for b, part in zip(blocks, parts):
+            here = slice(a, a + len(part))
+            with_suffixes = np.flatnonzero(from_here[here]) + a
+            bits = smaller[spread(first[code[with_suffixes]], size[with_suffixes] - self.length + 1)]
+            flags = np.packbits(told[here]).tobytes() + np.packbits(from_here[here]).tobytes()
+            out.append((b, own, 1, flags, np.packbits(bits).tobytes(), planes(least[code[here][told[here]]])))
+            a += len(part)
+        return _rows(ANSWER, out)
+
+    def spans(self, ids: np.ndarray, texts: list[bytes], answers: pa.Table) -> list[np.ndarray]:
+        """The removed spans of each text: rows of first and end."""
+        known = self._dictionary(ids, self.parser.phrases(texts), answers)
+        least, has_suffixes, first = known.doc.copy(), np.zeros(len(known.key), bool), np.zeros(len(known.key), np.int64)
+        size = np.diff(np.frombuffer(known.phrase.buffers()[1], np.int32, len(known.key) + 1)).astype(np.int64) if len(known.key) else np.zeros(0, np.int64)
+        parts, smaller, base = dict(split_ranges(known.key, self.ranges, 48)), [np.zeros(0, bool)], 0
+        for r in answers.filter(pc.equal(answers.column("kind"), 1)).to_pylist():
+            s = parts[r["range"]]
+            n = s.stop - s.start
+            told, flagged = (np.flatnonzero(np.unpackbits(x, count=n)) + s.start for x in np.split(np.frombuffer(r["data"], np.uint8), 2))
+            least[told] = from_planes(r["docs"], np.int64)
+            has_suffixes[flagged] = True
+            count = size[flagged] - self.length + 1
+            first[flagged] = base + np.cumsum(count) - count
+            smaller.append(np.unpackbits(np.frombuffer(r["suffixes"], np.uint8), count=int(count.sum())).astype(bool))
+            base += int(count.sum())
+        smaller = np.concatenate(smaller)
+        doc = ids[known.occurs]
+        whole = np.flatnonzero(least[known.of] < doc)
         # suffixes that are set, in runs within their phrase
-        count, begin = count[asked], (np.cumsum(count) - count)[asked]
-        phrase = np.repeat(own, count)
-        offset = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-        on = np.flatnonzero(smaller[np.repeat(begin, count) + offset])
-        first = np.ones(len(on), bool)
-        first[1:] = (on[1:] != on[:-1] + 1) | (phrase[on[1:]] != phrase[on[:-1]])
-        heads = np.flatnonzero(first)
-        tails = np.append(heads[1:], len(on))[: len(heads)] - 1
-        d = np.concatenate([doc[whole], doc[phrase[on[heads]]]])
-        a = np.concatenate([start[whole], start[phrase[on[heads]]] + offset[on[heads]]])
-        z = np.concatenate([start[whole] + windows[whole], start[phrase[on[tails]]] + offset[on[tails]] + 1]) + self.length - 1
+        part = np.flatnonzero(has_suffixes[known.of] & (least[known.of] == doc))
+        count = known.windows[part]
+        on = np.flatnonzero(smaller[spread(first[known.of[part]], count)])
+        of, offset = np.repeat(part, count)[on], spread(np.zeros(len(part), np.int64), count)[on]
+        a = np.concatenate([known.start[whole], known.start[of] + offset])
+        z = np.concatenate([known.start[whole] + known.windows[whole], known.start[of] + offset + 1]) + self.length - 1
+        d = np.concatenate([known.occurs[whole], known.occurs[of]])
         order = np.lexsort((a, d))
-        for i, x, y in zip(d[order].tolist(), a[order].tolist(), z[order].tolist()):
-            if removed[i] and x <= removed[i][-1][1]:
-                removed[i][-1] = (removed[i][-1][0], max(y, removed[i][-1][1]))
-            else:
-                removed[i].append((x, y))
-        return texts, removed
+        a, z, d = a[order], z[order], d[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (d[1:] != d[:-1]) | (a[1:] > z[:-1])  # suffixes are in order, so ends are too
+        begins = np.flatnonzero(new)
+        merged = np.stack([a[begins], z[np.append(begins[1:], len(a))[: len(begins)] - 1]], axis=1)
+        return np.split(merged, np.searchsorted(d[begins], np.arange(1, len(texts)))) if texts else []
 
 
-def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    cuts = [0, *(x for s in spans for x in s), len(text)]
+def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
+    cuts = [0, *spans.ravel().tolist(), len(text)]
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 3 << 20, range_bytes: int = 12 << 20, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), length: int = 50, k: int = 20, block_bytes: int = 3 << 20, range_bytes: int = 12 << 20, busy: int = 64, chunk_bytes: int = CHUNK, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with carried columns; with_text also spans and text
     (what is kept; a character that a span cuts in two is left out)."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     blocks, n_blocks = by_block(read, block_bytes)
     ranges = ranges_of(n_blocks, block_bytes, range_bytes)
-    passes = Passes(length, k, ranges)
-    asked = blocks.groupBy("block").applyInArrow(lambda t: passes.ask_triggers(t), "range int, block int, keys binary")
+    passes = Passes(length, k, ranges, busy, chunk_bytes)
+    asked = blocks.groupBy("block").applyInArrow(lambda t: passes.ask_triggers(t), TRIGGERS)
     shared = by_range(asked, ranges).groupBy("range").applyInArrow(lambda t: passes.shared_triggers(t), ANSWER)
     phrases = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: passes.ask_phrases(a, b), PHRASES)
     settled = by_range(phrases, ranges).groupBy("range").applyInArrow(lambda t: passes.settled_phrases(t), ANSWER)
-    told = shared.unionByName(settled)
-    suffixes = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: passes.ask_suffixes(a, b), SUFFIXES)
-    last = by_range(suffixes, ranges).groupBy("range").applyInArrow(lambda t: passes.settled_suffixes(t), ANSWER)
 
     kinds = {f.name: f.dataType.simpleString() for f in read.schema}
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", carried_{c} {kinds[f'carried_{c}']}" for c in carry) + (", spans array<struct<first:long,end:long>>, text string" if with_text else "")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, removed = passes.spans(left, right)
+        left, ids, texts = _ordered(left)
+        removed = passes.spans(ids, texts, right)
         give_back()
-        kept = [kept_bytes(x, s) if s else x for x, s in zip(texts, removed)]
+        kept = [kept_bytes(x, s) if len(s) else x for x, s in zip(texts, removed)]
         long = lambda x: pa.array(x, pa.int64())
         columns = {
             "doc_id": left.column("doc_id"),
@@ -372,9 +390,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         } | {f"carried_{c}": left.column(f"carried_{c}") for c in carry}
         if with_text:
-            columns["spans"] = pa.array([[{"first": a, "end": b} for a, b in s] for s in removed], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+            columns["spans"] = pa.array([[{"first": a, "end": b} for a, b in s.tolist()] for s in removed], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             columns["text"] = pa.array([x.decode(errors="ignore") for x in kept], pa.string())
         return pa.table(columns)
 
-    out = blocks.groupBy("block").cogroup(told.unionByName(last).groupBy("block")).applyInArrow(remove, result)
+    out = blocks.groupBy("block").cogroup(shared.unionByName(settled).groupBy("block")).applyInArrow(remove, result)
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})

@@ -97,19 +97,37 @@ def test_removed_suffixes_equal_brute_force(request, name, block, k):
     assert all(sum(s.end - s.first for s in r.spans) == r.n_removed for r in got)
 
 
-def test_texts_longer_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
+def random_text(rng, words, n):
+    return " ".join(words[i] for i in rng.integers(0, len(words), n).tolist())
+
+
+@pytest.mark.parametrize("chunk,busy", [(1 << 10, 64), (200, 1), (1 << 18, 0)])
+def test_texts_longer_than_a_chunk_and_busy_triggers(spark, chunk, busy):
+    """Passages that lie across the borders of pieces, in every place; triggers whose phrases are cut to single suffixes."""
     rng = np.random.default_rng(1)
     words = ["".join(map(chr, rng.integers(97, 107, 6))) for _ in range(400)]
-    text = " ".join(words)
-    rows = [(1, text), (2, "zz " + text[300:2200] + " yy"), (3, text[::-1])]
+    text, shared = random_text(rng, words, 700), random_text(rng, words, 40)
+    rows = [(1, text), (2, "zz " + text[300:4200] + " yy"), (3, text[::-1]), (4, "q" * 3000), (5, "p" * 90 + "q" * 2100), (6, "a" * 5000), (6, "a" * 5000)]
+    rows += [(10 + i, random_text(rng, words, i) + shared + random_text(rng, words, 60 + i)) for i in range(40)] + [(None, shared * 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    passes = suffix_dedup.Passes(50, 20, 3)
-    assert len(passes.parser.up) == (1 << 10) + 100
-    blob = [t.encode() for _, t in rows]
-    found = passes.parser.phrases(blob)
-    assert found[4].sum() == sum(len(b) - 49 for b in blob)
-    assert docs.count() == 3
+    got = suffix_dedup.dedup(docs, block_bytes=9000, range_bytes=20_000, busy=busy, chunk_bytes=chunk).collect()
+    have = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert have == sorted(spans_by_force([(-(1 << 63) if i is None else i, t.encode()) for i, t in rows]))
+
+
+def test_suffixes_of_a_slice_are_sorted_by_their_bytes():
+    passes = suffix_dedup.Passes(50, 20, 3, 64, 1 << 18)
+    rng = np.random.default_rng(5)
+    phrases = [bytes(rng.integers(0, 3, 60).astype(np.uint8)) for _ in range(30)]
+    phrases += [phrases[0][5:] + b"xyz", b"\0" * 55, b"\0" * 60]
+    joined = np.frombuffer(b"".join(phrases) + bytes(8), np.uint8)
+    size = np.array([len(p) for p in phrases])
+    at, count, least = np.cumsum(size) - size, size - 49, np.arange(len(phrases))[::-1].copy()
+    flat = [(p[i : i + 50], d) for p, d in zip(phrases, least.tolist()) for i in range(len(p) - 49)]
+    words = suffix_dedup.big_endian(joined, suffix_dedup.spread(at, count), 50)
+    assert [flat[i][0] for i in np.lexsort(words[::-1])] == sorted(s for s, _ in flat)
+    want = [any(s == x and e < d for x, e in flat) for s, d in flat]
+    assert passes._suffix_array(joined, at, count, least).tolist() == want
 
 
 def test_nothing(none):
