@@ -86,6 +86,25 @@ def test_packing_is_an_exact_round_trip(request, name):
     assert rows.length.sum() == sum(len(np.frombuffer(bpe.packed(r.text or ""), bpe.kind)) + 1 for r in docs.collect())
 
 
+def test_pieces_follow_the_curve_and_rows_without_ids_spread(spark, documents):
+    docs = documents.selectExpr("cast(null as long) as doc_id", "text").unionAll(documents.selectExpr("7 as doc_id", "'one text of many rows, all of one id' as text"))
+    total = docs.selectExpr("sum(octet_length(text))").first()[0]
+    rows = curve_packing.pack(docs, part_bytes=total // 8, sample=200).toPandas().sort_values(["sequence_id", "offset"])
+    part = rows.sequence_id // (1 << 40)
+    assert rows.place.diff().fillna(0).min() >= 0  # parts are ranges of the curve, and documents lie along it
+    tokens_of = rows.groupby(part).length.sum()
+    assert len(tokens_of) >= 7 and tokens_of.max() < 0.4 * tokens_of.sum()
+    assert rows[rows.doc_id == 7].groupby(part).length.sum().size > 1  # the copies share a place, but not a task
+
+
+def test_neighbours_on_the_curve_are_more_alike(documents):
+    rows = curve_packing.pack(documents).toPandas().drop_duplicates("doc_id").sort_values(["sequence_id", "offset"])
+    texts = {r.doc_id: set((r.text or "").lower().split()) for r in documents.collect()}
+    like = lambda ids: np.mean([len(a & b) / max(1, len(a | b)) for a, b in ((texts[x], texts[y]) for x, y in zip(ids, ids[1:]))])
+    along = rows.doc_id.tolist()
+    assert like(along) > 1.3 * like(np.random.default_rng(1).permutation(along).tolist())
+
+
 def test_packing_nothing(none):
     assert curve_packing.pack(none).count() == 0
 
