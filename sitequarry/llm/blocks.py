@@ -41,6 +41,28 @@ def split_ranges(keys: np.ndarray, ranges: int, bits: int):
     return [(r, slice(a, b)) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
 
 
+def whole_keys(batches):
+    """The columns of batches that are sorted by their first column, as arrays; no two pieces share a key."""
+    held: list[list[np.ndarray]] = []
+    join = lambda parts: [np.concatenate(c) for c in zip(*parts)]
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        keys = columns[0]
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if held and (cut or held[-1][0][-1] != keys[0]):
+            if cut:
+                held.append([c[:cut] for c in columns])
+            yield join(held)
+            held = []
+        elif cut:
+            yield [c[:cut] for c in columns]
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield join(held)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Values byte plane by byte plane: what sorted or small values have in common then lies together, and Spark's codec packs it."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""

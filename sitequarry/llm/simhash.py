@@ -4,8 +4,9 @@ A fingerprint has as many segments, in a ring, as there may be differing bits, p
 bits, then from some segment on every chain of l consecutive segments differs in at most l * t / (t + 1) bits: none in
 the first, one at most in the first two, and so on. The first two links of the chain make the join key: a fingerprint
 is filed under each segment with its successor, and looked up there with every single bit of the successor flipped. What
-meets goes through the longer chains before the full Hamming distance. Work is on different fingerprints, so copies cost nothing; a
-task gives the links of its buckets as a spanning forest, never as all pairs of a group.
+meets goes through the longer chains before the full Hamming distance. Work is on different fingerprints, so copies cost nothing. Beforehand, fingerprints
+that are filed under one key are compared with the next in order; what these links connect needs no more of them, so only pairs of different components
+meet, and a group of very many near copies costs about as much as it has rows. A task gives the links of its buckets as a spanning forest, never as all pairs of a group.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; texts with fewer words than a
 shingle are one shingle; repeated rows keep a row each; rows with a null id get the component of their fingerprint;
@@ -20,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import whole_keys
 from .common import materialised
 from .components import components
 
@@ -91,82 +93,76 @@ class Ring:
 def links(prints: DataFrame, distance: int = 4, block: int = 1 << 20) -> DataFrame:
     """a, b: links between different fingerprints (column print) that connect all that differ in at most `distance` bits."""
     ring = Ring(distance)
+    as_links = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], names=["a", "b"])
 
-    def filed(batches):
+    def filed(batches, looked_up: bool):
         for batch in batches:
             x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for i in range(ring.n):
-                for flip in [0, *(1 << b for b in range(ring.width[(i + 1) % ring.n]))]:
-                    yield pa.RecordBatch.from_arrays([pa.array(ring.keys(x, i, flip).view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), flip != 0))], names=["key", "print", "lookup"])
+                for flip in [0, *(1 << b for b in range(ring.width[(i + 1) % ring.n]))] if looked_up else [0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(ring.keys(x, i, flip).view(np.int64)), *batch.columns, pa.array(np.full(len(x), flip != 0))], names=["key", *batch.schema.names, "lookup"])
+
+    def adjacent(batches):
+        for keys, prints, _ in whole_keys(batches):
+            near = (keys[1:] == keys[:-1]) & (np.bitwise_count(prints[1:].view(np.uint64) ^ prints[:-1].view(np.uint64)) <= distance)
+            yield as_links(prints[:-1][near], prints[1:][near])
 
     def met(batches):
-        keys, prints, lookup = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        for batch in _then_none(batches):
-            if batch is not None:
-                keys = np.concatenate([keys, batch.column(0).to_numpy()])
-                prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-                lookup = np.concatenate([lookup, batch.column(2).to_numpy(zero_copy_only=False)])
-                whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on
-            else:
-                whole = len(keys)
-            yield from _linked(ring, keys[:whole], prints[:whole], lookup[:whole], block)
-            keys, prints, lookup = keys[whole:], prints[whole:], lookup[whole:]
-
-    dealt = prints.select("print").mapInArrow(filed, "key long, print long, lookup boolean")
-    return dealt.repartition("key").sortWithinPartitions("key", "lookup").mapInArrow(met, "a long, b long")
-
-
-def _then_none(batches):
-    yield from batches
-    yield None
-
-
-def _linked(ring: Ring, keys: np.ndarray, prints: np.ndarray, lookup: np.ndarray, block: int):
-    """The links of whole buckets (sorted by key, filed before looked up) as a spanning forest."""
-    if not len(keys):
-        return
+        for keys, prints, roots, lookup in whole_keys(batches):
+            if found := _linked(ring, keys, prints.view(np.uint64), roots, lookup.astype(bool), block):
+                yield as_links(*zip(*found))
+
+    exact = prints.select("print").mapInArrow(lambda x: filed(x, False), "key long, print long, lookup boolean")
+    near = materialised(exact.repartition("key").sortWithinPartitions("key", "print").mapInArrow(adjacent, "a long, b long").distinct())
+    rooted = prints.select("print").join(components(near).withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+    dealt = rooted.mapInArrow(lambda x: filed(x, True), "key long, print long, root long, lookup boolean")
+    return near.unionAll(dealt.repartition("key").sortWithinPartitions("key", "lookup").mapInArrow(met, "a long, b long"))
+
+
+def _linked(ring: Ring, keys: np.ndarray, prints: np.ndarray, roots: np.ndarray, lookup: np.ndarray, block: int) -> list[tuple[int, int]]:
+    """The links between different roots in whole buckets (sorted by key, filed before looked up), as a spanning forest."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
     filed = np.add.reduceat((~lookup).astype(np.int64), first)
-    busy = np.flatnonzero((filed > 0) & (size > 1))
+    busy = np.flatnonzero((filed > 0) & (np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)))
     root: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
             root[x] = x = root.get(up, up)
         return x
 
-    out: list[tuple[int, int]] = []
-    at = 0
-    while at < len(busy):
-        # many small buckets at once, or a part of the filed rows of a large one
-        pairs = np.cumsum(filed[busy[at:]] * size[busy[at:]])
-        n = max(1, int(np.searchsorted(pairs, block)))
-        for some, rows in [(busy[at : at + n], None)] if pairs[0] <= block else [(busy[at : at + 1], (a, min(a + max(1, block // int(size[busy[at]])), int(filed[busy[at]])))) for a in range(0, int(filed[busy[at]]), max(1, block // int(size[busy[at]])))]:
-            start, count, width = first[some], filed[some], size[some]
-            if rows:
-                start_left, count = start + rows[0], np.array([rows[1] - rows[0]])
-            else:
-                start_left = start
-            per = count * width
-            bucket = np.repeat(np.arange(len(some)), per)
-            place = np.arange(len(bucket)) - np.repeat(np.cumsum(per) - per, per)
-            left, right = start_left[bucket] + place // width[bucket], start[bucket] + place % width[bucket]
-            keep = left < right
-            left, right = left[keep], right[keep]
-            chain = (keys[left].view(np.uint64) >> np.uint64(58)).astype(np.int64)
-            for i in range(ring.n):
-                here = np.flatnonzero(chain == i)
-                near = here[ring.near(prints[left[here]], prints[right[here]], i)]
-                for a, b in zip(prints[left[near]].view(np.int64).tolist(), prints[right[near]].view(np.int64).tolist()):
-                    x, y = find(a), find(b)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        out.append((a, b))
-        at += n if pairs[0] <= block else 1
-    if out:
-        a, b = zip(*out)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def join(left: np.ndarray, right: np.ndarray) -> None:
+        keep = roots[left] != roots[right]
+        left, right = left[keep], right[keep]
+        chain = (keys[left].view(np.uint64) >> np.uint64(58)).astype(np.int64)
+        for i in range(ring.n):
+            here = np.flatnonzero(chain == i)
+            near = here[ring.near(prints[left[here]], prints[right[here]], i)]
+            for n, m in zip(left[near].tolist(), right[near].tolist()):
+                x, y = find(int(roots[n])), find(int(roots[m]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(prints[n : n + 1].view(np.int64)[0]), int(prints[m : m + 1].view(np.int64)[0])))
+
+    pairs = filed[busy] * size[busy]
+    small = busy[pairs <= block]
+    ends = np.cumsum(filed[small] * size[small])
+    for some in np.split(small, np.flatnonzero(np.diff(ends // block)) + 1):  # many small buckets at once
+        per = filed[some] * size[some]
+        bucket = np.repeat(np.arange(len(some)), per)
+        place = np.arange(len(bucket)) - np.repeat(np.cumsum(per) - per, per)
+        left, right = first[some][bucket] + place // size[some][bucket], first[some][bucket] + place % size[some][bucket]
+        join(left[left < right], right[left < right])
+    for b in busy[pairs > block].tolist():  # a large one root by root, with what is of another
+        rows, own = np.arange(first[b], first[b] + size[b]), np.arange(first[b], first[b] + filed[b])
+        for r in np.unique(roots[own]).tolist():
+            mine, other = own[roots[own] == r], rows[roots[rows] != r]
+            for a in range(0, len(mine), max(1, block // max(1, len(other)))):
+                part = mine[a : a + max(1, block // max(1, len(other)))]
+                join(np.repeat(part, len(other)), np.tile(other, len(part)))
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:

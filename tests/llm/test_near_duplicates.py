@@ -67,6 +67,41 @@ def test_pigeonring_loses_no_link(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_a_bucket_of_many_near_fingerprints(spark, block):
+    """Thousands of different fingerprints that share segments, in clusters that are near, and not so near, to each other."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 1 << 63))
+    prints = set()
+    for c in range(12):
+        centre = base ^ sum(1 << int(b) for b in rng.choice(26, c % 7, replace=False))
+        for _ in range(120):
+            prints.add(centre ^ sum(1 << int(b) for b in rng.choice(np.arange(30, 64), rng.integers(0, 4), replace=False)))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), 4, block=block).collect()
+    mask = (1 << 64) - 1
+    assert all(((r.a ^ r.b) & mask).bit_count() <= 4 for r in found) and len(found) < 9 * len(prints)
+    x = np.array(prints, np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 4, 1))
+    assert roots(prints, [(r.a & mask, r.b & mask) for r in found]) == roots(prints, [(prints[i], prints[j]) for i, j in near.tolist()])
+
+
+def test_pieces_of_batches_hold_whole_keys():
+    import pyarrow as pa
+
+    from sitequarry.llm.blocks import whole_keys
+
+    rng = np.random.default_rng(2)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 50), np.full(3, 60)]))
+    for cuts in ([], [5, 5, 40], [*range(0, 503, 7)], [290, 310, 350, 420, 500, 501]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["k", "v"]) for k, v in zip(np.split(keys, cuts), np.split(np.arange(503), cuts))]
+        pieces = [*whole_keys(batches)]
+        assert np.concatenate([p[1] for p in pieces]).tolist() == [*range(503)]
+        seen = [k for p in pieces for k in set(p[0].tolist())]
+        assert len(seen) == len(set(seen))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
