@@ -28,6 +28,18 @@ LANGUAGE_WORDS = {
     "fr": "le|la|les|un|une|du|des|et|ou|mais|ne|pas|être|avoir|pouvoir|vouloir|doit|falloir|savoir|merci|bonjour|bonsoir|madame|monsieur|je|tu|nous|vous|ils|elle|est|sont|était|été",
     "en": "the|is|are|you|your|what|how|can|could|would|please|hello|hi|thanks|thank|information|need|want|payment|bill|bills|help|when|where|which|who|does|do|did|have|has|will|about|invoice|document|office|certificate|appointment|schedule|request|tax|and|for|with",
 }
+DOCUMENT_PHRASES = ("analizza documento", "leggi documento", "documento", "referto", "certificato", "prescrizione", "cartella", "esame", "analisi", "valori", "analizza foto", "leggi foto", "foto documento", "foto referto")
+VOICE_COMMANDS = {
+    "stop ascolto": "stop_listening", "ferma microfono": "stop_listening", "inizia ascolto": "start_listening", "attiva microfono": "start_listening",
+    "aiuto": "show_help", "help": "show_help", "ripeti": "repeat_last", "cancella": "clear_chat", "reset": "reset_session",
+}
+MIME_KINDS = {
+    "image/jpeg": "image", "image/png": "image", "image/webp": "image", "image/gif": "image", "application/pdf": "document", "application/msword": "document",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "document", "text/plain": "document",
+}
+DIRECTIONS = r"(?i)(^|[^A-Za-z0-9_])(raggiung|arriv|indicazioni|percorso([^A-Za-z0-9_]|$))|dove\s+si\s+trova"
+PLACE = r"(?i)(?:raggiung\w*|arriv\w*|vad[oa]|vai)\s+(?:a|al|allo|alla|ai|agli|alle|presso|in|il|lo|la)?\s*([^?.\n]+)"
+ADDRESS_LINE = r"(?im)^[ \t]*(?:[•-]\s*)?\*{0,2}(?:Indirizzo|Sede|Ubicazione)\*{0,2}\s*:\s*\*{0,2}(?!https?://)([^\n<]+)"
 INJECTIONS = (
     r"ignora\s+(tutte\s+le\s+)?istruzioni\s+(precedenti|di\s+sistema)",
     r"disattiva\s+(le\s+)?(tue\s+)?(regole|restrizioni|limitazioni)",
@@ -110,10 +122,15 @@ def closeness(distance: Column) -> Column:
 def keyword_boost(query: Column, text: Column, title: Column) -> Column:
     """SCO8."""
     low = F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("body"), F.lower(F.coalesce(title, F.lit(""))).alias("head"))
+    return let(low, lambda p: boost_of(query, p["body"], p["head"], p["body"].rlike(LICENCE) | p["head"].rlike(LICENCE)))
+
+
+def boost_of(query: Column, body: Column, head: Column, licence: Column) -> Column:
+    """SCO8 from a chunk's lower-cased sides, and whether they are about licences."""
+    p = {"body": body, "head": head}
     long_words = F.filter(F.split(F.lower(query), f"{T.SPACE}+"), lambda w: F.length(w) >= 3)
-    gain = lambda p: lambda n, w: n + F.when(F.contains(p["head"], w), 0.25).otherwise(0.0) + F.when(F.contains(p["body"], w), 0.10).otherwise(0.0)
-    off_topic = lambda p: F.when(query.rlike(BOOKING), F.when(p["body"].rlike(LICENCE) | p["head"].rlike(LICENCE), 2.5).otherwise(0.0)).otherwise(0.0)
-    return let(low, lambda p: F.aggregate(long_words, F.lit(0.0), gain(p)) - off_topic(p))
+    gain = lambda n, w: n + F.when(F.contains(p["head"], w), 0.25).otherwise(0.0) + F.when(F.contains(p["body"], w), 0.10).otherwise(0.0)
+    return F.aggregate(long_words, F.lit(0.0), gain) - F.when(query.rlike(BOOKING) & licence, 2.5).otherwise(0.0)
 
 
 def navigation_penalty(text: Column) -> Column:
@@ -134,7 +151,12 @@ def navigation_penalty(text: Column) -> Column:
 
 def rerank_score(query: Column, text: Column, title: Column, distance: Column) -> Column:
     """SCO10."""
-    return closeness(distance) + keyword_boost(query, text, title) + F.least(F.length(F.coalesce(text, F.lit(""))) / 3000, F.lit(0.15)) - navigation_penalty(text)
+    return closeness(distance) + keyword_boost(query, text, title) + length_bonus(text) - navigation_penalty(text)
+
+
+def length_bonus(text: Column) -> Column:
+    """SCO10's part for the length."""
+    return F.least(F.length(F.coalesce(text, F.lit(""))) / 3000, F.lit(0.15))
 
 
 def language(text: Column) -> Column:
@@ -182,21 +204,34 @@ def ingestion_phase(status: Column, crawl_complete: Column, pending: Column, ind
     return F.when(status.isNull(), "legacy").when(status.isin("queued", "paused"), "pending").when(status == "running", running).when(status == "completed", F.when(count(indexed) > 0, "ready").otherwise("empty")).otherwise("failed")
 
 
-def first_phrase(text: Column, phrases: dict[str, tuple[str, ...]]) -> Column:
-    """SCO17: the name of the first group of which a phrase occurs."""
-    return F.coalesce(*[F.when(any_of(F.lower(text), p), name) for name, p in phrases.items()], F.lit(None))
+def first_phrase(text: Column, phrases: dict[str, str]) -> Column:
+    """SCO17: what the first phrase stands for that occurs in a text; null if none does."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*[F.when(low.contains(phrase), meaning) for phrase, meaning in phrases.items()], F.lit(None))
+
+
+def is_document_query(query: Column) -> Column:
+    """SCO17: whether a question is about a document."""
+    return any_of(F.lower(F.coalesce(query, F.lit(""))), DOCUMENT_PHRASES)
+
+
+def voice_command(transcript: Column) -> Column:
+    """SCO17: the action that a spoken phrase asks for."""
+    return first_phrase(transcript, VOICE_COMMANDS)
 
 
 def media_kind(mime: Column) -> Column:
-    """SCO18."""
-    mime = F.lower(mime)
-    return F.when(mime.startswith("image/"), "image").when(mime.startswith("audio/"), "audio").when(mime.startswith("video/"), "video").when(mime.startswith("text/") | mime.isin("application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), "document").otherwise("other")
+    """SCO18: image, document, or null for a type that isn't known."""
+    return F.coalesce(*[F.when(mime == m, kind) for m, kind in MIME_KINDS.items()], F.lit(None))
 
 
-def direction_place(text: Column) -> Column:
-    """SCO19: where someone asks the way to; null if they don't."""
-    asked = r"(?i)(?:come (?:arriv\w+|raggiung\w+)|dove si trova|indicazioni per|how (?:do i|to) get to|where is)\s+(?:a |al |alla |il |la |lo |l'|the )?([^?.!\n]{2,80})"
-    return F.nullif(F.trim(F.regexp_extract(text, asked, 1)), F.lit(""))
+def direction_place(question: Column, answer: Column) -> Column:
+    """SCO19: where someone asks the way to: the address line of the answer, else the place in the question; null where neither asks or tells the way."""
+    question, answer = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
+    address = F.regexp_replace(T.trimmed(F.regexp_extract(answer, ADDRESS_LINE, 1)), r"\.$", "")
+    place = T.trimmed(F.regexp_extract(question, PLACE, 1))
+    told = answer.rlike(ADDRESS_LINE)
+    return F.when(question.rlike(DIRECTIONS) | answer.rlike(DIRECTIONS), F.when(told, address).when(question.rlike(PLACE), place))
 
 
 def answer_badge(role: Column, citations: Column, low: Column) -> Column:

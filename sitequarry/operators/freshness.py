@@ -22,6 +22,16 @@ def round_robin(links: DataFrame, per_parent: int = 6) -> DataFrame:
     return capped.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rn", "parent_pos")))
 
 
+def first_turns(links: DataFrame, per_parent: int, room: int) -> DataFrame:
+    """round_robin() cut to its first `room` turns. A level may have links without number, so the cut is a top-k before the turns are counted."""
+    first = Window.partitionBy("link").orderBy("parent_pos", "pos")
+    unique = links.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    own = Window.partitionBy("parent_pos").orderBy("pos")
+    capped = unique.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= min(per_parent, room))
+    few = capped.orderBy("rn", "parent_pos").limit(room)
+    return few.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rn", "parent_pos")))  # at most `room` rows
+
+
 def site_tree(root: DataFrame, links: DataFrame, max_depth: int = 5, level_most: int = 100, pages_most: int = 90, per_parent: int = 6) -> DataFrame:
     """FRE1's tree, WIN5: root (url) and links (url, pos, link) -> url, depth, parent_url, position, a level at a time, each with
     its caps. A tree is at most pages_most rows, so its order is kept in one small table."""
@@ -33,7 +43,7 @@ def site_tree(root: DataFrame, links: DataFrame, max_depth: int = 5, level_most:
             break
         out = level.join(links, "url").select(F.col("url").alias("parent_url"), F.col("position").alias("parent_pos"), "pos", "link")
         new = out.join(tree.select(F.col("url").alias("link")), "link", "left_anti")
-        picked = round_robin(new, per_parent if depth > 1 else 1 << 30).where(F.col("turn") <= room)
+        picked = first_turns(new, per_parent if depth > 1 else 1 << 30, room)
         level = picked.select(F.col("link").alias("url"), F.lit(depth).alias("depth"), "parent_url", (F.col("turn") + count - 1).cast("int").alias("position"))
         level = materialised(level)
         found = level.count()
@@ -80,6 +90,20 @@ def last_modified(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     return joined.withColumns({"last_modified": F.coalesce(*order.values()), "last_modified_source": F.coalesce(*[F.when(c.isNotNull(), k) for k, c in order.items()])})
 
 
+def analyze_site(root: DataFrame, links: DataFrame, pages: DataFrame, sitemap: DataFrame, feeds: DataFrame, levels: int = 10, **caps: int) -> DataFrame:
+    """FRE1: the tree of a site's pages from its root (url), with what is known of each: root and links (url, pos, link) give the tree with its caps; pages
+    (url, title, visible_date, header_modified, meta_modified), the sitemap (url, lastmod) and feeds (url, updated) give title, breadcrumb, last_modified and
+    its source. What has no date of its own takes the feed's, if the feed names it. Rows come in the order of depth and discovery (TOP8)."""
+    tree = site_tree(root, links, **caps)
+    titled = tree.join(pages, "url", "left").withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), "url"))
+    crumbs = breadcrumbs(titled.select("url", "parent_url", "title"), levels).select("url", "breadcrumb")
+    dated = last_modified(titled, sitemap).join(crumbs, "url").join(feeds.groupBy("url").agg(F.max("updated").alias("_feed")), "url", "left")
+    feed = parsed_time(F.col("_feed"))
+    by_feed = F.col("last_modified").isNull() & feed.isNotNull()
+    out = dated.withColumns({"last_modified_source": F.when(by_feed, "feed").otherwise(F.col("last_modified_source")), "last_modified": F.coalesce("last_modified", feed)})
+    return out.select("url", "depth", "parent_url", "position", "title", "breadcrumb", "last_modified", "last_modified_source").orderBy("depth", "position")
+
+
 def changed_pages(pages: DataFrame, since: DataFrame, key: str = "site") -> DataFrame:
     """FLT6: pages changed after the site's last run. What has no date is never changed."""
     return pages.join(since.select(key, "since"), key).where(F.col("last_modified") > F.col("since"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.scoring import frontier_priority
+from ..sources.shared import materialised
 
 STATES = ("queued", "leased", "fetched", "failed", "skipped")
 INGEST_STATES = ("pending", "leased", "done", "failed", "skipped")
@@ -81,13 +82,21 @@ def insert_absent(frontier: DataFrame, found: DataFrame, key: str = "url") -> Da
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(frontier.select(key), key, "left_anti")
 
 
+def with_membership(urls: DataFrame, frontier: DataFrame, key: str = "url") -> DataFrame:
+    """JOI14: urls with `known`: whether the frontier has them."""
+    known = frontier.select(F.col(key).alias("_known")).distinct()
+    return urls.join(known, F.col(key) == F.col("_known"), "left").withColumn("known", F.col("_known").isNotNull()).drop("_known")
+
+
 def crawl_levels(seeds: DataFrame, pages: DataFrame, max_depth: int = 5) -> DataFrame:
     """JOI13: url, depth of what a crawl of captured pages (url, links) reaches, level by level."""
     reached = seeds.select("url", F.lit(0).alias("depth")).distinct()
     level = reached
     for _ in range(max_depth):
         found = expand(level.join(pages, "url"), max_depth).select("url", "depth").distinct()
-        level = found.join(reached, "url", "left_anti")
+        level = materialised(found.join(reached, "url", "left_anti"))
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level)
     return reached
 

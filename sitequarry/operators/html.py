@@ -11,9 +11,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.shared import materialised
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # What isn't content, which blocks make the text, where an article stands.
@@ -223,7 +225,17 @@ def collected(pages: DataFrame, key: str, order: str, *, most: int = 10, chars:
         "forms": texts_of(("modulo", "form"), ("modulo",)), "services": texts_of(("servizio", "servizi"), ("servizio",)),
     }
     none = F.array().cast("array<string>")
-    rows = pages.select(key, order, F.substring("content", 1, chars).alias("content"), *[F.slice(F.array_distinct(F.coalesce(c, none)), 1, most).alias(n) for n, c in found.items()])
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
-    lists = [F.slice(F.array_distinct(F.flatten(in_order(n))), 1, most).alias(n) for n in found]
-    return rows.groupBy(key).agg(*lists, F.substring(F.array_join(in_order("content"), " "), 1, chars).alias("text_content"))
+    rows = materialised(pages.select(key, order, F.substring("content", 1, chars).alias("content"), *[F.slice(F.array_distinct(F.coalesce(c, none)), 1, most).alias(n) for n, c in found.items()]))
+    # Of each kind only the values that can be among the first `most` are gathered: the first place of each value, then the first values; so
+    # no row holds what a whole site says, however many pages it has.
+    values = rows.select(key, order, F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("list")) for n in found])).alias("k")).select(key, order, "k.kind", F.posexplode("k.list").alias("pos", "value"))
+    firsts = values.groupBy(key, "kind", "value").agg(F.min(F.struct(order, "pos")).alias("at"))
+    w = Window.partitionBy(key, "kind").orderBy("at")
+    few = firsts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    listed = few.groupBy(key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.struct("_n", "value")))), lambda x: x["value"]).alias(n) for n in found])
+    # texts likewise: each page's length alone says how far the first `chars` characters reach
+    so_far = F.coalesce(F.sum(F.length("content") + 1).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    texts = rows.select(key, order, "content").withColumn("_before", so_far).where(F.col("_before") < chars)
+    joined = texts.groupBy(key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), " "), 1, chars).alias("text_content"))
+    out = joined.join(listed, key, "left")
+    return out.select(key, *[F.coalesce(n, none).alias(n) for n in found], "text_content")

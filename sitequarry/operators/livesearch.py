@@ -59,28 +59,60 @@ def live_context(ranked: DataFrame, most: int = 14000) -> DataFrame:
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n").alias("context"), F.count("*").alias("pages"))
 
 
-def search_pages(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """LIV1: queries (query_id, root, query) over extracted documents (root, url, title, ...): the context of each query."""
-    analysed = queries.withColumn("a", S.query_analysis(F.col("query")))
-    met = analysed.join(documents, "root")
+def context_lists(pages: DataFrame, results: DataFrame, most_results: int = 6, most_pages: int = 40, link_pages: int = 10, links_each: int = 3) -> DataFrame:
+    """TOP7: what stands at the end of a live context. pages (query_id, position, title, url, named_links) and results (query_id, position, title, url,
+    snippet) -> query_id, results, pages, links: lines of the first results, of the first pages, and of the first links of fewer pages."""
+    ranked = lambda df, n: df.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("position", "url"))).where(F.col("_n") <= n)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", c.alias("line")))), lambda x: x["line"]), "\n")
+    linked = lambda text, url: F.concat(F.lit("- ["), text, F.lit("]("), url, F.lit(")"))
+    found = ranked(results, most_results).groupBy("query_id").agg(joined(F.concat(linked(F.col("title"), F.col("url")), F.lit("\n  "), F.col("snippet"))).alias("results"))
+    useful = F.array_join(F.transform(F.slice("named_links", 1, links_each), lambda a: linked(a["text"], a["url"])), "\n")
+    own = ranked(pages, most_pages).withColumn("_links", F.when(F.col("_n") <= link_pages, F.nullif(useful, F.lit(""))))
+    listed = own.groupBy("query_id").agg(joined(F.concat(F.lit("- "), F.col("url"), F.lit(' → "'), F.col("title"), F.lit('"'))).alias("pages"), joined(F.col("_links")).alias("links"))
+    return listed.join(found, "query_id", "full_outer").select("query_id", F.coalesce("results", F.lit("")).alias("results"), F.coalesce("pages", F.lit("")).alias("pages"), F.coalesce("links", F.lit("")).alias("links"))
+
+
+def search_pages(queries: DataFrame, documents: DataFrame, blocks: int = 16) -> DataFrame:
+    """LIV1: queries (query_id, root, query) over extracted documents (root, url, title, ...): the context of each query. Documents of a root lie in blocks, so
+    that a root with very many is many tasks; what is ranked are ids and scores, and pages are fetched for those that are visited."""
+    analysed = queries.withColumn("a", S.query_analysis(F.col("query"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = documents.withColumn("_block", F.pmod(F.xxhash64("url"), F.lit(blocks)).cast("int"))
+    met = analysed.join(placed, ["root", "_block"])
     relevance = S.page_relevance(F.col("a.tokens"), F.col("title"), F.col("description"), F.col("headings"), F.col("raw_text"))
-    scored = met.withColumn("relevance", relevance).withColumn("score", S.link_score(F.col("a.tokens"), F.col("title"), F.col("url")))
-    visited = visiting_order(scored.withColumns({"complexity": F.col("a.complexity"), "strategy": F.col("a.strategy"), "chars": F.length("raw_text")}))
-    kept = early_stop(visited)
+    score = S.link_score(F.col("a.tokens"), F.col("title"), F.col("url"))
+    rows = met.select("query_id", "root", "url", relevance.alias("relevance"), score.alias("score"), F.col("a.complexity").alias("complexity"), F.col("a.strategy").alias("strategy"), F.length("raw_text").alias("chars"))
+    kept = early_stop(visiting_order(rows))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "position")
-    blocks = kept.withColumn("block", page_block()).withColumn("position", F.row_number().over(w)).select("query_id", "position", "block")
-    found = live_context(blocks)
+    ranked = kept.withColumn("position", F.row_number().over(w)).select("query_id", "root", "url", "position")
+    found = live_context(ranked.join(documents.select("root", "url", page_block().alias("block")), ["root", "url"]))
     return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", "query", F.coalesce("context", F.lit(NOTHING_FOUND)).alias("context"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
-def merged_results(results: DataFrame, key: str = "query_id") -> DataFrame:
-    """LIV2, AGG11-12: per query the first source that suffices by itself, else all that look sound, merged: arrays joined in source order, different
+# In which order a strategy asks its sources.
+SOURCE_ORDER = {"scraper_first": ("scraper", "crawler", "api"), "crawler_first": ("crawler", "scraper", "api"), "parallel": ("scraper", "crawler", "api")}
+
+
+def routed_results(queries: DataFrame, results: DataFrame, api: bool = True, scraper: bool = True, crawler: bool = True) -> DataFrame:
+    """LIV2: queries (query_id, query) over the results of each source (query_id, source, ...): the strategy that the question's intent asks for decides
+    in which order sources count; the first that suffices answers, else all are merged. In parallel, all are merged at once. A source that is off is not asked."""
+    strategy = S.search_strategy(S.query_intent(F.col("query")), F.lit(api), F.lit(scraper), F.lit(crawler))
+    asked = queries.select("query_id", strategy.alias("strategy"))
+    on = [name for name, flag in (("api", api), ("scraper", scraper), ("crawler", crawler)) if flag]
+    place = F.coalesce(*[F.when(F.col("strategy") == s, F.array_position(F.array(*map(F.lit, order)), F.col("source"))) for s, order in SOURCE_ORDER.items()], F.lit(0))
+    ordered = results.where(F.col("source").isin(*on)).join(asked, "query_id").withColumn("source_order", place.cast("int")).where("source_order > 0")
+    alone = merged_results(ordered.where("strategy <> 'parallel'"))
+    together = merged_results(ordered.where("strategy = 'parallel'"), first_sufficient=False)
+    return asked.join(alone.unionByName(together), "query_id", "left").withColumns({"success": F.coalesce("success", F.lit(False)), "sources": F.coalesce("sources", F.lit(0))})
+
+
+def merged_results(results: DataFrame, key: str = "query_id", first_sufficient: bool = True) -> DataFrame:
+    """LIV2, AGG11-12: per query the first source that suffices by itself (if first_sufficient), else all that look sound, merged: arrays joined in source order, different
     values, ten at most, and `success` if two signals are there. results: query_id, source_order, success, phones, emails, addresses, forms, services, text_content."""
     ok = F.col("success") & S.is_plausible(F.col("phones"), F.col("emails"), F.col("addresses"), F.col("text_content"))
     enough = S.sufficient(F.col("phones"), F.col("emails"), F.col("text_content"), F.col("services"), F.col("forms"), F.array().cast("array<string>"))
     sound = results.where(ok).withColumn("_enough", enough)
     first = F.min(F.when(F.col("_enough"), F.col("source_order"))).over(Window.partitionBy(key))
-    kept = sound.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("source_order") == F.col("_first")))
+    kept = sound.withColumn("_first", first if first_sufficient else F.lit(None).cast("int")).where(F.col("_first").isNull() | (F.col("source_order") == F.col("_first")))
     listed = lambda c: F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source_order", F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda x: x["v"]))), 1, 10).alias(c)
     names = ("phones", "emails", "addresses", "forms", "services")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "text_content"))), lambda x: x["text_content"]), "\n").alias("text_content")

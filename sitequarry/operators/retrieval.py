@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scoring import low_confidence, rerank_score
+from ..functions.scoring import LICENCE, boost_of, closeness, length_bonus, low_confidence, navigation_penalty, rerank_score
+from ..functions.urls import let
+from ..sources.shared import materialised
 from .dedup import best_of
 
 
 def unit(vector: Column) -> Column:
-    """A vector of length one; null if it's null or zero."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    """A vector of length one; null if it's null or zero. The norm is bound before the division, or every component would compute it again."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    divided = lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"]))
+    return let(let(F.transform(vector, lambda x: x.cast("double")), lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), divided)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -88,15 +90,37 @@ def embedded(texts: DataFrame, corpus: DataFrame, text_col: str = "text", dims:
     return out.withColumn("vector", vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
 
 
-def reranked(candidates: DataFrame, k: int) -> DataFrame:
-    """SCO10, SET3, TOP3: candidates (query_id, query, text, title, url, hash, distance) -> the k best different chunks with score and rank."""
-    scored = candidates.withColumn("score", rerank_score(F.col("query"), F.col("text"), F.col("title"), F.col("distance")))
-    scored = scored.withColumn("key", F.coalesce(F.nullif(F.col("hash"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    unique = best_of(scored, ("query_id", "key"), F.desc("score"), "chunk_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def scored(candidates: DataFrame) -> DataFrame:
+    """SCO10: candidates (query_id, query, chunk_id, text, title, url, hash, distance) with score and key, their hash or that of their text; without the text."""
+    score = rerank_score(F.col("query"), F.col("text"), F.col("title"), F.col("distance"))
+    return candidates.withColumns({"score": score, "key": chunk_key()}).drop("text")
+
+
+def chunk_key() -> Column:
+    """SET3: chunks of one key are equal."""
+    return F.coalesce(F.nullif(F.col("hash"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+
+
+def prepared(chunks: DataFrame) -> DataFrame:
+    """What ranking needs of a chunk whatever the question: lower-cased sides, whether it is about licences, what its length and its look give, its key."""
+    low = chunks.withColumns({"body": F.lower(F.coalesce("text", F.lit(""))), "head": F.lower(F.coalesce("title", F.lit(""))), "bonus": length_bonus(F.col("text")), "penalty": navigation_penalty(F.col("text")), "key": chunk_key()})
+    return low.withColumn("licence", F.col("body").rlike(LICENCE) | F.col("head").rlike(LICENCE)).select("chunk_id", "title", "url", "key", "body", "head", "bonus", "penalty", "licence")
+
+
+def best_chunks(rows: DataFrame, k: int) -> DataFrame:
+    """SET3, TOP3: of rows with score and key the k best different chunks of each question, with rank. Only sides of fixed size are shuffled. Scores
+    count to nine digits, so that rounding decides no tie."""
+    order = (F.round("score", 9).desc(), F.col("chunk_id"))
+    unique = best_of(rows, ("query_id", "key"), *order)
+    w = Window.partitionBy("query_id").orderBy(*order)
     return unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("key")
 
 
+def reranked(candidates: DataFrame, k: int) -> DataFrame:
+    """SCO10, SET3, TOP3: candidates (query_id, query, chunk_id, text, title, url, hash, distance) -> the k best different chunks with score and rank, without the text."""
+    return best_chunks(scored(candidates), k)
+
+
 def block_text(title: Column, url: Column, text: Column) -> Column:
     """FUN5: a chunk as it stands in a context."""
     part = lambda name, c: F.concat(F.lit(f"[{name}]\n"), F.coalesce(c, F.lit("")))
@@ -108,7 +132,7 @@ def pack_context(rows: DataFrame, key: str, order: str, block: str, most: int =
     least_rest characters are left; then it ends. Columns: key, context, blocks."""
     w = Window.partitionBy(key).orderBy(order)
     before = F.coalesce(F.sum(F.length(block)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = rows.withColumn("_before", before).withColumn("_over", (F.col("_before") + F.length(block) > most).cast("int"))
+    sized = rows.select(key, order, block).withColumn("_before", before).withColumn("_over", (F.col("_before") + F.length(block) > most).cast("int"))
     sized = sized.withColumn("_overs", F.sum("_over").over(w)).where((F.col("_overs") == 0) | ((F.col("_overs") == 1) & (F.col("_over") == 1)))
     rest = most - F.col("_before")
     partial = F.substring(F.col(block), F.lit(1), rest.cast("int"))
@@ -126,16 +150,25 @@ def citations(ranked: DataFrame, most: int = 3) -> DataFrame:
     return best.withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), "url")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def confidences(queries: DataFrame, cited: DataFrame) -> DataFrame:
+    """AGG10: query_id, confidence (the best citation's score, 0 where there is none), cited (how many)."""
+    best = cited.groupBy("query_id").agg(F.max("score").alias("confidence"), F.count("*").alias("cited"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("cited", F.lit(0)).alias("cited"))
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, overfetch: int = 5, most: int = 16000) -> DataFrame:
     """RET1, RET2: queries (query_id, query, vector) over chunks (chunk_id, vector, text, title, url, hash) -> one row for each
-    query: context, citations, confidence, empty, low_confidence."""
+    query: context, citations, confidence, empty, low_confidence. Candidates carry ids and scores; texts meet them by chunk, and again for the k that stay."""
     near = nearest(queries, chunks, k * overfetch).select("query_id", "chunk_id", "distance")
-    candidates = near.join(chunks.drop("vector"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    ranked = reranked(candidates, k).withColumn("block", block_text(F.col("title"), F.col("url"), F.col("text")))
-    context = pack_context(ranked, "query_id", "rank", "block", most)
-    cited = citations(ranked).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "score"))).alias("citations"), F.max("score").alias("confidence"))
-    out = queries.select("query_id", "query").join(context, "query_id", "left").join(cited, "query_id", "left")
-    out = out.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    asked = near.join(queries.select("query_id", "query"), "query_id")
+    score = closeness(F.col("distance")) + boost_of(F.col("query"), F.col("body"), F.col("head"), F.col("licence")) + F.col("bonus") - F.col("penalty")
+    rows = asked.join(prepared(chunks), "chunk_id").select("query_id", "chunk_id", "title", "url", "key", score.alias("score"))
+    ranked = materialised(best_chunks(rows, k))
+    blocks = ranked.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", block_text(F.col("title"), F.col("url"), F.col("text")).alias("block")), "chunk_id")
+    context = pack_context(blocks, "query_id", "rank", "block", most)
+    best = citations(ranked)
+    cited = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "score"))).alias("citations"))
+    out = queries.select("query_id", "query").join(context, "query_id", "left").join(cited, "query_id", "left").join(confidences(queries, best).drop("cited"), "query_id")
     return out.select("query_id", "query", "context", "citations", "confidence", F.col("context").isNull().alias("empty"), low_confidence(F.size("citations"), F.col("confidence")).alias("low_confidence"))
 
 

@@ -16,6 +16,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunking, conversations, dedup, freshness, frontier, html, livesearch, monitoring, registry, retrieval
+from ..sources import writers
 from ..sources.shared import materialised, new_folder
 from ..streaming import streams
 
@@ -88,9 +89,9 @@ l AS (SELECT host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h
 d AS (SELECT DISTINCT page_id, host, scheme || '://' || host || CASE WHEN length(href) > 1 THEN regexp_replace(href, '/$', '') ELSE href END AS link FROM l)
 SELECT host, count(*) AS links, count(DISTINCT link) AS different_links FROM d GROUP BY host""")
 def links_by_host(spark, sf_dir):
-    """HTM10, SET2: canonical links of the parsed pages."""
-    docs = html.documents(table(spark, sf_dir, "pages"))
-    links = docs.select("url", F.explode("links").alias("link"))
+    """HTM10, SET2: canonical links of the pages, by expressions."""
+    hrefs = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    links = table(spark, sf_dir, "pages").select("url", hrefs.alias("hrefs")).select("url", F.explode_outer(html.page_links(F.col("hrefs"), F.col("url"))).alias("link")).where("link is not null")
     return links.groupBy(U.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("different_links"))
 
 
@@ -134,7 +135,7 @@ c AS (SELECT doc_id, source, unnest(CASE WHEN len(ws) <= 1000 THEN [t] ELSE list
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE length(chunk) BETWEEN 120 AND 6000)
 SELECT doc_id, i::INTEGER AS chunk_index, n::INTEGER AS chunk_count, sha256('TITLE: ' || source || chr(10) || 'URL: ' || doc_id || chr(10) || chr(10) || 'CONTENT:' || chr(10) || chunk) AS hash FROM f""")
 def chunk_windows(spark, sf_dir):
-    """CHK1-7, CHK9 with words as tokens."""
+    """CHK1-7, CHK9, WIN12 with words as tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("doc_id").cast("string").alias("url"))
     return chunking.chunk(docs).select("doc_id", "chunk_index", "chunk_count", "hash")
 
@@ -175,15 +176,15 @@ def latest_version(spark, sf_dir):
 
 def vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 9) AS d FROM e q, e c WHERE q.vec_id % 100 = 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 9) AS d FROM e q, e c WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS n FROM d)
 SELECT query_id, chunk_id, n::INTEGER AS rank, round(d, 6) + 0.0 AS distance FROM r WHERE n <= 10""")
 def knn_exact(spark, sf_dir):
-    """JOI6, TOP3: every hundredth vector asks for its ten nearest."""
+    """JOI6, TOP3: every twentieth vector asks for its ten nearest."""
     return retrieval.nearest(*vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
@@ -195,12 +196,12 @@ def knn_approximate(spark, sf_dir):
 
 @query()
 def rag_search(spark, sf_dir):
-    """RET1, RET2: the questions of conversations over documents as chunks, with the vectors of like ids."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    docs = table(spark, sf_dir, "documents").join(e, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "vector", "text", F.substring("text", 1, 40).alias("title"), F.concat(F.lit("https://example.org/"), "source").alias("url"), T.content_hash(F.col("text")).alias("hash"))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
-    queries = asked.join(e, F.col("conv_id") == F.col("vec_id")).select(F.col("conv_id").alias("query_id"), "query", "vector")
-    out = retrieval.retrieve(queries, docs)
+    """RET1, RET2, RET5: the questions of every twentieth conversation over all documents as chunks; both get vectors from their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    vector = lambda rows: materialised(retrieval.embedded(rows, docs))
+    chunks = vector(docs).select(F.col("doc_id").alias("chunk_id"), "vector", "text", F.substring("text", 1, 40).alias("title"), F.concat(F.lit("https://example.org/"), "source").alias("url"), T.content_hash(F.col("text")).alias("hash"))
+    out = retrieval.retrieve(vector(asked).withColumnRenamed("text", "query"), chunks)
     return out.select("query_id", F.length("context").alias("context_chars"), F.size("citations").alias("citations"), F.round("confidence", 6).alias("confidence"), "empty", "low_confidence")
 
 
@@ -273,10 +274,10 @@ def early_stop(spark, sf_dir):
 
 @query()
 def live_search(spark, sf_dir):
-    """LIV1: each language's first question of conversations over the pages in that language."""
-    docs = html.documents(table(spark, sf_dir, "pages")).withColumn("root", F.col("lang"))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("conv_id") % 4 + 1).cast("int")).alias("root"))
-    asked = asked.groupBy("root").agg(F.min_by("query_id", "query_id").alias("query_id"), F.min_by("query", "query_id").alias("query"))
+    """LIV1: the questions of every twentieth conversation over the pages in one of the languages."""
+    docs = materialised(html.documents(table(spark, sf_dir, "pages")).withColumn("root", F.col("lang")))
+    root = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.floor(F.col("conv_id") / 20) % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), root.alias("root"))
     return livesearch.search_pages(asked, docs).select("query_id", "pages", F.length("context").alias("context_chars"))
 
 
@@ -513,12 +514,11 @@ def public_demos(spark, sf_dir):
     return registry.public_view(demos).select("id", "welcome", F.lit(True).alias("enabled"))
 
 
-@query("""SELECT source, round(avg(s), 6) + 0.0 AS avg_boost FROM (SELECT source, list_sum(list_transform(list_filter(string_split(lower(substr(text, 1, 30)), ' '), lambda w: length(w) >= 3), lambda w: 0.10 + CASE WHEN contains(lower(source), w) THEN 0.25 ELSE 0.0 END)) AS s FROM documents WHERE NOT contains(substr(text, 1, 30), chr(10))) GROUP BY source""")
+@query(r"""SELECT doc_id, round(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower(substr(text, 1, 30)), '[ \t\n\x0B\f\r\x{A0}]+'), lambda w: length(w) >= 3), lambda w: CASE WHEN contains(lower(text), w) THEN 0.10 ELSE 0 END + CASE WHEN contains(lower(source), w) THEN 0.25 ELSE 0.0 END)), 0), 6)::DOUBLE + 0.0 AS boost FROM documents""")
 def keyword_boost(spark, sf_dir):
-    """SCO8: every document for the words it begins with."""
-    docs = table(spark, sf_dir, "documents").where(~F.contains(F.substring("text", 1, 30), F.lit("\n")))
+    """SCO8: every document for the question that its first thirty characters make."""
     boost = S.keyword_boost(F.substring("text", 1, 30), F.col("text"), F.col("source"))
-    return docs.where(F.size(F.filter(F.split(F.lower(F.substring("text", 1, 30)), " "), lambda w: F.length(w) >= 3)) > 0).groupBy("source").agg((F.round(F.avg(boost), 6) + 0.0).alias("avg_boost"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.round(boost, 6) + 0.0).alias("boost"))
 
 
 @query()
@@ -531,19 +531,88 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).groupBy("url").agg(F.count("*").alias("chunks"))
 
 
-@query()
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g), x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(*) AS events FROM s GROUP BY user_id, n)
+SELECT user_id, epoch_us(a) AS first_at, epoch_us(z) AS until, events FROM x, w WHERE z <= mark""")
 def stream_sessions(spark, sf_dir):
     """STR3: sessions of events that have closed by the end of the stream."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out, state = new_folder(spark, "sessions"), new_folder(spark, "state")
     streams.sessions(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, first_at timestamp, until timestamp, events long").parquet(out)
+    done = spark.read.schema("user_id long, first_at timestamp, until timestamp, events long").parquet(out)
+    return done.select("user_id", F.unix_micros("first_at").alias("first_at"), F.unix_micros("until").alias("until"), "events")
+
+
+def event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def finished(stream: DataFrame, out: str, mode: str = "append") -> None:
+    """Runs a stream over all that is there, into a Parquet folder."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(stream.sparkSession, "state")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("""SELECT source, count(DISTINCT sha256(text)) AS contents FROM documents GROUP BY 1""")
+def stream_dedup(spark, sf_dir):
+    """STR2: documents as a stream, of each content in a source the first."""
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]").select("source", F.concat_ws(":", "source", T.content_hash(F.col("text"))).alias("content_hash"))
+    out = new_folder(spark, "contents")
+    finished(streams.first_of_content(docs), out)
+    return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("contents"))
+
+
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), e AS (SELECT ts, event_type <> 'error' AS ok, value, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events),
+s AS (SELECT b - to_minutes((5 * i)::INTEGER) AS a, ok, value FROM e, range(12) t(i))
+SELECT epoch_us(a) AS from_at, count(*) AS calls, count(*) FILTER (ok) AS successful, round(avg(value), 6) AS avg_response_time FROM s, w WHERE a + INTERVAL 1 HOUR <= mark GROUP BY a""")
+def stream_report(spark, sf_dir):
+    """STR4: the last hour, every five minutes, as far as the stream has come."""
+    calls = event_stream(spark, sf_dir).select("ts", (F.col("event_type") != "error").alias("success"), F.col("value").alias("response_time"))
+    out = new_folder(spark, "report")
+    finished(streams.sliding_report(calls), out)
+    return spark.read.parquet(out).select(F.unix_micros("from_at").alias("from_at"), "calls", "successful", F.round("avg_response_time", 6).alias("avg_response_time"))
+
+
+@query("""SELECT user_id AS url, epoch_us(max(ts)) AS fetched_at FROM events GROUP BY 1""")
+def stream_upsert(spark, sf_dir):
+    """STR8, SNK5: the newest event of each user, from two streams into one table, the second of which starts anew; then compacted."""
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("url"), F.col("ts").alias("fetched_at"), "event_id")
+    out, gathered, schema = new_folder(spark, "latest"), new_folder(spark, "latest"), "url long, fetched_at timestamp, event_id long"
+    for n in range(2):
+        streams.upsert_latest(rows.where(F.col("event_id") % 2 == n), out, new_folder(spark, "state")).awaitTermination()
+    streams.compact(spark, out, gathered, schema)
+    return streams.latest(spark, gathered, schema).select("url", F.unix_micros("fetched_at").alias("fetched_at"))
+
+
+@query("""SELECT event_type, count(*) AS snapshots FROM events WHERE event_type NOT IN ('error') GROUP BY 1""")
+def stream_progress(spark, sf_dir):
+    """STR7, SNK9: snapshots of jobs that go on."""
+    rows = event_stream(spark, sf_dir).select("event_id", "event_type", F.when(F.col("event_type") == "error", "failed").otherwise("crawling").alias("phase"))
+    out = new_folder(spark, "progress")
+    streams.progress(writers.progress_row(rows, F.current_timestamp()), out, new_folder(spark, "state"), every=None).awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("snapshots"))
+
+
+@query()
+def stream_cache(spark, sf_dir):
+    """STR6: events as requests for their user's page, which stays good for an hour."""
+    requests = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts")
+    out = new_folder(spark, "cache")
+    finished(streams.ttl_cache(requests, 3600), out)
+    return spark.read.parquet(out).groupBy("key").agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"))
+
+
+@query("""SELECT count(*) AS young FROM events, (SELECT max(ts) AS now FROM events) WHERE ts > now - INTERVAL 24 HOUR""")
+def young_rows(spark, sf_dir):
+    """STR6 over a table: the events of the last day."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("fetched_at"))
+    return streams.not_older_than(e, "24 hours", now=F.lit(e.agg(F.max("fetched_at")).first()[0])).agg(F.count("*").alias("young"))
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages to text, first writers of each content, chunks; chunks and characters by host."""
-    docs = html.documents(table(spark, sf_dir, "pages")).select("url", "canonical_url", "title", "text", "content_hash", F.col("url").alias("fetched_at"))
+    docs = materialised(html.documents(table(spark, sf_dir, "pages")).select("url", "canonical_url", "title", "text", "content_hash", F.col("url").alias("fetched_at")))
     firsts = dedup.first_writers(docs).where("duplicate_of is null")
     chunks = chunking.chunk(firsts.select(F.col("canonical_url").alias("url"), "title", "text"))
     return chunks.groupBy(U.host_of(F.col("url")).alias("host")).agg(F.countDistinct("url").alias("pages"), F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))

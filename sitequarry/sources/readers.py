@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import materialised
+
 
 def captured_pages(spark: SparkSession, path: str, streaming: bool = False, schema: str = "page_id long, url string, html string") -> DataFrame:
     """SRC1: captured pages that have html."""
@@ -39,7 +41,9 @@ def expanded_sitemaps(roots: DataFrame, captured: DataFrame, depth: int = 5, mos
     reached = level.withColumn("level", F.lit(0))
     for n in range(1, depth + 1):
         children = child_sitemaps(level.join(captured, "url").select("site", "url", "body"))
-        level = children.select("site", F.col("child").alias("url")).distinct().join(reached.select("site", "url"), ["site", "url"], "left_anti")
+        level = materialised(children.select("site", F.col("child").alias("url")).distinct().join(reached.select("site", "url"), ["site", "url"], "left_anti"))
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level.withColumn("level", F.lit(n)))
     first = Window.partitionBy("site").orderBy("level", "url")
     kept = reached.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
@@ -87,12 +91,12 @@ def indexed_hashes(spark: SparkSession, path: str, kb_id: str | None = None) ->
     return (rows.where(F.col("kb_id") == kb_id) if kb_id else rows).select("kb_id", "hash")
 
 
-def inbound_messages(raw: DataFrame, body: str = "value") -> DataFrame:
-    """SRC11: JSON payloads of messengers and mail -> channel, sender, subject, message, media, received_at."""
+def inbound_messages(raw: DataFrame, body: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """SRC11: JSON payloads of messengers and mail -> channel, sender, subject, message, media, received_at, and the columns named in keep."""
     get = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{n}"), F.lit("")) for n in names])
     sender = get("From", "from")
     media = F.when(get("MediaUrl0").isNotNull(), F.struct(get("MediaUrl0").alias("url"), get("MediaContentType0").alias("type")))
     return raw.select(
-        F.when(sender.startswith("whatsapp:"), "whatsapp").otherwise("email").alias("channel"), F.regexp_replace(F.coalesce(sender, F.lit("")), "^whatsapp:", "").alias("sender"),
+        *keep, F.when(sender.startswith("whatsapp:"), "whatsapp").otherwise("email").alias("channel"), F.regexp_replace(F.coalesce(sender, F.lit("")), "^whatsapp:", "").alias("sender"),
         F.coalesce(get("Subject", "subject"), F.lit("")).alias("subject"), F.coalesce(get("Body", "text"), F.lit("")).alias("message"), get("html").alias("html"), media.alias("media"), F.try_to_timestamp(get("timestamp")).alias("received_at"),
     )

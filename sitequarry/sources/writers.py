@@ -22,7 +22,10 @@ def append_fresh(chunks: DataFrame, path: str) -> None:
     """SNK1 after JOI3: writing the same chunks again adds nothing."""
     spark = chunks.sparkSession
     if _path_exists(spark, path):
-        chunks = fresh_chunks(chunks, spark.read.parquet(path).select("kb_id", "hash"), ("kb_id", "hash"))
+        # a join on the partition column with the few bases at hand lets Spark read only their partitions
+        bases = chunks.select("kb_id").distinct()
+        indexed = spark.read.parquet(path).select("kb_id", "hash").join(bases, "kb_id", "left_semi")
+        chunks = fresh_chunks(chunks, indexed, ("kb_id", "hash"))
     else:
         chunks = chunks.dropDuplicates(["kb_id", "hash"])
     append_chunks(chunks, path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk
@@ -54,28 +57,57 @@ def alerts(calls: DataFrame, errors: DataFrame, health: DataFrame, slow_ms: int
     return alerts_of(calls, errors, health, slow_ms)
 
 
-def upsert_latest(pages: DataFrame, table: str, checkpoint: str, key: str = "url", at: str = "fetched_at"):
-    """STR6, STR8: the table holds the newest row of each key. Versions alternate between two folders, so a reader never
-    meets a half-written one; the name of the last is in the `current` row."""
-    spark = pages.sparkSession
+def upsert_latest(pages: DataFrame, table: str, checkpoint: str):
+    """STR8: every micro-batch adds its rows to the table as a delta, named by the checkpoint and the batch's number, so one that is run again replaces itself and
+    a new checkpoint leaves what is there. Nothing is rewritten; latest() reads the newest row of each key, compact() gathers the deltas."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def add(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/delta={name}-{n:012}")
+
+    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, table: str, schema: str, key: str = "url", at: str = "fetched_at") -> DataFrame:
+    """STR8, SNK5: the newest row of each key in a table of deltas."""
+    return latest_version(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table), key, at)
+
+
+def compact(spark: SparkSession, table: str, target: str, schema: str, key: str = "url", at: str = "fetched_at") -> None:
+    """The newest rows of a table of deltas as the first delta of another table, for readers and streams to go on with."""
+    latest(spark, table, schema, key, at).write.mode("errorifexists").parquet(f"{target}/delta=compacted")
+
+
+def not_older_than(rows: DataFrame, ttl: str, at: str = "fetched_at", now: Column | None = None) -> DataFrame:
+    """STR6 over a table: the rows younger than the time to live."""
+    return rows.where(F.col(at) > (F.current_timestamp() if now is None else now) - F.expr(f"interval {ttl}"))
 
-    def merge(batch: DataFrame, n: int) -> None:
-        old, new = f"{table}/v{(n + 1) % 2}", f"{table}/v{n % 2}"
-        rows = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(old))
-        latest_version(rows, key, at).write.mode("overwrite").parquet(new)
 
-    return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ttl_cache(requests: DataFrame, ttl_seconds: int, key: str = "key", at: str = "ts") -> DataFrame:
+    """STR6: a keyed cache with a time to live, as state: of each request (key, ts) whether the cache has the key, fetched no longer ago than the time to live;
+    what it has not, or not young enough, is fetched then. State is one time for each key."""
 
+    def serve(group, frames, state):
+        fetched = state.get[0] if state.exists else None
+        times = np.sort(np.concatenate([f[at].to_numpy("datetime64[us]") for f in frames]))
+        hits = []
+        for t in times.astype(np.int64).tolist():
+            hit = fetched is not None and t - fetched <= ttl_seconds * 1_000_000
+            hits.append(hit)
+            fetched = fetched if hit else t
+        state.update((fetched,))
+        yield pd.DataFrame({key: [group[0]] * len(times), at: times, "hit": hits})
 
-def not_older_than(rows: DataFrame, ttl: str, at: str = "fetched_at") -> DataFrame:
-    """STR6: a cache with a time to live is the rows younger than that."""
-    return rows.where(F.col(at) > F.current_timestamp() - F.expr(f"interval {ttl}"))
+    kind = requests.schema[key].dataType.simpleString()
+    timed = requests.select(key, at)
+    return timed.groupBy(key).applyInPandasWithState(serve, f"{key} {kind}, {at} timestamp, hit boolean", "fetched long", "append", "NoTimeout")
 
 
-def progress(jobs: DataFrame, table: str, checkpoint: str, every: str = "3 seconds"):
-    """STR7, SNK9: snapshots of job rows, appended as they come."""
+def progress(jobs: DataFrame, table: str, checkpoint: str, every: str | None = "3 seconds"):
+    """STR7, SNK9: snapshots of job rows, added as they come, every so often; with every=None, what is there now. A batch that is run again replaces itself."""
 
     def add(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
 
-    return jobs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return jobs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,6 +1,9 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -44,3 +47,12 @@ def test_query_runs(spark, name):
 def test_flagship(spark):
     out = entry.entry(spark).toPandas()
     assert len(out) and not math.isnan(out.chars.sum())
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_the_rest_stands_without_the_training_data_operators(tmp_path, pipeline_too):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *["corpus_pipeline.py"] * pipeline_too))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not [n for n in q if n.startswith(('op1', 'op6', 'pipeline'))], sorted(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)

@@ -79,10 +79,17 @@ def test_recursive_splitter():
     assert chunking.split_recursively("x" * 450, 200, 0) == ["x" * 200, "x" * 200, "x" * 50] and chunking.split_recursively("", 10, 0) == []
 
 
-def test_chunker_in_sql(spark):
+def test_chunker_in_sql_gives_the_chunks_of_the_table_form(spark, sf):
+    para = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    odd = ["", "short", para(30, "a") + "\n\n" + para(40, "b"), "\n \n".join(para(n, "c") for n in (600, 300, 200, 1100, 20, 990, 5)), para(2500, "d"), None, para(1000, "e") + "\n\n" + para(10, "f")]
+    rows = [(f"o{i}", t) for i, t in enumerate(odd)] + [(str(r.doc_id), r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "url string, text string").withColumn("title", F.concat(F.lit("t"), "url"))
     chunking.register_chunker(spark)
-    got = spark.sql("SELECT d.u, c.chunk_index FROM VALUES ('u', 'some text') AS d(u, t), LATERAL chunk_document(d.t, 'x', d.u) c").collect()
-    assert [tuple(r) for r in got] == [("u", 0)]
+    docs.createOrReplaceTempView("docs_to_chunk")
+    got = spark.sql("SELECT d.url, c.chunk_index, c.chunk_count, c.chunk FROM docs_to_chunk d, LATERAL chunk_document(d.text, d.title, d.url) c").collect()
+    want = chunking.chunk(docs).select("url", "chunk_index", "chunk_count", "text").collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert [len(chunking.chunks_of(t)) for t in odd] == [0, 0, 1, 5, 3, 0, 1]
 
 
 def test_robots(spark):
@@ -238,3 +245,34 @@ def test_sitemaps_feeds_and_messages(spark):
     got = readers.inbound_messages(raw).collect()
     assert [(r.channel, r.sender, r.message) for r in got] == [("whatsapp", "+39333", "ciao"), ("email", "a@b.it", "t"), ("email", "", "")]
     assert got[0].media.type == "image/png" and got[1].media is None
+
+
+def test_site_analysis_puts_tree_dates_and_breadcrumbs_together(spark):
+    links = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("a", 0, "c"), ("a", 1, "r"), ("b", 0, "c"), ("b", 1, "d")], "url string, pos int, link string")
+    u = lambda x: f"https://x.it/{x}"
+    links = links.select(F.concat(F.lit(u("")), "url").alias("url"), "pos", F.concat(F.lit(u("")), "link").alias("link"))
+    root = spark.createDataFrame([(u("r"),)], "url string")
+    pages = spark.createDataFrame([(u("r"), "Root", None, None, None), (u("a"), "A", "2024-01-02", None, None), (u("b"), "", None, "Thu, 03 Feb 2022 04:05:06 GMT", None), (u("d"), "D", None, None, None)], "url string, title string, visible_date string, header_modified string, meta_modified string").withColumn("visible_date", F.col("visible_date").cast("date"))
+    sitemap = spark.createDataFrame([(u("a"), "2020-01-01"), (u("c/"), "2021-05-06")], "url string, lastmod string")
+    feeds = spark.createDataFrame([(u("d"), "2019-01-01T00:00:00Z"), (u("a"), "2019-01-01")], "url string, updated string")
+    got = freshness.analyze_site(root, links, pages, sitemap, feeds).collect()
+    name = lambda x: x and x.rpartition("/")[2]
+    assert [(name(r.url), r.depth, name(r.parent_url), [name(b) for b in r.breadcrumb], r.last_modified_source) for r in got] == [
+        ("r", 0, None, ["Root"], None), ("a", 1, "r", ["Root", "A"], "page"), ("b", 1, "r", ["Root", "b"], "header"), ("c", 2, "a", ["Root", "A", "c"], "sitemap"), ("d", 2, "b", ["Root", "b", "D"], "feed"),
+    ]
+
+
+def test_levels_of_a_tree_are_cut_before_their_turns_are_counted(spark):
+    rows = [(p, i, f"l{p}-{i}" if i % 3 else "shared") for p in range(5) for i in range(30)]
+    df = spark.createDataFrame(rows, "parent_pos int, pos int, link string")
+    for per, room in ((6, 11), (3, 100), (1 << 30, 20)):
+        whole = {(r.link, r.turn) for r in freshness.round_robin(df, per).where(F.col("turn") <= room).collect()}
+        assert {(r.link, r.turn) for r in freshness.first_turns(df, per, room).collect()} == whole
+
+
+def test_collected_texts_end_where_they_are_full(spark):
+    rows = [("s", i, f"tel. 0545 {100000 + i} a{i}@x.it " + "x" * 700, [("modulo uno", "u"), (f"modulo {i}", "u")]) for i in range(20)]
+    df = spark.createDataFrame(rows, "site string, n int, content string, links array<struct<text:string,url:string>>")
+    r = html.collected(df, "site", "n").first()
+    assert r.text_content == " ".join(x[2] for x in rows)[:3000]
+    assert r.emails == [f"a{i}@x.it" for i in range(10)] and r.forms == ["modulo uno", *(f"modulo {i}" for i in range(9))]

@@ -38,12 +38,34 @@ def test_stream_sessions_are_those_of_the_batch(spark, sf):
 
 
 def test_latest_state_of_a_stream(spark):
+    schema = "url string, fetched_at int, text string"
+    newest = lambda t: {(r.url, r.text) for r in streams.latest(spark, t, schema).collect()}
     rows = [("a", 1, "x"), ("b", 5, "y"), ("a", 3, "z"), ("a", 2, "w")]
-    df = spark.createDataFrame(rows, "url string, fetched_at int, text string")
-    table = folder()
-    streams.upsert_latest(as_stream(spark, df, 4), table, folder()).awaitTermination()
-    seen = [{(r.url, r.text) for r in spark.read.parquet(f"{table}/v{i}").collect()} for i in (0, 1)]
-    assert {("a", "z"), ("b", "y")} in seen
+    table, gathered, state = folder(), folder() + "/g", folder()
+    stream = as_stream(spark, spark.createDataFrame(rows, schema), 4)
+    for _ in range(2):  # the second time there is nothing new
+        streams.upsert_latest(stream, table, state).awaitTermination()
+    assert newest(table) == {("a", "z"), ("b", "y")}
+    later = as_stream(spark, spark.createDataFrame([("b", 4, "old"), ("c", 1, "n"), ("a", 9, "new")], schema), 1)
+    streams.upsert_latest(later, table, folder()).awaitTermination()  # a new checkpoint on an old table
+    assert newest(table) == {("a", "new"), ("b", "y"), ("c", "n")}
+    streams.compact(spark, table, gathered, schema)
+    assert newest(gathered) == newest(table) and spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(gathered).count() == 3
+
+
+def test_cache_with_a_time_to_live(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")).orderBy("ts").coalesce(1)
+    for seconds in (60, 3600, 40_000):
+        out = folder() + "/hits"
+        streams.ttl_cache(as_stream(spark, events, 1), seconds).writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        fetched, want = {}, []
+        for r in events.collect():
+            hit = r.key in fetched and (r.ts - fetched[r.key]).total_seconds() <= seconds
+            if not hit:
+                fetched[r.key] = r.ts
+            want.append((r.key, r.ts, hit))
+        assert sorted(map(tuple, spark.read.parquet(out).select("key", "ts", "hit").collect())) == sorted(want)
+        assert len({h for _, _, h in want}) == 2
 
 
 def test_content_dedup_in_a_stream(spark):

@@ -48,7 +48,14 @@ def test_whitespace_and_paragraphs(spark):
 def test_formatting(spark):
     assert one(spark, T.safe_links(F.col("t")), t="[a](sandbox:/f) [b](https://x.it)") == "a [b](https://x.it)"
     assert one(spark, T.strip_skip_links(F.col("t")), t="[Vai al contenuto](#c)\n\n\n\nx") == "x"
-    assert one(spark, T.message_html(F.col("t")), t="# T\n**b** <x> a@b.it https://x.it") == '<strong>T</strong><br><strong>b</strong> &lt;x&gt; <a href="mailto:a@b.it">a@b.it</a> <a href="https://x.it">https://x.it</a>'
+    outside = ' target="_blank" rel="noopener noreferrer"'
+    mail = lambda x: f'<a href="mailto:{x}" class="chatbot__entity chatbot__entity--email" title="Invia email">{x}</a>'
+    html = lambda t: one(spark, T.message_html(F.col("t")), t=t)
+    assert html("##### T\n**b** a@b.it https://x.it") == f'<strong>T</strong><br><strong>b</strong> {mail("a@b.it")} <a href="https://x.it"{outside}>https://x.it</a>'
+    assert html("[here](https://x.it/a?b=**c**) [me](mailto:a@b.it) [call](tel:+39)") == f'<a href="https://x.it/a?b=**c**"{outside}>https://x.it/a?b=**c**</a> me call'
+    assert html("• **Tel.**: 0521 82-32") == '• <strong>Tel.</strong>: <a href="tel:05218232" class="chatbot__entity chatbot__entity--phone" title="Chiama">0521 82-32</a>'
+    assert html("Indirizzo: Piazza è, 1 (B)\nvedi: https://x.it") == f'Indirizzo: <a href="https://www.google.com/maps/search/?api=1&query=Piazza%20%C3%A8%2C%201%20(B)"{outside} class="chatbot__entity chatbot__entity--address" title="Apri su Google Maps">Piazza è, 1 (B)</a><br>vedi: <a href="https://x.it"{outside}>https://x.it</a>'
+    assert html("L'indirizzo: via x") == "L'indirizzo: via x"
     assert one(spark, T.cut(F.col("t"), 3), t="abcd") == "abc..." and one(spark, T.cut(F.col("t"), 4), t="abcd") == "abcd"
     assert one(spark, T.clamped_number(F.col("t")), t="score 1.7!") == 1.0 and one(spark, T.clamped_number(F.col("t")), t="none") is None
     assert one(spark, T.backoff_ms(F.col("n")), n=3) == 8000 and one(spark, T.backoff_ms(F.col("n")), n=30) == 1_800_000
@@ -99,3 +106,16 @@ def test_sound_results(spark):
     phase = S.ingestion_phase(F.col("s"), F.col("c"), F.col("p"), F.col("i"))
     for s, c, p, i, want in [(None, False, 0, 0, "legacy"), ("running", False, 0, 0, "crawling"), ("running", True, 1, 0, "embedding"), ("running", True, 0, 0, "indexing"), ("completed", True, 0, 0, "empty"), ("cancelled", True, 0, 0, "failed")]:
         assert one(spark, phase, s=s, c=c, p=p, i=i) == want
+
+
+def test_media_kinds_places_and_phrases(spark):
+    kind = lambda m: one(spark, S.media_kind(F.col("m")), m=m)
+    assert [kind(m) for m in ("image/png", "application/pdf", "text/plain", "audio/mpeg", "image/svg+xml", "text/html", "IMAGE/PNG")] == ["image", "document", "document", None, None, None, None]
+    place = lambda q, a="": one(spark, S.direction_place(F.col("q"), F.col("a")), q=q, a=a)
+    assert place("Come si raggiunge il museo?") == "museo"
+    assert place("Dove si trova?", "Ecco.\n- **Indirizzo:** Via Roma, 1.\nCiao") == "Via Roma, 1"
+    assert place("Vado in centro", "prendi il percorso rosso") == "centro"
+    assert place("Vai a casa") is None and place("Indicazioni?") is None and place("dove si trova", "Sede:https://x.it") is None
+    voice = lambda t: one(spark, S.voice_command(F.col("t")), t=t)
+    assert [voice(t) for t in ("Puoi ripetere? RIPETI", "ferma microfono, aiuto", "ciao", None)] == ["repeat_last", "stop_listening", None, None]
+    assert [one(spark, S.is_document_query(F.col("t")), t=t) for t in ("Leggi il Referto", "che ora è", None)] == [True, False, False]
