@@ -14,7 +14,8 @@ from .tokens import public_path
 
 
 def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    """With class_id, of what bands and verification link, beside the columns asked for."""
+    return edit_fingerprint.near_classes(materialised(edit_fingerprint.fingerprints(table(spark, sf_dir, "documents"))))
 
 
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,44 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_posteriors_equal_brute_force(spark, sf):
+    """Evidence by the models, rates by host and path shrunk by moments, posteriors and verdicts, row by row in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "case when doc_id % 9 = 0 then null else source end as source", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = docs.selectExpr("doc_id", "text", "source as host", "lang as path")
+    good, toxic, good_rate, toxic_rate = quality.fitted(texts, labels, train_rows=150, buckets=1 << 14, seed=42)
+    logit, sigmoid = lambda p: math.log(p / (1 - p)), lambda x: 1 / (1 + math.exp(-x))
+    bound = lambda p: min(1 - 1e-3, max(1e-3, p))
+    rows = []
+    for r in texts.collect():
+        words, dense = quality.features(r.text or "", 1 << 14)
+        rows.append((r.doc_id, r.host, r.path, good.evidence(words, dense), toxic.evidence(words, dense)))
+    p = [sigmoid(e + logit(bound(good_rate))) for *_, e, _ in rows]
+
+    def rates(keys, above):
+        """keys: the group of each row; above: the rate over each group."""
+        n, s = {}, {}
+        for k, x in zip(keys, p):
+            n[k], s[k] = n.get(k, 0) + 1, s.get(k, 0.0) + x
+        between = sum(n[k] * (s[k] / n[k] - above[k]) ** 2 for k in n)
+        within = sum(above[k] * (1 - above[k]) for k in n)
+        most = sum(n[k] * above[k] * (1 - above[k]) for k in n)
+        rho = min(0.5, max(1e-4, (between - within) / max(1e-9, most - within)))
+        strength = 1 / rho - 1
+        return {k: (s[k] + strength * above[k]) / (n[k] + strength) for k in n}
+
+    hosts, paths = [r[1] for r in rows], [r[1:3] for r in rows]
+    by_host = rates(hosts, dict.fromkeys(hosts, sum(p) / len(p)))
+    by_path = rates(paths, {k: by_host[k[0]] for k in paths})
+    got = {r.doc_id: r for r in quality.classify(docs, labels, train_rows=150, buckets=1 << 14).collect()}
+    assert len(got) == len(rows)
+    for (i, host, path, e, t) in rows:
+        q, x = sigmoid(e + logit(bound(by_path[host, path]))), sigmoid(t + logit(bound(toxic_rate)))
+        r = got[i]
+        assert (r.evidence, r.toxic_evidence, r.host_rate, r.path_rate, r.quality, r.toxicity) == pytest.approx((e, t, by_host[host], by_path[host, path], q, x), abs=1e-9)
+        assert r.keep == (q >= 0.5 and x < 0.25)
+
+
 def test_rates_shrink_towards_the_level_above(spark):
     level = spark.createDataFrame([("big", 1000, 0.1), ("small", 1, 0.0), ("other", 500, 0.9)], "host string, n long, rate double")
     got = {r.host: r.x for r in quality.shrunk(level, "rate", F.lit(0.5), "x").collect()}

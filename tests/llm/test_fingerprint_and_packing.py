@@ -49,12 +49,69 @@ def test_walk_finds_its_way_back_after_an_insertion():
     assert edit_fingerprint.likeness(a, b) > 0.6 > 0.3 > edit_fingerprint.likeness(a, c)
 
 
-def test_bands_link_near_documents(spark):
-    base = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
-    rows = [(1, base), (2, base[:-300] + "q" * 300), (3, base[::-1]), (4, base)]
-    prints = edit_fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
-    links = {(r.a, r.b) for r in edit_fingerprint.near_duplicates(prints).collect()}
-    assert links == {(1, 2)}  # 4 has the fingerprint of 1
+def classes_by_force(rows, least=0.8):
+    """rows of (doc_id, fingerprint): the smallest id reachable over pairs that agree in enough slots."""
+    prints = sorted({p for _, p in rows if p is not None})
+    marks = np.array([[*bytes.fromhex(p)] for p in prints])
+    up = [*range(len(prints))]
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    for i in range(len(prints)):
+        for j in np.flatnonzero((marks[i] == marks[:i]).mean(1) >= least).tolist():
+            links += 1
+            x, y = find(i), find(j)
+            up[max(x, y)] = min(x, y)
+    of = {p: find(i) for i, p in enumerate(prints)}
+    head = {}
+    for d, p in rows:
+        if p is not None and d is not None:
+            head[of[p]] = min(head.get(of[p], d), d)
+    return sorted([(d, p, head.get(of[p]) if p is not None else None) for d, p in rows], key=str), links
+
+
+@pytest.mark.parametrize("name", ["documents", "odd"])
+def test_classes_equal_brute_force(request, name):
+    prints = edit_fingerprint.fingerprints(request.getfixturevalue(name)).select("doc_id", "fingerprint")
+    got = edit_fingerprint.near_classes(prints).collect()
+    want, links = classes_by_force([(r.doc_id, r.fingerprint) for r in prints.collect()])
+    assert sorted([(r.doc_id, r.fingerprint, r.class_id) for r in got], key=str) == want and links
+
+
+def test_recall_of_bands(spark):
+    """Pairs that agree in 0.8 to 0.95 of their slots, at random places: nine tenths and more share a band; a large group of near ones is one class."""
+    rng = np.random.default_rng(9)
+    rows, agree = [], []
+    for i in range(1500):
+        a = rng.integers(0, 256, 64, dtype=np.uint8)
+        b = a.copy()
+        at = rng.choice(64, rng.integers(3, 13), replace=False)
+        b[at] ^= np.uint8(1)
+        rows += [(2 * i, a.tobytes().hex()), (2 * i + 1, b.tobytes().hex())]
+        agree.append(1 - len(at) / 64)
+    hub = rng.integers(0, 256, 64, dtype=np.uint8)
+    for i in range(800):
+        x = hub.copy()
+        x[rng.choice(64, 4, replace=False)] = rng.integers(0, 256, 4)
+        rows.append((10_000 + i, x.tobytes().hex()))
+    rows += [(None, rows[0][1]), (7_000_000, None)]
+    found = {r.doc_id: r.class_id for r in edit_fingerprint.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    caught = np.array([found[2 * i + 1] == 2 * i for i in range(1500)])
+    assert min(agree) < 0.82 and caught.mean() > 0.98 and caught[np.array(agree) < 0.83].mean() > 0.9
+    assert all(found[10_000 + i] == 10_000 for i in range(800))
+    assert found[None] == 0 and found[7_000_000] is None
+
+
+def test_rows_of_one_id_spread_over_ranges(spark, documents):
+    """A third without an id, a third all equal, and the rest: edited texts as by brute force, whatever the ranges."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "the same text in many rows" if i % 3 == 1 else r.text) for i, r in enumerate(documents.orderBy("doc_id").collect())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = edit_fingerprint.fingerprints(docs, samples=4).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == edited_texts(rows)
 
 
 def test_cached_pieces_give_the_library_s_ids(documents, odd):
