@@ -6,6 +6,7 @@ Pages are read in Arrow batches where they lie; nothing is shuffled. Unclosed ta
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,6 +39,8 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, list[list[str]]]] = []
+        self.within: Counter = Counter()  # open elements by tag
+        self.collecting: list[list[str]] = []  # what text goes to, of all open elements
         self.titles, self.h1s, self.meta = [], [], {}
         self.lang = self.canonical = ""
         self.anchors: list[tuple[list[str], str]] = []
@@ -80,39 +83,45 @@ class Page(HTMLParser):
             if tag in ("article", "main"):
                 collect(self.articles)
         self.open.append((tag, removed, into))
+        self.within[tag] += 1
+        self.collecting += into
 
     def _removed(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
     def _end_open(self, tag: str):
         """An unclosed p, li and so on ends where the next begins, unless a container opened in between."""
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.within[tag] else ():
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if self.open[i][0] in ("ul", "ol", "table", "div", "section", "article", "main", "body", "dl", "nav"):
                 return
 
+    def _close(self, i: int):
+        """Ends the open elements from the i-th on."""
+        while len(self.open) > i:
+            tag, _, into = self.open.pop()
+            self.within[tag] -= 1
+            del self.collecting[len(self.collecting) - len(into) :]
+
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.within[tag]:
+            self._close(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
 
     def handle_data(self, data):
-        tags = [t for t, _, _ in self.open]
-        quiet = "script" in tags or "style" in tags
-        for _, _, into in self.open:
-            for parts in into:
-                if not quiet:
-                    parts.append(data)
-        if "head" in tags or quiet:
+        inside = self.within
+        quiet = inside["script"] or inside["style"]
+        if not quiet:
+            for parts in self.collecting:
+                parts.append(data)
+        if inside["head"] or quiet:
             return
-        if "noscript" not in tags:
+        if not inside["noscript"]:
             self.shown.append(data)
         if not self._removed():
             self.body.append(data)
-        if any(t in ("nav", "footer", "header", "aside") for t in tags):
+        if inside["nav"] or inside["footer"] or inside["header"] or inside["aside"]:
             self.aside.append(data)
 
 
