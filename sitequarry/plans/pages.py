@@ -10,7 +10,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import conversations, dedup, freshness, html, livesearch, retrieval
-from .queries import PARSED_URL, TOKENS, query, table
+from .queries import ORACLE, PARSED_URL, TOKENS, query, table
 from .tables import LINKS_SQL, joined, link_rows
 
 SPACES = r"[ \t\n\x0B\f\r\x{A0}]"
@@ -124,6 +124,35 @@ def page_dates(spark, sf_dir):
     return freshness.last_modified(pages, sitemap).orderBy("depth", "position").select("page_id", F.col("last_modified_source").alias("source"), F.col("last_modified").cast("timestamp_ntz").alias("modified"))
 
 
+def page_chunks_sql(limit: int, stride: int) -> str:
+    """Tables t (page_id, url, title, t: the text) and f (chunks of each page, i of n) of the given pages, whose articles hold no blank lines."""
+    windows = f"list_filter(list_transform(range(0, len(ws), {stride}), lambda i: array_to_string(list_slice(ws, i + 1, i + {limit}), ' ')), lambda x: length(x) >= 120)"
+    title = flat_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")
+    return rf"""t AS (SELECT page_id, url, {title} AS title, {flat_sql(ARTICLE)} AS t FROM pages),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{SPACES}+'), lambda x: x <> '') AS ws FROM t WHERE t <> ''), l AS (SELECT *, CASE WHEN len(ws) <= {limit} THEN [t] ELSE {windows} END AS cs FROM w),
+c AS (SELECT page_id, url, title, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS k FROM l),
+f AS (SELECT page_id, url, 'TITLE: ' || title || chr(10) || 'URL: ' || url || chr(10) || chr(10) || 'CONTENT:' || chr(10) || chunk AS text, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY page_id) AS n FROM c WHERE length(chunk) BETWEEN 120 AND 6000)"""
+
+
+# Queries that stand beside the others, with SQL of what they extract.
+ORACLE["chunk_pages"] = f"WITH {page_chunks_sql(120, 100)} SELECT url, i::INTEGER AS chunk_index, n::INTEGER AS chunk_count, sha256(text) AS hash FROM f"
+ORACLE["stream_ingest"] = f"WITH {page_chunks_sql(1000, 850)} SELECT url, count(DISTINCT text) AS chunks FROM f GROUP BY url"
+ORACLE["knowledge_base"] = f"""WITH {page_chunks_sql(1000, 850)}, o AS (SELECT t, min(url) AS first FROM t GROUP BY t), k AS (SELECT page_id FROM t JOIN o USING (t) WHERE url = first),
+h AS (SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, url, text FROM f WHERE page_id IN (SELECT page_id FROM k)) SELECT host, count(DISTINCT url) AS pages, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM h GROUP BY host"""
+
+
+def first_values_sql(values: str) -> str:
+    """Per page the first ten different values; how many different ones a site has of these, ten at most."""
+    return f"least(10, len(list_distinct(flatten(list(list_slice(list_distinct({values}), 1, 10))))))::INTEGER"
+
+
+LINK_TEXTS = "list_filter(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\">(.*?)</a>', 2), lambda x: trim(x)), lambda x: length(x) > 3 AND ({0}))"
+ORACLE["collected_data"] = rf"""WITH {PARSED_URL}, b AS (SELECT *, {flat_sql(ARTICLE)} AS a, {flat_sql(f"regexp_replace({BODY}, '(?s)<nav>.*?</nav>|<footer>.*?</footer>', '', 'g')")} AS rest FROM p),
+r AS (SELECT *, regexp_replace(host, '^www\.', '') AS site, substr(CASE WHEN length(a) > 50 THEN a ELSE rest END, 1, 8000) AS raw FROM b)
+SELECT site, {first_values_sql(f"regexp_extract_all(raw, '{html.LOOSE_PHONE}')")} AS phones, {first_values_sql(f"regexp_extract_all(raw, '{T.EMAIL}')")} AS emails,
+ {first_values_sql(LINK_TEXTS.format("contains(lower(x), 'modulo') OR contains(lower(x), 'form')"))} AS forms, least(3000, sum(least(3000, length(raw)) + 1) - 1)::INTEGER AS chars FROM r GROUP BY site"""
+
+
 # Questions and answers
 
 
