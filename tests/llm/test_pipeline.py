@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from sitequarry.llm import quality, suffix_dedup
+from sitequarry.llm import near_copies, quality, suffix_dedup
 from sitequarry.llm.common import materialised
 
 
@@ -118,3 +120,22 @@ def test_rows_go_by_their_own_verdict_and_draw(spark, sf):
         most[r.text.split("\n")[0].split(" ")[0]] = most.get(r.text.split("\n")[0].split(" ")[0], 0) + 1
     assert len(drawn) <= 3 * 90 and max(most.values()) <= 6  # at most 3 times each, in two blocks
     assert abs(sum(len(r.text.split()) for r in drawn) - 64 * 90) <= 64 * 9
+
+
+def test_sketches_let_similar_sets_through_and_few_others():
+    rng = np.random.default_rng(12)
+    for n in (12, 60, 300, 1500, 9000):
+        kept = {}
+        for like in (0.8, 0.7, 0.6):
+            x, y, exact = [], [], []
+            for _ in range(400):
+                both = round(n * 2 * like / (1 + like))  # of sets of n each
+                pool = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))[rng.permutation(2 * n)]
+                a, b = pool[:n], pool[n - both : 2 * n - both]
+                exact.append(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+                x.append(near_copies.bins_of(np.sort(a)))
+                y.append(near_copies.bins_of(np.sort(b)))
+            got = near_copies.may_reach(np.stack(x), np.stack(y), 0.8)
+            kept[like] = got.mean(), np.mean(got[np.array(exact) >= 0.8]) if max(exact) >= 0.8 else 1.0
+        assert kept[0.8][1] >= 0.99 and kept[0.6][0] < 0.02, (n, kept)
+        assert kept[0.7][0] < 0.15 or n < 20, (n, kept)
