@@ -32,9 +32,10 @@ def candidates(filed: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
-def plausible(filed: DataFrame, sketches: DataFrame, least: float, accept: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 8192) -> DataFrame:
+def plausible(filed: DataFrame, sketches: DataFrame, least: float, accept: Callable[[np.ndarray, np.ndarray], np.ndarray], exact: bool = False, block: int = 8192) -> DataFrame:
     """a < b: of all pairs of a bucket with different roots whose sizes allow for a similarity of `least`, those that accept() takes by their sketches (print, sketch: bytes of one length; accept is given two
-    arrays of rows). Sketches only meet the rows of buckets that hold several components."""
+    arrays of rows). Sketches only meet the rows of buckets that hold several components. Where accept() is exact, a task gives its pairs as a spanning forest: what a pair
+    connects needs no more of them."""
 
     def several(batches):
         for key, mark, size, root in whole_keys(batches):
@@ -46,7 +47,7 @@ def plausible(filed: DataFrame, sketches: DataFrame, least: float, accept: Calla
     def met(batches):
         for key, mark, size, root, sketch in whole_keys(batches):
             sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(key), -1)
-            at, d = np.arange(len(key)), 0
+            at, d, up = np.arange(len(key)), 0, {}
             while len(at):
                 d += 1
                 at = at[at + d < len(key)]
@@ -54,6 +55,10 @@ def plausible(filed: DataFrame, sketches: DataFrame, least: float, accept: Calla
                 some = at[root[at] != root[at + d]]
                 for part in np.split(some, range(block, len(some), block)) if len(some) else []:
                     near = part[accept(sketch[part], sketch[part + d])]
+                    if exact and len(near):
+                        near = near[_joining(root[near].tolist(), root[near + d].tolist(), up)]
+                        different, of = np.unique(root, return_inverse=True)
+                        root = np.array([_root(up, r) for r in different.tolist()], np.int64)[of]
                     if len(near):
                         a, b = mark[near], mark[near + d]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -64,6 +69,23 @@ def plausible(filed: DataFrame, sketches: DataFrame, least: float, accept: Calla
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
+def _root(up: dict[int, int], x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        up[x] = x = up.get(y, y)
+    return x
+
+
+def _joining(left: list[int], right: list[int], up: dict[int, int]) -> np.ndarray:
+    """Which pairs of roots join what wasn't joined yet; up learns of them."""
+    out = []
+    for x, y in zip(left, right):
+        x, y = _root(up, x), _root(up, y)
+        out.append(x != y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return np.array(out, bool)
+
+
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """The rows (key, print) whose key another has too."""
 
@@ -93,5 +115,5 @@ def connected(keyed: DataFrame, sketches: DataFrame, accept: Callable[[np.ndarra
     one = F.lit(1).cast("long").alias("size")
     linked = materialised(taken(candidates(keyed.select("key", "print", one, F.col("print").alias("root")), 0.0)))
     found = rooted(linked)
-    more = materialised(plausible(keyed.join(found, "print").select("key", "print", one, "root"), sketches, 0.0, accept))
+    more = materialised(plausible(keyed.join(found, "print").select("key", "print", one, "root"), sketches, 0.0, accept, exact=True))
     return found if more.isEmpty() else rooted(linked.unionAll(more))
