@@ -28,7 +28,7 @@ def candidates(filed: DataFrame, least: float) -> DataFrame:
             a, b = mark[:-1][near], mark[1:][near]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    dealt = filed.repartition("key").sortWithinPartitions("key", "size", "print")
+    dealt = filed.select("key", "print", "size", "root").repartition("key").sortWithinPartitions("key", "size", "print")
     return dealt.mapInArrow(met, "a long, b long").distinct()
 
 
