@@ -133,14 +133,14 @@ class Manifest:
     def _down(self, stored: list[DataFrame], paths: DataFrame, needed: list[DataFrame | None]) -> DataFrame:
         """From paths (grp, idx, path, others) of what remains of each tree to those of its lowest nodes, with their members."""
         for blocks, some in zip(reversed(stored), reversed(needed)):
-            g, upper = F.col("grp"), paths.withColumnsRenamed({"grp": "g", "path": "upper"})
+            g, upper = F.col("grp"), paths.drop("member").withColumnsRenamed({"grp": "g", "path": "upper"})
             if some is not None:
                 blocks = blocks.join(some.select(F.col("grp").alias("sg"), F.col("block").alias("sb")), g.eqNullSafe(F.col("sg")) & (F.col("block") == F.col("sb")), "left_semi")
             met = self._levels(blocks.join(upper, g.eqNullSafe(F.col("g")) & (F.col("block") == F.col("idx"))).drop("g", "idx"))
             each = met.select("*", F.posexplode("members").alias("place", "member"))
             own = F.concat(siblings(F.col("levels"), F.col("place"), self.arity, self.every), F.col("upper"))
             kept = [c for c in upper.columns if c not in ("g", "idx", "upper")]
-            paths = each.select("grp", F.col("member.idx").alias("idx"), own.alias("path"), "member", *[c for c in kept if c != "member"])
+            paths = each.select("grp", F.col("member.idx").alias("idx"), own.alias("path"), "member", *kept)
         return paths
 
     def _needed(self, stored: list[DataFrame], lowest: DataFrame) -> list[DataFrame]:
