@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, curve_packing, edit_fingerprint, html_extract, merkle, quality, simhash, source_mix, suffix_dedup, token_rollup, topk_search
+from . import backoff_lm, binary_records, curve_packing, edit_fingerprint, html_extract, merkle, quality, simhash, source_mix, suffix_dedup, token_rollup, topk_search
 from .common import materialised, shared_folder, table
 from .tokens import public_path
 
@@ -63,6 +63,11 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the files."""
+    return binary_records.write(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/records-{uuid.uuid4().hex}").records()
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampered rows, those of an even crc32 of their id, lose their line feeds."""
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
