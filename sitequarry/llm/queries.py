@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, binary_records, curve_packing, edit_fingerprint, html_extract, merkle, quality, simhash, source_mix, suffix_dedup, token_rollup, topk_search
+from . import backoff_lm, binary_records, curve_packing, edit_fingerprint, html_extract, lexical_search, merkle, quality, simhash, source_mix, suffix_dedup, token_rollup, topk_search
 from .common import materialised, shared_folder, table
 from .tokens import public_path
 
@@ -63,6 +63,10 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the files."""
     return binary_records.write(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/records-{uuid.uuid4().hex}").records()
@@ -88,6 +92,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+LEXICAL_SQL = """
+WITH term AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents),
+asked AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+doc AS (SELECT doc_id, count(*)::BIGINT AS n FROM term GROUP BY doc_id),
+a AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM doc),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM term GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, a),
+m AS (SELECT doc_id, 25 + (75 * n * nn) // ll AS m FROM doc, a),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 SUFFIX_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
@@ -102,4 +121,4 @@ SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIG
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_dedup": SUFFIX_SQL, "op9_topk_search": TOPK_SQL}
+    return {"op6_suffix_dedup": SUFFIX_SQL, "op9_topk_search": TOPK_SQL, "op11_lexical_search": LEXICAL_SQL}

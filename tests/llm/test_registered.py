@@ -3,12 +3,12 @@ import pytest
 import __spark_entry__ as entry
 
 #: How many rows each query gives: those of a table, or None where it isn't one for one.
-ROWS = {"op1": "documents", "op2": "documents", "op3": "documents", "op4": "documents", "op5": None, "op6": "documents", "op7": "pages", "op8": "documents", "op9": None, "op10": None, "op12": "documents", "op13": "documents", "pipeline": None}
+ROWS = {"op1": "documents", "op2": "documents", "op3": "documents", "op4": "documents", "op5": None, "op6": "documents", "op7": "pages", "op8": "documents", "op9": None, "op10": None, "op11": None, "op12": "documents", "op13": "documents", "pipeline": None}
 COLUMNS = {
     "op1": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next class_id", "op2": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op3": "doc_id size source_size target taken", "op4": "doc_id fingerprint component_id", "op6": "doc_id n_bytes n_removed n_spans kept_sha256", "op7": "page_id url text n_chars",
     "op9": "query_id rank vec_id score", "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset place",
-    "op12": "doc_id start n_tokens ids_crc32", "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op11": "item_id rank doc_id score", "op12": "doc_id start n_tokens ids_crc32", "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
