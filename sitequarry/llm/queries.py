@@ -107,6 +107,27 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+#: "-" or the length in bytes, a colon and the value, of each field; crc32 by its shifts; siblings by level; and a fold over them.
+MERKLE_SQL = """
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS rid, doc_id, source, text,
+  concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+  list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) & 1 = 1 AS changed FROM documents),
+t AS (SELECT *, CASE WHEN changed THEN replace(text, chr(10), '') ELSE text END AS other FROM f),
+h AS (SELECT rid, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other FROM t),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h),
+tree AS (SELECT g, 0 AS lvl, i, n, leaf AS h FROM leaf UNION ALL SELECT g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, lvl, i // 3, n),
+sub AS (SELECT g, h FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS lvl, g AS i, count(*) OVER () AS n, h FROM sub UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY lvl, i // 3, n),
+both_trees AS (SELECT rid, 0 AS part, lvl, t.i, leaf.i // (3 ** lvl)::BIGINT AS own, h FROM leaf JOIN tree t ON t.g = leaf.g AND t.n > 1 AND t.i // 3 = leaf.i // (3 ** (lvl + 1))::BIGINT
+  UNION ALL SELECT rid, 1, lvl, c.i, leaf.g // (3 ** lvl)::BIGINT, h FROM leaf JOIN crown c ON c.n > 1 AND c.i // 3 = leaf.g // (3 ** (lvl + 1))::BIGINT),
+sib AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY part, lvl) AS step, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS z FROM both_trees GROUP BY rid, part, lvl),
+proof AS (SELECT rid, string_agg(a || z, '' ORDER BY step) AS p, max(step) AS steps FROM sib GROUP BY rid),
+fold AS (SELECT rid, 0 AS step, other AS h FROM leaf UNION ALL SELECT rid, sib.step, sha256(a || h || z) FROM fold JOIN sib USING (rid) WHERE sib.step = fold.step + 1)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(p, '')) AS proof_sha256, fold.h AS folded_root, fold.h = top.h AS verified
+FROM leaf JOIN crown top ON top.n = 1 JOIN sub USING (g) LEFT JOIN proof USING (rid) JOIN fold ON fold.rid = leaf.rid AND fold.step = coalesce(steps, 0)
+"""
+
+
 SUFFIX_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
@@ -121,4 +142,4 @@ SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIG
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_dedup": SUFFIX_SQL, "op9_topk_search": TOPK_SQL, "op11_lexical_search": LEXICAL_SQL}
+    return {"op6_suffix_dedup": SUFFIX_SQL, "op9_topk_search": TOPK_SQL, "op11_lexical_search": LEXICAL_SQL, "op13_merkle_manifest": MERKLE_SQL}
