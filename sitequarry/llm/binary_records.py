@@ -18,11 +18,14 @@ the hash of their text, equal rows are interchangeable; an empty table gives no
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections import OrderedDict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import ByteBpe, public_path
+from .tokens import BESIDE_BLANK, public_path
 
 FILES = "part int, file string, records long, tokens long, bytes long"
 HEAD, LENGTH = 16, 12  # bytes of a payload before its token ids, of a frame before its payload
@@ -41,17 +44,46 @@ ENTRY = 16  # bytes of an index entry
 MASK = 0xFFFFFFFF
 
 
-class LibraryBpe(ByteBpe):
-    """Ids by the tokenizers library alone; words that a single space begins are encoded once and kept."""
+class LibraryBpe:
+    """Ids by the tokenizers library alone. A single space between two other characters always begins a piece, so the words of many texts are
+    encoded in one call, each different one once, and kept; texts with runs of white space or special strings are encoded whole."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 1_000_000, batch_chars: int = 4 << 20):
         from tokenizers import Tokenizer
 
-        self.path, self.cached, self.words = path, cached, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the tasks
+        self.cached, self.batch_chars = cached, batch_chars
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() < 65536 else "<u4")
-        self.encode = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        code = "HI"[self.kind.itemsize == 4]
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        apart = lambda t: not (BESIDE_BLANK.search(t) or t[:1] == " " or t[-1:] == " " or any(s in t for s in self.specials))
+        split = [t.split(" ") if apart(t) else [t] for t in texts]
+        new = [*set().union(*(s[1:] for s in split)).difference(self.words)]
+        got = self._encoded([" " + w for w in new] + [s[0] for s in split])
+        self.words.update(zip(new, got))
+        out = [b"".join((first, *map(self.words.__getitem__, s[1:]))) for first, s in zip(got[len(new) :], split)]
+        if len(self.words) > self.cached:
+            for w in [*islice(self.words, len(self.words) - self.cached // 2)]:
+                del self.words[w]
+        return out
+
+    def packed(self, texts):
+        """The ids of each text, as little-endian integers of self.kind."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.batch_chars:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held) if held else ()
 
 
 class Crc32c:
@@ -80,8 +112,9 @@ class Crc32c:
         padded[n - len(data) :] = np.frombuffer(data, np.uint8)
         padded[n - len(data) : n - len(data) + 4] ^= 0xFF
         state, s = 0, self.shift
-        for part in np.array_split(padded.reshape(-1, self.chunk), max(1, n >> 20)):
-            for own in np.bitwise_xor.reduce(self.flat[self.start + part], axis=1).tolist():
+        parts = padded.reshape(-1, self.chunk)
+        for a in range(0, len(parts), 2048):
+            for own in np.bitwise_xor.reduce(self.flat.take(self.start + parts[a : a + 2048]), axis=1).tolist():
                 state = own ^ s[0][state & 0xFF] ^ s[1][state >> 8 & 0xFF] ^ s[2][state >> 16 & 0xFF] ^ s[3][state >> 24]
         return state ^ MASK
 
@@ -241,7 +274,7 @@ class RecordFiles:
         return dealt.select("file", "offset", "length").mapInArrow(fetch, "doc_id long, ids binary").withColumn("place", F.monotonically_increasing_id())
 
 
-def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 32 << 20) -> RecordFiles:
+def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 64 << 20) -> RecordFiles:
     """Encodes docs and writes them in ascending order of their ids, about part_bytes of text a file."""
     path = tokenizer or public_path("byte_bpe_50k.json")
     spark = docs.sparkSession
@@ -263,8 +296,9 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
         with system.open_output_stream(place, buffer_size=4 << 20) as out, system.open_output_stream(f"{place}.index", buffer_size=1 << 20) as index:
             batch = first
             while batch is not None:
-                for doc_id, value in zip(batch.column(0), batch.column(1)):
-                    ids = bpe.packed(value.as_py()) + last
+                texts = (value.as_py() for value in batch.column(1))
+                for doc_id, ids in zip(batch.column(0), bpe.packed(texts)):
+                    ids += last
                     frame = framed(serialized(doc_id.as_py(), ids, bpe.kind.itemsize), crc)
                     out.write(frame)
                     index.write(entry(offset, len(frame)))
