@@ -16,7 +16,18 @@ UTILITY_SEGMENTS = "accedi|login|log-in|signin|sign-in|logout|log-out|esci|cerca
 NOISE_ATTRIBUTES = "target|rel|onclick|class|id|style|title|data-[^=\\s]+"
 CITY_HOSTS = ("comune\\.([^.]+)\\.it", "([^.]+)\\.gov\\.it", "([^.]+)\\.comune\\.it")
 
-URL = r"^(?i)(https?)://([^/?#:@\[\]\s]+)(?::([0-9]*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+URL = r"^(?i)(https?)://(?:[^/?#]*@)?([^/?#:@\[\]\s]+|\[[0-9a-f:.]+\])(?::([0-9]*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+# The URL standard's parser, as patterns: what surrounds a URL, its parts (slashes may lean either way), the host and port, segments that mean a step.
+AROUND = "[\\x00-\\x20\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
+ABSOLUTE = r"(?is)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+HOST = r"(?i)^(\[[0-9a-f:.]+\]|[^\x00-\x20\x7F#/<>?@\\\[\]^|%:]+)(?::([0-9]*))?$"
+SCHEME = "(?i)^[a-z][a-z0-9+.-]*:"
+HERE, UP = "(?i)^(\\.|%2e)$", "(?i)^(\\.|%2e){2}$"
+STEPS = "(?i)[/\\\\](\\.|%2e){1,2}([/\\\\]|$)"
+# Characters that are percent-encoded in a path and in a query.
+PATH_CODED = "[\\x00-\\x20\"#<>?^`{}\\x7F-\\x{10FFFF}]"
+QUERY_CODED = "[\\x00-\\x20\"#'<>\\x7F-\\x{10FFFF}]"
+DEFAULT_PORTS = {"http": "80", "https": "443"}
 NEWS = f"(?i)(^|/)({NEWS_SEGMENTS})(/|$)"
 NON_PAGE = f"(?i)(^|/)({FILE_SEGMENTS})/[0-9]+(/|$)"
 ASSET = rf"(?i)\.({'|'.join(ASSET_EXTENSIONS)})(\?.*)?$"
@@ -38,31 +49,79 @@ def part(url: Column, group: int) -> Column:
     return F.when(F.trim(url).rlike(URL), F.regexp_extract(F.trim(url), URL, group))
 
 
+def percent_coded(text: Column, which: str) -> Column:
+    """text with the characters of a class percent-encoded as UTF-8."""
+    coded = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(which), F.when(c == " ", "%20").otherwise(F.url_encode(c))).otherwise(c))
+    return F.when(text.rlike(which), F.array_join(coded, "")).otherwise(text)
+
+
+def folded_path(path: Column) -> Column:
+    """A path without steps: a stack of its segments, on which `.` leaves all as it is and `..` takes the last one off. A step at the end leaves a slash there."""
+    down = lambda stack, s: F.when(s.rlike(UP), F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).when(s.rlike(HERE), stack).otherwise(F.concat(stack, F.array(s)))
+    stack = lambda segments: F.aggregate(segments, F.array().cast("array<string>"), down)
+    last = lambda segments: F.when(F.element_at(segments, -1).rlike("(?i)^(\\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    segments = F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]")
+    folded = let(segments, lambda x: F.concat(F.lit("/"), F.array_join(F.concat(stack(x), last(x)), "/")))
+    slashed = F.when(path == "", "/").otherwise(F.translate(path, "\\", "/"))
+    return F.when(path.rlike(STEPS), folded).otherwise(slashed)
+
+
+def parsed(url: Column) -> Column:
+    """The parts of an absolute http(s) URL as the URL standard has them: scheme, user, host, port (without the default one), path, query (coded); null if it isn't one."""
+
+    def parts(x: Column) -> Column:
+        p, at = x["p"], F.regexp_extract(x["p"][1], "^(.*)@", 1)
+        scheme, place = F.lower(p[0]), F.lower(F.regexp_replace(p[1], "^.*@", ""))
+        place = F.when(place.contains("%"), F.lower(F.try_url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))))).otherwise(place)
+        port = F.regexp_replace(F.regexp_extract(place, HOST, 2), "^0+(?=[0-9])", "")
+        default = F.create_map(*[F.lit(v) for kv in DEFAULT_PORTS.items() for v in kv])
+        shown = F.when((port == "") | (port == F.element_at(default, scheme)), "").otherwise(port)
+        fits = place.rlike(HOST) & (F.length(port) < 6) & F.coalesce(port.try_cast("int") < 65536, port == "")
+        return F.when(fits, F.struct(
+            scheme.alias("scheme"), F.replace(F.regexp_replace(at, ":$", ""), F.lit("@"), F.lit("%40")).alias("user"), F.regexp_extract(place, HOST, 1).alias("host"), shown.alias("port"),
+            percent_coded(folded_path(p[2]), PATH_CODED).alias("path"), percent_coded(p[3], QUERY_CODED).alias("query"),
+        ))
+
+    bare = F.regexp_replace(F.regexp_replace(url, f"^{AROUND}|{AROUND}$", ""), "[\t\n\r]", "")
+    held = F.replace(bare, F.lit("\x01"), F.lit("%01"))
+    matched = F.when(held.rlike(ABSOLUTE), F.split(F.regexp_replace(held, ABSOLUTE, "$1\x01$2\x01$3\x01$4"), "\x01"))
+    return let(F.struct(matched.alias("p")), lambda x: F.when(x["p"].isNotNull(), parts(x)))
+
+
+def origin(p: Column) -> Column:
+    return F.concat(p["scheme"], F.lit("://"), F.when(p["user"] != "", F.concat(p["user"], F.lit("@"))).otherwise(""), p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""))
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """An href against the page it stands on: absolute, protocol-relative, root-relative, query or path-relative."""
+    """An href against the page it stands on, absolute but not yet parsed; null if it has another scheme than http(s)."""
 
     def against(b: Column) -> Column:
-        h, p = F.trim(href), b["p"]
-        root = F.concat(F.lower(p[0]), F.lit("://"), p[1], F.when(p[2] != "", F.concat(F.lit(":"), p[2])).otherwise(""))
-        page = F.when(p[3] == "", "/").otherwise(p[3])
+        h, p = b["h"], b["p"]
+        same = F.coalesce(F.lower(F.substring_index(h, ":", 1)) == p["scheme"], F.lit(False))
+        stands = p.isNotNull() | base.rlike("(?i)^(?!https?:)[a-z][a-z0-9+.-]*:")  # a page of another scheme has no relative hrefs
+        short = same & ~h.rlike(r"^[^:]*:[/\\]{2}")  # the page's own scheme before a relative href
+        rest = F.when(h.rlike(SCHEME) & short, F.regexp_replace(h, SCHEME, "")).otherwise(h)
+        query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
         return (
-            F.when(h.rlike("^(?i)[a-z][a-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(F.lower(p[0]), F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(root, h))
-            .when(h.startswith("?"), F.concat(root, page, h))
-            .when((h == "") | h.startswith("#"), F.regexp_replace(base, "#.*$", ""))
-            .otherwise(F.concat(root, F.regexp_replace(page, "[^/]*$", ""), h))
+            F.when(h.rlike(SCHEME) & ~short, F.when(stands & h.rlike("(?i)^https?:"), h))
+            .when(rest.rlike(r"^[/\\]{2}"), F.concat(p["scheme"], F.lit(":"), rest))
+            .when(rest.rlike(r"^[/\\]"), F.concat(origin(p), rest))
+            .when(rest.startswith("?"), F.concat(origin(p), p["path"], rest))
+            .when((rest == "") | rest.startswith("#"), F.concat(origin(p), p["path"], query))
+            .otherwise(F.concat(origin(p), F.regexp_replace(p["path"], "[^/]*$", ""), rest))
         )
 
-    return let(let(F.struct(parts_of(base).alias("p")), against), dot_segments)
+    bare = F.regexp_replace(F.regexp_replace(href, f"^{AROUND}|{AROUND}$", ""), "[\t\n\r]", "")
+    return let(F.struct(bare.alias("h"), parsed(base).alias("p")), against)
+
+
+def form_decoded(text: Column) -> Column:
+    """A part of a query as form data: + is a space, percent codes are UTF-8, and what is no code stays."""
+    return F.when(text.rlike("[%+]"), F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(text)
 
 
-def dot_segments(url: Column) -> Column:
-    """Takes /./ and up to three levels of /../ out of a path."""
-    out = F.regexp_replace(url, r"/\./", "/")
-    for _ in range(3):
-        out = F.regexp_replace(out, r"(://[^/?#]+(?:/[^?#]*)?)/[^/?#]+/\.\./", "$1/")
-    return F.when(url.contains("/."), out).otherwise(url)
+def form_coded(text: Column) -> Column:
+    return F.when(text.rlike("[^A-Za-z0-9*._-]"), F.url_encode(text)).otherwise(text)
 
 
 def normalize_url(raw: Column, base: Column | None = None) -> Column:
@@ -70,18 +129,15 @@ def normalize_url(raw: Column, base: Column | None = None) -> Column:
 
     def canonical(u: Column) -> Column:
         p = u["p"]
-        scheme, host = F.lower(p[0]), F.lower(p[1])
-        path = F.when(p[3] == "", "/").otherwise(p[3])
-        port = F.when((p[2] == "") | ((scheme == "http") & (p[2] == "80")) | ((scheme == "https") & (p[2] == "443")), "").otherwise(F.concat(F.lit(":"), p[2]))
-        pairs = F.filter(F.split(p[4], "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING_PARAMS))
-        keyed = F.transform(pairs, lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), i.alias("i"), F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))).alias("p")))
-        query = F.array_join(F.transform(F.array_sort(keyed), lambda x: F.replace(x["p"], F.lit("%20"), F.lit("+"))), "&")
-        shown = F.when(p[4] == "", "").otherwise(let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
-        binary = F.lower(path).rlike(rf"\.({'|'.join(BINARY_EXTENSIONS)})$")
-        cut = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-        return F.when(p.isNotNull() & ~binary, F.concat(scheme, F.lit("://"), host, port, cut, shown))
+        pair = lambda x, i: F.struct(form_decoded(F.substring_index(x, "=", 1)).alias("k"), i.alias("i"), form_decoded(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("v"))
+        pairs = F.filter(F.transform(F.filter(F.split(p["query"], "&"), lambda x: x != ""), pair), lambda x: ~F.lower(x["k"]).isin(*TRACKING_PARAMS))
+        query = F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat(form_coded(x["k"]), F.lit("="), form_coded(x["v"]))), "&")
+        shown = F.when(p["query"] == "", "").otherwise(let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+        binary = F.lower(p["path"]).rlike(rf"\.({'|'.join(BINARY_EXTENSIONS)})$")
+        cut = F.when((F.length(p["path"]) > 1) & p["path"].endswith("/"), F.regexp_replace(p["path"], "/$", "")).otherwise(p["path"])
+        return F.when(p.isNotNull() & ~binary, F.concat(origin(p), cut, shown))
 
-    return let(F.struct(parts_of(F.trim(raw) if base is None else resolve(raw, base)).alias("p")), canonical)
+    return let(F.struct(parsed(raw if base is None else resolve(raw, base)).alias("p")), canonical)
 
 
 def host_of(url: Column) -> Column:
@@ -129,11 +185,10 @@ def light_normalize(href: Column, base: Column | None = None) -> Column:
 
     def plain(u: Column) -> Column:
         p = u["p"]
-        port, query = (F.when(p[i] != "", F.concat(F.lit(mark), p[i])).otherwise("") for i, mark in ((2, ":"), (4, "?")))
-        return F.regexp_replace(F.concat(F.lower(p[0]), F.lit("://"), F.lower(p[1]), port, F.when(p[3] == "", "/").otherwise(p[3]), query), "/$", "")
+        return F.regexp_replace(F.concat(origin(p), p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")), "/$", "")
 
     url = F.trim(href) if base is None else resolve(href, base)
-    return F.when(~F.trim(href).rlike("^(?i)(#|javascript:|mailto:|tel:)"), let(F.struct(parts_of(url).alias("p")), plain))
+    return F.when(~F.trim(href).rlike("^(?i)(#|javascript:|mailto:|tel:)"), let(F.struct(parsed(url).alias("p")), plain))
 
 
 def clean_href(href: Column, base: Column | None = None) -> Column:

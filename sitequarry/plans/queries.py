@@ -95,6 +95,22 @@ def links_by_host(spark, sf_dir):
     return links.groupBy(U.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("different_links"))
 
 
+@query(rf"""WITH {PARSED_URL},
+k AS (SELECT *, unnest(range(1, 7)) AS depth, string_split(regexp_replace(path, '^/', ''), '/') AS own FROM p),
+b AS (SELECT *, list_concat(own, ['a', 'b', 'c', 'p']) AS segs FROM (SELECT * REPLACE (CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own) FROM k)),
+d AS (SELECT *, segs[: greatest(len(segs) - 1 - depth, 0)] AS kept FROM b)
+SELECT page_id, depth::INTEGER AS depth, concat_ws('/', scheme || '://' || host, CASE WHEN len(kept) > 0 THEN array_to_string(kept, '/') END, 'x', CASE WHEN depth % 2 = 1 THEN page_id END) AS link,
+       concat_ws('/', scheme || '://' || host, CASE WHEN len(kept) > 0 THEN array_to_string(kept, '/') END) || CASE WHEN len(kept) = 0 THEN '/' ELSE '' END AS up FROM d""")
+def relative_links(spark, sf_dir):
+    """URL1, URL10: hrefs of one to six steps up, from a page below each page; every second one ends in a step, too."""
+    depth = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("depth")
+    base = F.concat(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", ""), F.lit("/a/b/c/p"))
+    rows = table(spark, sf_dir, "pages").select("page_id", base.alias("base"), depth)
+    steps = F.repeat(F.lit("../"), F.col("depth"))
+    href = F.concat(steps, F.lit("./x/./"), F.col("page_id"), F.when(F.col("depth") % 2 == 0, "/..").otherwise(""))
+    return rows.select("page_id", "depth", U.normalize_url(href, F.col("base")).alias("link"), U.normalize_url(steps, F.col("base")).alias("up"))
+
+
 @query()
 def page_documents(spark, sf_dir):
     """HTM1-20 of every page."""
