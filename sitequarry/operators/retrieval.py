@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scoring import LICENCE, boost_of, closeness, length_bonus, low_confidence, navigation_penalty, rerank_score
 from ..functions.urls import let
-from ..sources.shared import materialised
+from ..sources.shared import materialised, new_folder
 from .dedup import best_of
 
 
@@ -75,43 +75,140 @@ def _met(q: DataFrame, c: DataFrame, key: list[str], k: int) -> DataFrame:
     return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(meet, f"query_id {id_kinds[0]}, chunk_id {id_kinds[1]}, distance double")
 
 
-class CellIndex:
-    """RET4: an index of vectors by cells: k-means on a hashed sample of about `sample` rows (a documented bound) gives the centres, every row lies in the cell of the
-    nearest one. A query asks the cells whose centres are nearest, a share `probes` of all; a row is in one cell, so no pair is made twice."""
+def codebook(values: np.ndarray, size: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
+    """The means that a few rounds of k-means leave, as many as there are different values at most."""
+    values = np.unique(values, axis=0)
+    means = values[np.random.default_rng(seed).permutation(len(values))[:size]]
+    for _ in range(rounds):
+        own = np.argmax(values @ means.T - 0.5 * (means**2).sum(1), axis=1)
+        sums = np.stack([np.bincount(own, values[:, d], len(means)) for d in range(values.shape[1])], axis=1)
+        count = np.bincount(own, minlength=len(means))[:, None]
+        means = np.where(count > 0, sums / np.maximum(count, 1), means)
+    return means
 
-    def __init__(self, chunks: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 42):
-        n = chunks.count()
-        cells = cells or max(1, min(1024, round(n**0.5 / 1.5)))
-        rows = chunks.select("chunk_id", unit(F.col("vector")).alias("vec")).where("vec is not null")
-        some = rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(max(1, n // sample))) == 0).select(array_to_vector("vec").alias("features"))
-        model = KMeans(k=cells, seed=seed, maxIter=15, distanceMeasure="cosine").fit(some)
-        self.centres = np.stack(model.clusterCenters())
-        self.blocks = max(1, -(-n // (len(self.centres) * 16384)))
-        self.rows = self._placed(rows, 1).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(self.blocks)).cast("int"))
 
-    def _placed(self, rows: DataFrame, n: int) -> DataFrame:
-        """rows (vec) with `cell`, a row for each of the n nearest centres."""
-        centres = self.centres.T
+class VectorIndex:
+    """RET4: inverted lists of product-quantised residuals, in a folder of Parquet.
 
-        @F.pandas_udf("array<int>")
-        def nearest_cells(vec: pd.Series) -> pd.Series:
-            like = np.stack(vec) @ centres if len(vec) else np.zeros((0, 1))
-            return pd.Series(list(np.argsort(-like, axis=1, kind="stable")[:, :n].astype(np.int32)))
+    Unit vectors lie in the cell of their nearest centre; what the centre leaves of a vector is cut into `parts` slices, and each becomes the number of the nearest entry of that slice's codebook: a byte. A query
+    makes one table of what each entry is worth to it, so a row costs `parts` look-ups; the rows that look best to it are scored by their vectors. Codes and vectors are partitioned by
+    cell: a search reads the files of the cells that its queries ask, and vectors only of the short list.
 
-        return rows.withColumn("cell", F.explode(nearest_cells("vec")))
+    Centres and codebooks are fitted on a hashed sample of about `sample` rows (a documented bound), a codebook in a task of its own; every row is indexed. append() places more rows by the same centres and codebooks."""
 
-    def nearest(self, queries: DataFrame, k: int, probes: float = 0.75) -> DataFrame:
-        q = queries.select("query_id", unit(F.col("vector")).alias("vec")).where("vec is not null")
-        asked = self._placed(q, max(1, round(probes * len(self.centres)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
-        return _ranked(_met(asked, self.rows, ["cell", "block"], k), k)
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+        model = spark.read.parquet(f"{folder}/model").orderBy("part", "number").collect()  # centres, and 256 entries a slice at most
+        of = lambda part: np.array([r.values for r in model if r.part == part])
+        self.centres = of(-1)
+        self.books = [of(m) for m in range(max(r.part for r in model) + 1)]
 
+    @classmethod
+    def build(cls, chunks: DataFrame, folder: str, cells: int | None = None, parts: int = 16, entries: int = 256, sample: int = 20_000, seed: int = 42) -> VectorIndex:
+        """The index of chunks (chunk_id, vector), which need one row at least that isn't null or zero; all vectors have one length."""
+        rows = chunks.select("chunk_id", unit(F.col("vector")).alias("vec")).where("vec is not null")
+        n, dims = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+        cells, parts = cells or max(1, min(1024, round(n**0.5 / 1.5))), min(parts, dims)
+        some = materialised(rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(max(1, n // sample))) == 0))
+        model = KMeans(k=cells, seed=seed, maxIter=15, distanceMeasure="cosine").fit(some.select(array_to_vector("vec").alias("features")))
+        centres = np.stack(model.clusterCenters())
+        cuts = [m * dims // parts for m in range(parts + 1)]
+
+        def residuals(batches):
+            for batch in batches:
+                v = np.stack(batch["vec"]) if len(batch) else np.zeros((0, dims))
+                left = v - centres[np.argmax(v @ centres.T, axis=1)]
+                for m in range(parts):
+                    yield pd.DataFrame({"part": m, "values": list(left[:, cuts[m] : cuts[m + 1]])})
+
+        def fitted(group: pd.DataFrame) -> pd.DataFrame:
+            means = codebook(np.stack(group["values"]), entries, seed=seed)
+            return pd.DataFrame({"part": group["part"].iloc[0], "number": range(len(means)), "values": list(means)})
+
+        kind = "part int, number int, values array<double>"
+        books = some.mapInPandas(residuals, "part int, values array<double>").groupBy("part").applyInPandas(fitted, kind)
+        books.unionByName(chunks.sparkSession.createDataFrame([(-1, i, c.tolist()) for i, c in enumerate(centres)], kind)).write.parquet(f"{folder}/model")
+        index = cls(chunks.sparkSession, folder)
+        index.append(chunks)
+        return index
+
+    def append(self, chunks: DataFrame, rows_each: int = 1 << 20) -> None:
+        """More rows, at the centres and codebooks that there are."""
+        centres, books = self.centres, self.books
+        cuts = np.cumsum([0, *[b.shape[1] for b in books]])
+
+        @F.pandas_udf("cell int, code binary")
+        def placed(vec: pd.Series) -> pd.DataFrame:
+            v = np.stack(vec) if len(vec) else np.zeros((0, cuts[-1]))
+            cell = np.argmax(v @ centres.T, axis=1).astype(np.int32)
+            left = v - centres[cell]
+            near = lambda x, b: np.argmax(x @ b.T - 0.5 * (b**2).sum(1), axis=1)
+            codes = np.stack([near(left[:, cuts[m] : cuts[m + 1]], b) for m, b in enumerate(books)], axis=1).astype(np.uint8)
+            return pd.DataFrame({"cell": cell, "code": [c.tobytes() for c in codes]})
+
+        rows = chunks.select("chunk_id", unit(F.col("vector")).alias("vec")).where("vec is not null").withColumn("at", placed("vec"))
+        rows = materialised(rows.select("chunk_id", "vec", F.col("at.cell").alias("cell"), F.col("at.code").alias("code")))
+        spread = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, rows.count() // (len(centres) * rows_each)))).cast("int")  # a crowded cell is many files
+        for name, column in (("codes", "code"), ("vectors", "vec")):
+            rows.select("chunk_id", column, "cell", spread.alias("spread")).repartition("cell", "spread").drop("spread").write.mode("append").partitionBy("cell").parquet(f"{self.folder}/{name}")
+
+    def lists(self, name: str, cells: list[int] | None = None) -> DataFrame:
+        """The codes or the vectors of some cells: files of others are not read."""
+        rows = self.spark.read.parquet(f"{self.folder}/{name}")
+        return rows if cells is None else rows.where(F.col("cell").isin(cells))
+
+    def short_lists(self, queries: DataFrame, shortlist: int, probes: float = 0.75, cell_rows: int = 65_536) -> DataFrame:
+        """query_id, q, cell, chunk_id, look: for each query the rows of its nearest cells (a share `probes` of all) that look best by their codes."""
+        centres, books, n = self.centres, self.books, max(1, round(probes * len(self.centres)))
+        cuts = np.cumsum([0, *[b.shape[1] for b in books]])
+
+        @F.pandas_udf("array<int>")
+        def nearest_cells(vec: pd.Series) -> pd.Series:
+            like = np.stack(vec) @ centres.T if len(vec) else np.zeros((0, 1))
+            return pd.Series(list(np.argsort(-like, axis=1, kind="stable")[:, :n].astype(np.int32)))
 
-def nearest_approximate(queries: DataFrame, chunks: DataFrame, k: int, exact_below: int = 256, probes: float = 0.75, cells: int | None = None) -> DataFrame:
-    """RET4: neighbours by a CellIndex; exact for tables of fewer than `exact_below` rows (0: never). probes is the share of cells asked: three quarters give a recall
-    above 0.9 even on vectors without any clusters (measured: 0.97 of ten neighbours in 64 dimensions); clustered ones need far fewer."""
-    if chunks.count() < exact_below:
-        return nearest(queries, chunks, k)
-    return CellIndex(chunks, cells).nearest(queries, k, probes)
+        q = queries.select("query_id", unit(F.col("vector")).alias("q")).where(F.size("q") == int(cuts[-1]))
+        asked = materialised(q.withColumn("cell", F.explode(nearest_cells("q"))))
+        cells = [r.cell for r in asked.select("cell").distinct().collect()]  # numbers of cells, of which there are few
+        codes = self.lists("codes", cells)
+        blocks = max(1, -(-(codes.groupBy("cell").count().agg(F.max("count")).first()[0] or 0) // cell_rows))
+        kinds = [x.schema[c].dataType.simpleString() for x, c in ((q, "query_id"), (codes, "chunk_id"))]
+
+        def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "cell": [], "chunk_id": [], "look": []})]
+            if len(left) and len(right):
+                right = right.sort_values("chunk_id", ignore_index=True)
+                ids, code = right["chunk_id"].to_numpy(), np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
+                cell = int(left["cell"].iloc[0])
+                for query_id, v in zip(left["query_id"], left["q"]):
+                    worth = float(v @ centres[cell]) + sum((b @ v[cuts[m] : cuts[m + 1]])[code[:, m]] for m, b in enumerate(books))
+                    best = np.argsort(-worth, kind="stable")[:shortlist]
+                    out.append(pd.DataFrame({"query_id": [query_id] * len(best), "cell": cell, "chunk_id": ids[best], "look": worth[best]}))
+            return pd.concat(out[1:] or out)
+
+        block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block")
+        left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("cell", "block")
+        found = left.cogroup(codes.select("chunk_id", "code", "cell", block).groupBy("cell", "block")).applyInPandas(look, f"query_id {kinds[0]}, cell int, chunk_id {kinds[1]}, look double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("look"), "chunk_id")
+        kept = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= shortlist).drop("place")
+        return kept.join(q, "query_id")
+
+    def nearest(self, queries: DataFrame, k: int, probes: float = 0.75, shortlist: int | None = None) -> DataFrame:
+        """query_id, chunk_id, distance, rank, scored (how many rows were scored by their vectors for the query)."""
+        short = materialised(self.short_lists(queries, shortlist or 20 * k, probes))
+        cells = [r.cell for r in short.select("cell").distinct().collect()]
+        met = short.join(self.lists("vectors", cells), ["cell", "chunk_id"]).select("query_id", "chunk_id", F.round(cosine_distance(F.col("q"), F.col("vec")), 9).alias("distance"))
+        return _ranked(met.withColumn("scored", F.count("*").over(Window.partitionBy("query_id"))), k)
+
+
+def nearest_approximate(queries: DataFrame, chunks: DataFrame, k: int, exact_below: int = 256, probes: float = 0.75, cells: int | None = None, scored_share: float = 0.1) -> DataFrame:
+    """RET4: neighbours by a VectorIndex made for the occasion; exact for tables of fewer than `exact_below` rows (0: never). Three quarters of the lists' codes, and twenty vectors for each neighbour, or a
+    tenth of all if that is less, give a recall above 0.9 even on vectors without any clusters; clustered ones need far fewer lists."""
+    rows = chunks.where("vector is not null").count()
+    if rows < max(1, exact_below):
+        return nearest(queries, chunks, k).withColumn("scored", F.lit(rows).cast("long"))
+    index = VectorIndex.build(chunks, new_folder(chunks.sparkSession, "index"), cells)
+    return index.nearest(queries, k, probes, max(k, min(20 * k, int(scored_share * rows))))
 
 
 def embedded(texts: DataFrame, corpus: DataFrame, text_col: str = "text", dims: int = 512) -> DataFrame:

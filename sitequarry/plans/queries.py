@@ -210,6 +210,15 @@ def knn_approximate(spark, sf_dir):
     return retrieval.nearest_approximate(*vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", "distance")
 
 
+@query()
+def knn_index_quality(spark, sf_dir):
+    """RET4: what the index gives up and saves: queries, recall of the ten exact neighbours, the share of all vectors that a query scores."""
+    q, c = vectors(spark, sf_dir)
+    near, exact = (x.select("query_id", "chunk_id", *s) for x, s in ((retrieval.nearest_approximate(q, c, 10), ["scored"]), (retrieval.nearest(q, c, 10), [])))
+    hits = exact.join(near, ["query_id", "chunk_id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.avg(F.col("scored").isNotNull().cast("int")).alias("recall"), F.max("scored").alias("scored"))
+    return hits.crossJoin(c.agg(F.count("*").alias("rows"))).select("queries", "recall", (F.col("scored") / F.col("rows")).alias("scored_share"))
+
+
 @query()
 def rag_search(spark, sf_dir):
     """RET1, RET2, RET5: the questions of every twentieth conversation over all documents as chunks; both get vectors from their texts."""
