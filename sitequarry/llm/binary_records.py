@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import BESIDE_BLANK, public_path
+from .tokens import public_path
 
 FILES = "part int, file string, records long, tokens long, bytes long"
 HEAD, LENGTH = 16, 12  # bytes of a payload before its token ids, of a frame before its payload
@@ -63,12 +63,17 @@ class LibraryBpe:
         return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        apart = lambda t: not (BESIDE_BLANK.search(t) or t[:1] == " " or t[-1:] == " " or any(s in t for s in self.specials))
-        split = [t.split(" ") if apart(t) else [t] for t in texts]
-        new = [*set().union(*(s[1:] for s in split)).difference(self.words)]
-        got = self._encoded([" " + w for w in new] + [s[0] for s in split])
-        self.words.update(zip(new, got))
-        out = [b"".join((first, *map(self.words.__getitem__, s[1:]))) for first, s in zip(got[len(new) :], split)]
+        split = [[t] if any(s in t for s in self.specials) else t.split(" ") for t in texts]
+        new = set().union(*split).difference(self.words)
+        if odd := {w for w in new if not w or w[:1].isspace() or w[-1:].isspace()}:  # a space beside white space doesn't begin a piece
+            split = [s if odd.isdisjoint(s) else [t] for s, t in zip(split, texts)]
+            new = set().union(*split).difference(self.words, odd)
+        new.difference_update(s[0] for s in split if len(s) == 1)
+        words = [*new]
+        got = self._encoded([" " + w for w in words] + [s[0] for s in split])
+        self.words.update(zip(words, got))
+        known = self.words.__getitem__
+        out = [b"".join((first, *map(known, s[1:]))) for first, s in zip(got[len(words) :], split)]
         if len(self.words) > self.cached:
             for w in [*islice(self.words, len(self.words) - self.cached // 2)]:
                 del self.words[w]
@@ -114,7 +119,9 @@ class Crc32c:
         state, s = 0, self.shift
         parts = padded.reshape(-1, self.chunk)
         for a in range(0, len(parts), 2048):
-            for own in np.bitwise_xor.reduce(self.flat.take(self.start + parts[a : a + 2048]), axis=1).tolist():
+            places = parts[a : a + 2048].astype(np.intp)
+            places += self.start
+            for own in np.bitwise_xor.reduce(self.flat.take(places), axis=1).tolist():
                 state = own ^ s[0][state & 0xFF] ^ s[1][state >> 8 & 0xFF] ^ s[2][state >> 16 & 0xFF] ^ s[3][state >> 24]
         return state ^ MASK
 
@@ -274,7 +281,7 @@ class RecordFiles:
         return dealt.select("file", "offset", "length").mapInArrow(fetch, "doc_id long, ids binary").withColumn("place", F.monotonically_increasing_id())
 
 
-def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 64 << 20) -> RecordFiles:
+def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 128 << 20) -> RecordFiles:
     """Encodes docs and writes them in ascending order of their ids, about part_bytes of text a file."""
     path = tokenizer or public_path("byte_bpe_50k.json")
     spark = docs.sparkSession
