@@ -64,11 +64,13 @@ class LibraryBpe:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         split = [[t] if any(s in t for s in self.specials) else t.split(" ") for t in texts]
-        new = set().union(*split).difference(self.words)
-        if odd := {w for w in new if not w or w[:1].isspace() or w[-1:].isspace()}:  # a space beside white space doesn't begin a piece
-            split = [s if odd.isdisjoint(s) else [t] for s, t in zip(split, texts)]
-            new = set().union(*split).difference(self.words, odd)
-        new.difference_update(s[0] for s in split if len(s) == 1)
+        after = lambda: set().union(*(s[1:] for s in split)).difference(self.words)
+        new = after()
+        odd = {w for w in new if not w or w[:1].isspace() or w[-1:].isspace()}  # a space beside white space doesn't begin a piece
+        ends = [len(s) > 1 and (not s[0] or s[0][-1:].isspace()) for s in split]
+        if odd or any(ends):
+            split = [[t] if end or not odd.isdisjoint(s[1:]) else s for s, end, t in zip(split, ends, texts)]
+            new = after()
         words = [*new]
         got = self._encoded([" " + w for w in words] + [s[0] for s in split])
         self.words.update(zip(words, got))
