@@ -25,7 +25,6 @@ import zlib
 from array import array
 from collections import OrderedDict
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,10 @@ MASK = 0xFFFFFFFF
 
 class LibraryBpe:
     """Ids by the tokenizers library alone. A single space between two other characters always begins a piece, so the words of many texts are
-    encoded in one call, each different one once, and kept; texts with runs of white space or special strings are encoded whole."""
+    encoded once each, those of plain letters, a piece by themselves, by the library's model without its other steps, and kept; texts with runs of white space or special strings,
+    and all texts if the file isn't of a byte-level tokenizer, are encoded whole. Of the words kept, those that the last `cached` / 2 new or used ones don't include go first."""
 
-    def __init__(self, path: str, cached: int = 1_000_000, batch_chars: int = 4 << 20):
+    def __init__(self, path: str, cached: int = 1_000_000, batch_chars: int = 2 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the tasks
@@ -56,14 +56,21 @@ class LibraryBpe:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() < 65536 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.code = "HI"[self.kind.itemsize == 4]
+        self.by_words = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
+        self.words: dict[str, bytes] = {}  # in use
+        self.before: dict[str, bytes] = {}  # in use before that
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        code = "HI"[self.kind.itemsize == 4]
-        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Words of ASCII letters after a space, which byte-level vocabularies write as Ġ."""
+        tokenize = self.library.model.tokenize
+        return [array(self.code, [t.id for t in tokenize("Ġ" + w)]).tobytes() for w in words]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if any(s in t for s in self.specials) else t.split(" ") for t in texts]
+        split = [t.split(" ") if self.by_words and not any(s in t for s in self.specials) else [t] for t in texts]
         after = lambda: set().union(*(s[1:] for s in split)).difference(self.words)
         new = after()
         odd = {w for w in new if not w or w[:1].isspace() or w[-1:].isspace()}  # a space beside white space doesn't begin a piece
@@ -71,14 +78,18 @@ class LibraryBpe:
         if odd or any(ends):
             split = [[t] if end or not odd.isdisjoint(s[1:]) else s for s, end, t in zip(split, ends, texts)]
             new = after()
-        words = [*new]
+        if again := new & self.before.keys():
+            self.words.update((w, self.before[w]) for w in again)
+            new -= again
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        words = [*new.difference(plain)]
         got = self._encoded([" " + w for w in words] + [s[0] for s in split])
         self.words.update(zip(words, got))
+        self.words.update(zip(plain, self._plain(plain)))
         known = self.words.__getitem__
         out = [b"".join((first, *map(known, s[1:]))) for first, s in zip(got[len(words) :], split)]
-        if len(self.words) > self.cached:
-            for w in [*islice(self.words, len(self.words) - self.cached // 2)]:
-                del self.words[w]
+        if len(self.words) > self.cached // 2:
+            self.words, self.before = {}, self.words
         return out
 
     def packed(self, texts):
@@ -283,7 +294,7 @@ class RecordFiles:
         return dealt.select("file", "offset", "length").mapInArrow(fetch, "doc_id long, ids binary").withColumn("place", F.monotonically_increasing_id())
 
 
-def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 128 << 20) -> RecordFiles:
+def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, part_bytes: int = 64 << 20) -> RecordFiles:
     """Encodes docs and writes them in ascending order of their ids, about part_bytes of text a file."""
     path = tokenizer or public_path("byte_bpe_50k.json")
     spark = docs.sparkSession

@@ -71,6 +71,16 @@ def test_ids_of_any_characters_are_the_librarys(library):
         assert np.frombuffer(ids, tool.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_the_tables_and_other_tokenizers(documents, library):
+    """Every text of a table word by word, and a file of another kind, which is encoded whole."""
+    texts = [r.text or "" for r in documents.collect()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tool = records.LibraryBpe(public_path(name))
+        assert tool.by_words == (name == "byte_bpe_50k.json")
+        whole = tool.library.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, tool.kind).tolist() for x in tool.packed(texts)] == [e.ids for e in whole]
+
+
 def test_one_id_and_one_text_spread(spark, tmp_path):
     docs = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
     got = records.write(docs, folder(tmp_path), part_bytes=2000)
