@@ -8,15 +8,72 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..functions.urls import slug
+from ..sources.shared import materialised, new_folder
 
 NOTHING_FOUND = "Nessuna informazione trovata sui siti configurati."
 
 
+TERM = "[a-z0-9_àèéìíîòóùú]{3,}"  # what tokens are made of: a token that stands in a text stands in one of these
+
+
+class PageIndex:
+    """An inverted index of pages by the words of their anchor (or title) and of their url, in a folder of Parquet.
+
+    postings: (root, term, page, anchor, slug), a row for each word of a page with the fields that hold it; grams: (root, gram, term), the words of a root by each three
+    characters in them; pages: (page, root, url, support), a row for each row indexed. Tokens count wherever they stand in a word, so a token finds the words that hold it by its first three
+    characters, and then their postings: work follows the words and hits, not questions times pages."""
+
+    def __init__(self, spark, folder: str):
+        read = lambda name: spark.read.parquet(f"{folder}/{name}")
+        self.pages, self.postings, self.grams = read("pages"), read("postings"), read("grams")
+
+    @classmethod
+    def build(cls, links: DataFrame, folder: str) -> PageIndex:
+        """The index of links (root, url, anchor)."""
+        low = links.select("root", "url", F.lower(F.coalesce("anchor", F.lit(""))).alias("anchor"), F.coalesce(slug(F.col("url")), F.lit("")).alias("slug"), F.monotonically_increasing_id().alias("page"))
+        rows = materialised(low)
+        support = S.any_of(F.col("anchor"), S.SUPPORT_PAGES) | S.any_of(F.col("slug"), S.SUPPORT_PAGES)
+        rows.select("page", "root", "url", support.alias("support")).write.parquet(f"{folder}/pages")
+        words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)))
+        both = rows.select("root", "page", words("anchor").alias("a"), words("slug").alias("s")).withColumn("term", F.explode(F.array_union("a", "s")))
+        posted = both.select("root", "term", "page", F.array_contains("a", F.col("term")).alias("anchor"), F.array_contains("s", F.col("term")).alias("slug"))
+        posted.repartitionByRange("root", "term", "page").sortWithinPartitions("root", "term").write.parquet(f"{folder}/postings")
+        spark = links.sparkSession
+        terms = spark.read.parquet(f"{folder}/postings").select("root", "term").distinct()
+        gram = F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring("term", i, F.lit(3)))
+        terms.select("root", F.explode(F.array_distinct(gram)).alias("gram"), "term").write.parquet(f"{folder}/grams")
+        return cls(spark, folder)
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """asked (query_id, root, tokens): query_id, root, page, gain (SCO5 of the tokens), for the pages that some token hits."""
+        each = asked.select("query_id", "root", F.explode("tokens").alias("token")).groupBy("query_id", "root", "token").agg(F.count("*").alias("n"))
+        each = materialised(each)
+        tokens = each.select("root", "token").distinct().withColumn("gram", F.substring("token", 1, 3))
+        words = tokens.join(self.grams, ["root", "gram"]).where(F.contains("term", "token")).select("root", "token", "term")
+        pages = words.join(self.postings, ["root", "term"]).groupBy("root", "token", "page").agg(F.bool_or("anchor").alias("anchor"), F.bool_or("slug").alias("slug"))
+        gain = F.col("n") * (F.when(F.col("anchor"), 4).otherwise(0) + F.when(F.col("slug"), 3).otherwise(0))
+        return each.join(pages, ["root", "token"]).groupBy("query_id", "root", "page").agg(F.sum(gain).cast("int").alias("gain"))
+
+    def best(self, asked: DataFrame, most: int) -> DataFrame:
+        """asked (query_id, root, tokens) -> query_id, root, page, url, score: among them the `most` best pages of each question by score and url. Pages
+        that no token hits have their root's own order, whatever the question (support pages first, or by url alone for a question without tokens), so the first `most` of these orders stand for all of them."""
+        place = lambda *order: F.row_number().over(Window.partitionBy("root").orderBy(*order, "url", "page")) <= most
+        first = [self.pages.withColumn("first", place(*order)).where("first") for order in ((F.desc("support"),), ())]
+        own = first[0].unionByName(first[1]).select("root", "page").distinct()
+        unhit = asked.select("query_id", "root").join(own, "root").select("query_id", "root", "page", F.lit(0).alias("gain"))
+        found = self.hits(asked).unionByName(unhit).groupBy("query_id", "root", "page").agg(F.max("gain").alias("gain"))
+        some = asked.select("query_id", F.when(F.size("tokens") > 0, 5).otherwise(0).alias("if_support"))
+        met = found.join(self.pages.drop("root"), "page").join(some, "query_id")
+        return met.select("query_id", "root", "page", "url", (F.col("gain") + F.when(F.col("support"), F.col("if_support")).otherwise(0)).alias("score"))
+
+
 def candidates(queries: DataFrame, links: DataFrame, most: int = 20) -> DataFrame:
-    """SCO5, TOP5: queries (query_id, root, query) x links (root, url, anchor) of the same root -> the best links."""
-    scored = queries.join(links, "root").withColumn("score", S.link_score(S.tokens(F.col("query")), F.col("anchor"), F.col("url"))).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """SCO5, TOP5: queries (query_id, root, query) x links (root, url, anchor) of the same root -> the best links, by an index of them."""
+    index = PageIndex.build(links, new_folder(links.sparkSession, "index"))
+    scored = index.best(queries.select("query_id", "root", S.tokens(F.col("query")).alias("tokens")), most).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "url", "page")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("page")
 
 
 def visiting_order(scored: DataFrame, batch: int = 6, most: int = 60) -> DataFrame:
@@ -72,19 +129,20 @@ def context_lists(pages: DataFrame, results: DataFrame, most_results: int = 6, m
     return listed.join(found, "query_id", "full_outer").select("query_id", F.coalesce("results", F.lit("")).alias("results"), F.coalesce("pages", F.lit("")).alias("pages"), F.coalesce("links", F.lit("")).alias("links"))
 
 
-def search_pages(queries: DataFrame, documents: DataFrame, blocks: int = 16) -> DataFrame:
-    """LIV1: queries (query_id, root, query) over extracted documents (root, url, title, ...): the context of each query. Documents of a root lie in blocks, so
-    that a root with very many is many tasks; what is ranked are ids and scores, and pages are fetched for those that are visited."""
-    analysed = queries.withColumn("a", S.query_analysis(F.col("query"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = documents.withColumn("_block", F.pmod(F.xxhash64("url"), F.lit(blocks)).cast("int"))
-    met = analysed.join(placed, ["root", "_block"])
+def search_pages(queries: DataFrame, documents: DataFrame, most: int = 60) -> DataFrame:
+    """LIV1: queries (query_id, root, query) over extracted documents (root, url, title, ...): the context of each query. An index of titles and urls says which pages are
+    visited, `most` for a question; only these are read, for their relevance and their block."""
+    held = materialised(documents)
+    index = PageIndex.build(held.select("root", "url", F.col("title").alias("anchor")), new_folder(documents.sparkSession, "index"))
+    analysed = materialised(queries.select("query_id", "root", S.query_analysis(F.col("query")).alias("a")))
+    scored = index.best(analysed.select("query_id", "root", F.col("a.tokens").alias("tokens")), most)
+    visited = visiting_order(scored, most=most).join(analysed.drop("root"), "query_id")
     relevance = S.page_relevance(F.col("a.tokens"), F.col("title"), F.col("description"), F.col("headings"), F.col("raw_text"))
-    score = S.link_score(F.col("a.tokens"), F.col("title"), F.col("url"))
-    rows = met.select("query_id", "root", "url", relevance.alias("relevance"), score.alias("score"), F.col("a.complexity").alias("complexity"), F.col("a.strategy").alias("strategy"), F.length("raw_text").alias("chars"))
-    kept = early_stop(visiting_order(rows))
+    rows = visited.join(held, ["root", "url"]).select("query_id", "position", "batch", "root", "url", relevance.alias("relevance"), F.col("a.complexity").alias("complexity"), F.col("a.strategy").alias("strategy"), F.length("raw_text").alias("chars"))
+    kept = early_stop(rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "position")
     ranked = kept.withColumn("position", F.row_number().over(w)).select("query_id", "root", "url", "position")
-    found = live_context(ranked.join(documents.select("root", "url", page_block().alias("block")), ["root", "url"]))
+    found = live_context(ranked.join(held.select("root", "url", page_block().alias("block")), ["root", "url"]))
     return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", "query", F.coalesce("context", F.lit(NOTHING_FOUND)).alias("context"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 

@@ -276,6 +276,33 @@ def link_candidates(spark, sf_dir):
     return livesearch.candidates(queries, s.select("root", "url", F.col("slug").alias("anchor"))).select("query_id", "rank", "score")
 
 
+def has_any(words):
+    return f"list_has_any(t, [{', '.join(repr(w) for w in words)}])::INTEGER"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, source, text, substr(text, 1, 60) AS title, doc_id || '/' || regexp_replace(substr(text, 1, 20), '[^A-Za-z]+', '-', 'g') AS place FROM documents),
+p AS (SELECT *, 'https://' || source || '.org/' || place AS url, lower(title) AS anchor, regexp_replace(lower('/' || place), '[/_-]+', ' ', 'g') AS slug FROM d),
+q AS (SELECT doc_id AS query_id, source, {TOKENS.format('substr(text, 1, 40)')} AS t, {has_any(S.CONTACT_WORDS)} + {has_any(S.SERVICE_WORDS)} + {has_any(S.DETAIL_WORDS)} AS complexity FROM d WHERE doc_id % 20 = 0),
+c AS (SELECT query_id, t, complexity, p.*, coalesce(list_sum(list_transform(t, lambda k: CASE WHEN contains(anchor, k) THEN 4 ELSE 0 END + CASE WHEN contains(slug, k) THEN 3 ELSE 0 END)), 0) + CASE WHEN len(t) > 0 AND ({" OR ".join(f"contains(slug, '{w}') OR contains(anchor, '{w}')" for w in S.SUPPORT_PAGES)}) THEN 5 ELSE 0 END AS score FROM q JOIN p USING (source)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) - 1 AS position FROM c QUALIFY position < 60),
+r AS (SELECT *, position // 6 AS batch, coalesce(list_sum(list_transform(t, lambda k: (length(title || '   ' || text) - length(replace(lower(title || '   ' || text), k, ''))) // length(k) + CASE WHEN contains(anchor, k) THEN 5 ELSE 0 END)), 0) AS relevance FROM v),
+g AS (SELECT *, relevance >= 10 AND length(text) > 300 AS good, sum((relevance >= 10 AND length(text) > 300)::INTEGER) OVER (PARTITION BY query_id ORDER BY position) AS n_good FROM r),
+s AS (SELECT *, min(position) FILTER (n_good >= 1) OVER (PARTITION BY query_id) AS first_at, min(batch) FILTER (n_good >= 3) OVER (PARTITION BY query_id) AS third_in FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, position) AS place_in,
+  length('### Pagina: ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Contenuto:' || chr(10) || substr(text, 1, 1200)) AS n FROM s WHERE complexity > 2 OR CASE WHEN complexity <= 1 THEN coalesce(position <= first_at, true) ELSE coalesce(batch <= third_in + 2, true) END),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY place_in ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT query_id, count(*) AS pages, (sum(n) + count(*) - 1)::INTEGER AS context_chars FROM b WHERE before < 14000 GROUP BY query_id""")
+def live_search_documents(spark, sf_dir):
+    """LIV1, SCO3-5, TOP6, WIN9-10: the first words of every twentieth document, asked of all documents of its source."""
+    none, head = F.array().cast("array<string>"), lambda n: F.substring("text", 1, n)
+    place = F.concat(F.col("doc_id"), F.lit("/"), F.regexp_replace(head(20), "[^A-Za-z]+", "-"))
+    lists = [none.alias(c) for c in ("headings", "phones", "emails", "addresses", "opening_hours")]
+    url = F.concat(F.lit("https://"), "source", F.lit(".org/"), place)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("root"), url.alias("url"), head(60).alias("title"), F.lit(None).cast("string").alias("description"), F.col("text").alias("raw_text"), head(40).alias("query"), *lists)
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "root", "query")
+    return livesearch.search_pages(asked, docs.drop("doc_id", "query")).select("query_id", "pages", F.length("context").alias("context_chars"))
+
+
 @query("""WITH s AS (SELECT source, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT source, count(*) AS pages, sum(length(text))::BIGINT + count(*) - 1 AS chars FROM s WHERE before < 14000 GROUP BY source""")
 def live_contexts(spark, sf_dir):

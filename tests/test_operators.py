@@ -207,6 +207,27 @@ def test_live_search(spark):
     assert "### Pagina: Orari" in got[1].context and got[2].context == livesearch.NOTHING_FOUND
 
 
+def test_index_of_pages_gives_the_rows_of_all_pairs_with_few_of_them(spark):
+    """The index against every page scored for every question: tokens inside words, repeated tokens, support pages, questions without tokens, repeated urls."""
+    rng, words = np.random.default_rng(6), [f"parola{chr(97 + i % 26)}{i}" for i in range(300)] + ["orari", "contatti", "chi siamo", "anagrafe"]
+    pages = [(f"r{i % 3}", f"https://x.it/{'-'.join(rng.choice(words, 2))}/{i % 900}".replace(" ", "-"), " ".join(rng.choice(words, 4))) for i in range(1500)] + [("r1", None, None), (None, "https://x.it/orari", "orari")]
+    asked = [(i, f"r{i % 4}", " ".join(rng.choice([*words, "ola", "ana", "parolab", "x"], 3))) for i in range(40)] + [(98, "r1", "anagrafe anagrafe"), (99, "r1", "a b"), (100, "r1", None)]
+    links = spark.createDataFrame(pages, "root string, url string, anchor string")
+    queries = spark.createDataFrame(asked, "query_id int, root string, query string")
+    tokens = livesearch.S.tokens(F.col("query"))
+    every = queries.join(links, "root").withColumn("score", livesearch.S.link_score(tokens, F.col("anchor"), F.col("url")))
+    key = lambda df: sorted(((r.query_id, r["rank"], r.score, r.url) for r in df.collect()), key=str)
+    w = livesearch.Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
+    want = every.where("score > 0").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    assert key(livesearch.candidates(queries, links)) == key(want)
+    index = livesearch.PageIndex.build(links, livesearch.new_folder(spark, "index"))
+    split = queries.select("query_id", "root", tokens.alias("tokens"))
+    best = index.best(split, 10).withColumn("rank", F.row_number().over(livesearch.Window.partitionBy("query_id").orderBy(F.desc("score"), "url", "page"))).where("rank <= 10").orderBy("query_id", "rank").collect()
+    whole = every.withColumn("rank", F.row_number().over(w)).where("rank <= 10").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.score, r.url) for r in best] == [(r.query_id, r.score, r.url) for r in whole]
+    assert index.hits(split.where("query_id <> 98")).count() < 0.15 * every.count()
+
+
 def test_two_weak_sources_pass_together(spark):
     rows = [(1, 1, True, ["0545 38111"], [], [], [], [], "x" * 120), (1, 2, True, [], [], [], [], ["anagrafe"], "y" * 200), (1, 3, True, ["01234567890"], [], [], [], [], "z" * 200), (1, 4, False, [], [], [], [], [], "")]
     arrays = ", ".join(f"{n} array<string>" for n in ("phones", "emails", "addresses", "forms", "services"))
