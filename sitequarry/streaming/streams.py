@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.chunking import chunk
 from ..operators.dedup import latest_version
@@ -53,7 +54,7 @@ def sliding_report(calls: DataFrame, at: str = "ts", size: str = "1 hour", slide
 
 
 def alerts(calls: DataFrame, errors: DataFrame, health: DataFrame, slow_ms: int = 5000) -> DataFrame:
-    """STR5."""
+    """STR5: of streams: each alert as its row comes."""
     return alerts_of(calls, errors, health, slow_ms)
 
 
@@ -83,24 +84,52 @@ def not_older_than(rows: DataFrame, ttl: str, at: str = "fetched_at", now: Colum
     return rows.where(F.col(at) > (F.current_timestamp() if now is None else now) - F.expr(f"interval {ttl}"))
 
 
-def ttl_cache(requests: DataFrame, ttl_seconds: int, key: str = "key", at: str = "ts") -> DataFrame:
-    """STR6: a keyed cache with a time to live, as state: of each request (key, ts) whether the cache has the key, fetched no longer ago than the time to live;
-    what it has not, or not young enough, is fetched then. State is one time for each key."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class TtlCache(StatefulProcessor):
+    """The time of a key's last fetch, and a timer that clears it once its time to live is over by event time."""
+
+    def __init__(self, ttl_ms: int, key: str, at: str):
+        self.ttl_ms, self.key, self.at = ttl_ms, key, at
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fetched = handle.getValueState("fetched", "at long")
 
-    def serve(group, frames, state):
-        fetched = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([f[at].to_numpy("datetime64[us]") for f in frames]))
+    def _forget_at(self, fetched: int) -> int:
+        return -(-fetched // 1000) + self.ttl_ms + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = np.sort(np.concatenate([r[self.at].to_numpy("datetime64[us]") for r in rows])).astype(np.int64)
+        before = fetched = self.fetched.get()[0] if self.fetched.exists() else None
         hits = []
-        for t in times.astype(np.int64).tolist():
-            hit = fetched is not None and t - fetched <= ttl_seconds * 1_000_000
-            hits.append(hit)
-            fetched = fetched if hit else t
-        state.update((fetched,))
-        yield pd.DataFrame({key: [group[0]] * len(times), at: times, "hit": hits})
+        for t in times.tolist():
+            hits.append(fetched is not None and t - fetched <= self.ttl_ms * 1000)
+            fetched = fetched if hits[-1] else t
+        if fetched != before:
+            if before is not None:
+                self.handle.deleteTimer(self._forget_at(before))
+            self.fetched.update((fetched,))
+            self.handle.registerTimer(self._forget_at(fetched))
+        yield pd.DataFrame({self.key: [key[0]] * len(times), self.at: times.astype("datetime64[us]"), "hit": hits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.fetched.clear()
+        yield pd.DataFrame({self.key: pd.Series(dtype=object), self.at: pd.Series(dtype="datetime64[us]"), "hit": pd.Series(dtype=bool)})
+
+    def close(self) -> None:
+        pass
 
+
+def ttl_cache(requests: DataFrame, ttl_seconds: int, key: str = "key", at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """STR6: a keyed cache with a time to live, as state: of each request (key, ts) whether the cache has the key, fetched no longer ago than the time to live;
+    what it has not, or not young enough, is fetched then. State is one time for each key that is young enough: an event-time timer clears the others, so it follows the keys of a time to live, not all that
+    were ever seen. Requests may come up to `late` out of order; older ones are left out. Timers need the RocksDB state store, which is set for the session's streams."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = requests.schema[key].dataType.simpleString()
-    timed = requests.select(key, at)
-    return timed.groupBy(key).applyInPandasWithState(serve, f"{key} {kind}, {at} timestamp, hit boolean", "fetched long", "append", "NoTimeout")
+    timed = requests.select(key, at).withWatermark(at, late)
+    return timed.groupBy(key).transformWithStateInPandas(TtlCache(ttl_seconds * 1000, key, at), f"{key} {kind}, {at} timestamp, hit boolean", "append", "EventTime")
 
 
 def progress(jobs: DataFrame, table: str, checkpoint: str, every: str | None = "3 seconds"):

@@ -68,6 +68,32 @@ def test_cache_with_a_time_to_live(spark, sf):
         assert len({h for _, _, h in want}) == 2
 
 
+def test_cache_forgets_what_is_too_old(spark):
+    """State follows the keys of a time to live: read through the state data source after each of three days, a hundred keys a day."""
+    source, checkpoint, out = folder(), folder(), folder()
+    os.makedirs(source, exist_ok=True)
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(source)
+    sizes = []
+    for day in range(3):
+        rows = spark.range(100).select(F.concat(F.lit(f"d{day}-"), "id").alias("key"), F.timestamp_seconds(F.lit(86400 * (day + 1)) + F.col("id")).alias("ts"))
+        rows.unionByName(rows.limit(10).select("key", (F.col("ts") + F.expr("interval 30 minutes")).alias("ts"))).write.mode("append").parquet(source)
+        streams.ttl_cache(stream, 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        sizes.append(spark.read.format("statestore").option("stateVarName", "fetched").load(checkpoint).count())
+    assert sizes == [100, 100, 100]
+    got = spark.read.parquet(out)
+    assert got.count() == 330 and got.where("hit").count() == 30
+
+
+def test_alerts_of_streams_are_those_of_the_batch(spark):
+    calls = spark.createDataFrame([(1, 6000, True, "GET", "/a"), (2, 10, False, "GET", "/b"), (3, 10, True, "GET", "/c"), (4, 9000, False, "POST", "/d")], "ts int, response_time int, success boolean, method string, endpoint string")
+    errors, health = spark.createDataFrame([(5, "boom")], "ts int, error string"), spark.createDataFrame([(6, "healthy"), (7, "down")], "ts int, status string")
+    want = sorted(map(tuple, streams.alerts(calls, errors, health).collect()))
+    out = folder() + "/alerts"
+    live = streams.alerts(*[as_stream(spark, x) for x in (calls, errors, health)])
+    live.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder()).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want and len(want) == 5
+
+
 def test_content_dedup_in_a_stream(spark):
     df = spark.createDataFrame([("h", "u1"), ("h", "u2"), ("g", "u3")], "content_hash string, url string")
     q = streams.first_of_content(as_stream(spark, df)).writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
