@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .tokens import ByteBpe, public_path
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, place long"
@@ -116,11 +117,14 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     parts = max(1, -(-total // part_bytes))
 
     def encoded(batches, curve: Curve):
-        bpe, last = ByteBpe(path), None
+        bpe = ByteBpe(path)
         last = np.array([end_id], dtype=bpe.kind).tobytes()
-        for batch in batches:
-            packed = [bpe.packed(x) + last for x in batch.column(1).to_pylist()]
-            yield batch, packed, np.array([curve.point(np.frombuffer(x, bpe.kind)) for x in packed]).reshape(-1, dims)
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                packed = [bpe.packed(x.as_py()) + last for x in batch.column(1)]
+                yield batch, packed, np.array([curve.point(np.frombuffer(x, bpe.kind)) for x in packed]).reshape(-1, dims)
+        del bpe
+        give_back()
 
     def sampled(batches):
         for batch, _, points in encoded(batches, Curve(dims, bits, features, seed)):
