@@ -12,18 +12,9 @@ from .dedup import without_urls
 from .frontier import requeue
 
 
-def round_robin(links: DataFrame, per_parent: int = 6) -> DataFrame:
-    """WIN6, WIN7: links (parent_pos, pos, link) of a level -> each link once, where it is found first, at most per_parent of a
-    parent, and `turn`, the place when parents take turns."""
-    first = Window.partitionBy("link").orderBy("parent_pos", "pos")
-    unique = links.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    own = Window.partitionBy("parent_pos").orderBy("pos")
-    capped = unique.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= per_parent)
-    return capped.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rn", "parent_pos")))
-
-
 def first_turns(links: DataFrame, per_parent: int, room: int) -> DataFrame:
-    """round_robin() cut to its first `room` turns. A level may have links without number, so the cut is a top-k before the turns are counted."""
+    """WIN6, WIN7: links (parent_pos, pos, link) of a level -> each link once, where it is found first, at most per_parent of a parent, and `turn`, the place when parents
+    take turns, up to `room`. A level may have links without number, so the cut is a top-k before the turns are counted."""
     first = Window.partitionBy("link").orderBy("parent_pos", "pos")
     unique = links.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     own = Window.partitionBy("parent_pos").orderBy("pos")
@@ -54,15 +45,22 @@ def site_tree(root: DataFrame, links: DataFrame, max_depth: int = 5, level_most:
     return tree
 
 
-def breadcrumbs(tree: DataFrame, levels: int = 10) -> DataFrame:
-    """JOI5: tree with `breadcrumb`, the titles from the root down; a cycle ends it."""
-    up = tree.select(F.col("url").alias("_u"), F.col("parent_url").alias("_p"), F.col("title").alias("_t"))
-    out = tree.withColumns({"breadcrumb": F.array("title"), "_at": F.col("parent_url"), "_seen": F.array("url")})
-    for _ in range(levels):
-        out = out.join(up, F.col("_at") == F.col("_u"), "left")
-        again = F.array_contains("_seen", F.col("_u")) | F.col("_u").isNull()
-        out = out.withColumns({"breadcrumb": F.when(again, F.col("breadcrumb")).otherwise(F.concat(F.array("_t"), "breadcrumb")), "_seen": F.when(again, F.col("_seen")).otherwise(F.array_append("_seen", F.col("_u"))), "_at": F.when(~again, F.col("_p"))}).drop("_u", "_p", "_t")
-    return out.drop("_at", "_seen")
+def breadcrumbs(tree: DataFrame) -> DataFrame:
+    """JOI5: tree (url, parent_url, title, one row a url) with `breadcrumb`, the titles from the root down, of any depth; a cycle ends it.
+
+    By doubling: each row has the stretch of its line that is known, nearest first, and the page above it. That page's own stretch is put on top in
+    each round, so a depth of 1,000 takes ten rounds; a row whose line has reached its end, or a page that it has already, waits for the others."""
+    none = F.lit(None).cast("string")
+    state = materialised(tree.select("url", F.array("url").alias("line"), F.array("title").alias("titles"), F.nullif(F.col("parent_url"), F.col("url")).alias("above")))
+    while not state.where("above is not null").isEmpty():
+        up = state.select(F.col("url").alias("_u"), F.col("line").alias("_line"), F.col("titles").alias("_titles"), F.col("above").alias("_above"))
+        met = state.where("above is not null").join(up, F.col("above") == F.col("_u"), "left")
+        again = F.filter(F.transform("_line", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains("line", p["x"]))
+        met = met.withColumn("_n", F.when(F.col("_u").isNull(), 0).when(F.size(again) > 0, F.element_at(again, 1)["i"]).otherwise(F.size("_line")))
+        more = lambda own, new: F.when(F.col("_n") > 0, F.concat(own, F.slice(new, F.lit(1), F.col("_n")))).otherwise(F.col(own)).alias(own)
+        on = F.when((F.col("_n") > 0) & (F.col("_n") == F.size("_line")), F.col("_above")).otherwise(none).alias("above")
+        state = materialised(met.select("url", more("line", "_line"), more("titles", "_titles"), on).unionByName(state.where("above is null")))
+    return tree.join(state.select("url", F.reverse("titles").alias("breadcrumb")), "url")
 
 
 def grouped_links(links: DataFrame) -> DataFrame:
@@ -90,13 +88,13 @@ def last_modified(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     return joined.withColumns({"last_modified": F.coalesce(*order.values()), "last_modified_source": F.coalesce(*[F.when(c.isNotNull(), k) for k, c in order.items()])})
 
 
-def analyze_site(root: DataFrame, links: DataFrame, pages: DataFrame, sitemap: DataFrame, feeds: DataFrame, levels: int = 10, **caps: int) -> DataFrame:
+def analyze_site(root: DataFrame, links: DataFrame, pages: DataFrame, sitemap: DataFrame, feeds: DataFrame, **caps: int) -> DataFrame:
     """FRE1: the tree of a site's pages from its root (url), with what is known of each: root and links (url, pos, link) give the tree with its caps; pages
     (url, title, visible_date, header_modified, meta_modified), the sitemap (url, lastmod) and feeds (url, updated) give title, breadcrumb, last_modified and
     its source. What has no date of its own takes the feed's, if the feed names it. Rows come in the order of depth and discovery (TOP8)."""
     tree = site_tree(root, links, **caps)
     titled = tree.join(pages, "url", "left").withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), "url"))
-    crumbs = breadcrumbs(titled.select("url", "parent_url", "title"), levels).select("url", "breadcrumb")
+    crumbs = breadcrumbs(titled.select("url", "parent_url", "title")).select("url", "breadcrumb")
     dated = last_modified(titled, sitemap).join(crumbs, "url").join(feeds.groupBy("url").agg(F.max("updated").alias("_feed")), "url", "left")
     feed = parsed_time(F.col("_feed"))
     by_feed = F.col("last_modified").isNull() & feed.isNotNull()

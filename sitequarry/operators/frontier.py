@@ -42,21 +42,46 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url_col: str = "url") -> DataFrame:
-    """FLT2: urls with `allowed`: the longest pattern that the path begins with decides; no rule allows. Rules meet urls by host first."""
+    """FLT2: urls with `allowed`: the longest pattern that the path begins with decides; no rule allows.
+
+    Rules are an index by (host, literal prefix, up to the first wildcard). A path is cut to the lengths that its host's prefixes have, so urls meet the rules that they
+    begin with by a hash join, not all rules of their host; only rules with wildcards are matched as patterns then."""
     own = rules.where((F.col("agent") == agent.lower()) | (F.col("agent") == "*"))
     best_agent = Window.partitionBy("host")
     own = own.withColumn("_mine", F.max((F.col("agent") == agent.lower()).cast("int")).over(best_agent)).where((F.col("_mine") == 0) | (F.col("agent") == agent.lower()))
-    keyed = urls.withColumn("_host", U.host_of(F.col(url_col))).withColumn("_path", F.concat(F.coalesce(F.nullif(U.part(F.col(url_col), 4), F.lit("")), F.lit("/"))))
     regex = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")))
-    hits = keyed.select(url_col, "_host", "_path").distinct().join(own, F.col("_host") == F.col("host")).where(F.regexp_like("_path", regex))
-    verdict = hits.groupBy(F.col(url_col).alias("_url")).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
+    index = own.select(F.col("host").alias("_h"), F.regexp_extract("pattern", "^[^*$]*", 0).alias("_prefix"), "pattern", "allow", F.when(F.col("pattern").rlike("[*$]"), regex).alias("_regex"))
+    lengths = index.groupBy("_h").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # different lengths, as many as the longest pattern has characters at most
+    keyed = urls.withColumn("_host", U.host_of(F.col(url_col))).withColumn("_path", F.coalesce(F.nullif(U.part(F.col(url_col), 4), F.lit("")), F.lit("/")))
+    cut = keyed.select(F.col(url_col).alias("_url"), "_host", "_path").distinct().join(lengths, F.col("_host") == F.col("_h")).drop("_h")
+    prefixes = cut.select("_url", "_host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n")).withColumn("_begins", F.substring("_path", F.lit(1), F.col("_n")))
+    hits = prefixes.join(index, (F.col("_host") == F.col("_h")) & (F.col("_begins") == F.col("_prefix"))).where(F.col("_regex").isNull() | F.regexp_like("_path", F.col("_regex")))
+    verdict = hits.groupBy("_url").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
     return keyed.join(verdict, F.col(url_col) == F.col("_url"), "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_host", "_path", "_url", "_allow")
 
 
 def fresh_robots(urls: DataFrame, robots: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """JOI8: the host's robots row, if it is younger than a day."""
-    cache = robots.where(F.col("fetched_at") > now - F.make_interval(hours=F.lit(hours))).select(F.col("host").alias("_h"), "body", "fetched_at")
-    return urls.join(cache, U.host_of(F.col("url")) == F.col("_h"), "left").drop("_h")
+    """JOI8: the host's newest robots row, if it is younger than a day: one row for each row of urls, however many captures a host has."""
+    cache = robots.groupBy(F.col("host").alias("_h")).agg(F.max_by(F.struct("body", "fetched_at"), F.struct("fetched_at", "body")).alias("_r")).where(F.col("_r.fetched_at") > now - F.make_interval(hours=F.lit(hours)))
+    return urls.join(cache, U.host_of(F.col("url")) == F.col("_h"), "left").select(*[urls[c] for c in urls.columns], "_r.body", "_r.fetched_at")
+
+
+def robots_as_of(urls: DataFrame, robots: DataFrame, at: Column, hours: int = 24, salts: int = 8) -> DataFrame:
+    """JOI8 at other times than now: an as-of join of each row of urls with the newest robots row of its host (body, fetched_at) that isn't newer than `at`, a column of urls, if it is younger than `hours`.
+
+    Times of both sides are put in order and the last robots time is carried on, within a host's stretch of `hours`: a robots time counts in its own stretch and the next one. Rows of urls
+    are dealt to `salts` groups a stretch, so a busy host is many tasks; times alone are sorted, bodies join the rows that they answer."""
+    size = hours * 3_600_000_000
+    stretch = F.floor(F.col("_at") / size)
+    asked = urls.select(F.struct(*urls.columns).alias("_row"), U.host_of(F.col("url")).alias("_host"), F.unix_micros(at).alias("_at"), F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("_salt"))
+    times = robots.select(F.col("host").alias("_host"), F.unix_micros("fetched_at").alias("_at")).distinct()
+    every = times.select("_host", "_at", F.explode(F.array(stretch, stretch + 1)).alias("_stretch")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = asked.withColumn("_stretch", stretch).withColumn("_own", F.lit(None).cast("long")).unionByName(every.withColumn("_own", F.col("_at")), allowMissingColumns=True)
+    w = Window.partitionBy("_host", "_stretch", "_salt").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_own", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+    found = found.withColumn("_last", F.when(F.col("_at") - F.col("_last") < size, F.col("_last")))
+    bodies = robots.groupBy(F.col("host").alias("_h"), "fetched_at").agg(F.max("body").alias("body"))
+    return found.join(bodies, (F.col("_host") == F.col("_h")) & (F.col("_last") == F.unix_micros("fetched_at")), "left").select("_row.*", "body", "fetched_at")
 
 
 def is_ready(now: Column) -> Column:

@@ -362,10 +362,65 @@ def breadcrumb(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("url"), F.lit(None).cast("string").alias("parent_url"), F.col("r_name").alias("title"))
     n = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("url"), key("r", "n_regionkey").alias("parent_url"), F.col("n_name").alias("title"))
     s = table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("url"), key("n", "s_nationkey").alias("parent_url"), F.col("s_name").alias("title"))
-    out = freshness.breadcrumbs(r.unionByName(n).unionByName(s), 4)
+    out = freshness.breadcrumbs(r.unionByName(n).unionByName(s))
     return out.where(F.col("url").startswith("s")).select("title", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
 
 
+def page_graph(spark, sf_dir):
+    """A site of all pages by their numbers, each with links down, back, across and to itself, some of them twice or to pages that aren't there: page_id, url, links."""
+    n = F.col("page_id")
+    targets = F.array(2 * n + 1, F.floor(n / 2).cast("long"), 2 * n + 2, n * 7 % 1009, n, 2 * n + 1, n + 100)
+    at = lambda x: F.concat(F.lit("https://site.example/"), x.cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", at(n).alias("url"), F.array_distinct(F.transform(targets, at)).alias("links"))
+
+
+GRAPH_SQL = """n AS (SELECT page_id, 'https://site.example/' || page_id AS url FROM pages),
+o AS (SELECT url, unnest([2 * page_id + 1, page_id // 2, 2 * page_id + 2, page_id * 7 % 1009, page_id, 2 * page_id + 1, page_id + 100]) AS target, unnest(range(7)) AS place FROM n),
+f AS (SELECT url, 'https://site.example/' || target AS link, min(place) AS place FROM o GROUP BY ALL),
+links AS (SELECT url, link, row_number() OVER (PARTITION BY url ORDER BY place) - 1 AS pos FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, seed AS (SELECT url FROM n WHERE page_id % 50 = 0),
+r AS (SELECT url, 0 AS depth FROM seed UNION SELECT l.link, r.depth + 1 FROM r JOIN links l ON l.url = r.url WHERE r.depth < 5)
+SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
+def crawl_to_depth_five(spark, sf_dir):
+    """JOI13, FLT3: what a crawl reaches from every fiftieth page in five levels, each page where it is found first."""
+    pages = materialised(page_graph(spark, sf_dir))
+    return frontier.crawl_levels(pages.where("page_id % 50 = 0").select("url"), pages.select("url", "links"), 5)
+
+
+def tree_sql(levels: int, level_most: int, pages_most: int, per_parent: int) -> str:
+    """The tree of a site, a level at a time: links to new pages, each where it is found first, parents taking turns."""
+    out = "t0 AS (SELECT url, 0 AS depth, NULL::VARCHAR AS parent_url, 0 AS position FROM root)"
+    for d in range(1, levels + 1):
+        out += f""", u{d} AS (SELECT t.url AS parent_url, t.position AS parent_pos, l.pos, l.link FROM t{d - 1} t JOIN links l ON l.url = t.url WHERE t.depth = {d - 1} AND l.link NOT IN (SELECT url FROM t{d - 1}) QUALIFY row_number() OVER (PARTITION BY l.link ORDER BY t.position, l.pos) = 1),
+c{d} AS (SELECT *, row_number() OVER (PARTITION BY parent_pos ORDER BY pos) AS rn FROM u{d} QUALIFY rn <= {per_parent if d > 1 else 1 << 30}),
+p{d} AS (SELECT *, row_number() OVER (ORDER BY rn, parent_pos) AS turn FROM c{d} QUALIFY turn <= least({level_most}, {pages_most} - (SELECT count(*) FROM t{d - 1}))),
+t{d} AS (SELECT * FROM t{d - 1} UNION ALL SELECT link, {d}, parent_url, (turn + (SELECT count(*) FROM t{d - 1}) - 1)::INTEGER FROM p{d})"""
+    return out
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, root AS (SELECT url FROM n ORDER BY page_id LIMIT 1), {tree_sql(5, 100, 90, 6)},
+i AS (SELECT t5.*, page_id, CASE WHEN page_id IS NOT NULL AND page_id % 5 <> 0 THEN 'T' || page_id ELSE t5.url END AS title FROM t5 LEFT JOIN n ON n.url = t5.url),
+b AS (SELECT url, title AS breadcrumb FROM i WHERE parent_url IS NULL UNION ALL SELECT i.url, b.breadcrumb || ' > ' || i.title FROM i JOIN b ON i.parent_url = b.url)
+SELECT i.url, i.depth::INTEGER AS depth, i.parent_url, i.position::INTEGER AS position, breadcrumb,
+  strftime(make_timestamp(1000000 * (CASE WHEN page_id % 7 = 0 THEN 1500000000 WHEN page_id % 3 = 0 THEN 1600000000 WHEN page_id % 4 = 0 THEN 1650000000 WHEN page_id % 11 = 0 THEN 1700000000 WHEN page_id % 2 = 0 THEN 1550000000 END + page_id % 1000 * 86400)), '%Y-%m-%d %H:%M:%S') AS modified,
+  CASE WHEN page_id % 7 = 0 THEN 'page' WHEN page_id % 3 = 0 THEN 'sitemap' WHEN page_id % 4 = 0 THEN 'header' WHEN page_id % 11 = 0 THEN 'meta' WHEN page_id % 2 = 0 THEN 'feed' END AS last_modified_source
+FROM i JOIN b ON b.url = i.url""")
+def site_analysis(spark, sf_dir):
+    """FRE1, WIN5-7, JOI1, JOI5, TOP8: the tree of the first page, with titles, breadcrumbs, and dates from the page, the sitemap, the header, the meta tag or the feed."""
+    pages = materialised(page_graph(spark, sf_dir))
+    n = F.col("page_id")
+    day = lambda start: F.timestamp_seconds(start + n % 1000 * 86400)
+    stamp = lambda start: F.date_format(day(start), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    root = pages.orderBy("page_id").limit(1).select("url")
+    known = pages.select("url", F.when(n % 5 != 0, F.concat(F.lit("T"), n)).alias("title"), F.when(n % 7 == 0, day(1500000000)).alias("visible_date"), F.when(n % 4 == 0, F.date_format(day(1650000000), "EEE, d MMM yyyy HH:mm:ss 'GMT'")).alias("header_modified"), F.when(n % 11 == 0, stamp(1700000000)).alias("meta_modified"))
+    sitemap = pages.where("page_id % 3 = 0").select("url", stamp(1600000000).alias("lastmod"))
+    feeds = pages.where("page_id % 2 = 0").select("url", stamp(1550000000).alias("updated"))
+    out = freshness.analyze_site(root, pages.select("url", F.posexplode("links").alias("pos", "link")), known, sitemap, feeds)
+    return out.select("url", "depth", "parent_url", "position", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "last_modified_source")
+
+
 @query("""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3""")
 def history_window(spark, sf_dir):
     """WIN1 with a window of three, so that it bites."""

@@ -101,6 +101,16 @@ def robots_verdicts(spark, sf_dir):
     return frontier.robots_allowed(pages, frontier.robots_rules(robots_rows(spark, sf_dir)), "bot").select("page_id", "allowed")
 
 
+@query(rf"""WITH {PARSED_URL}, r AS (SELECT host, 1700000000 + page_id * 7919 % 400000 AS fetched_at, max('Disallow: /' || page_id) AS body FROM p GROUP BY ALL), a AS (SELECT page_id, host, 1700000000 + page_id * 104729 % 500000 AS asked_at FROM p)
+SELECT page_id, CASE WHEN asked_at - fetched_at < 86400 THEN body END AS body FROM a ASOF LEFT JOIN r ON a.host = r.host AND a.asked_at >= r.fetched_at""")
+def robots_as_of(spark, sf_dir):
+    """JOI8: every page is a capture of its host's robots file, and a fetch at another time: it goes by the newest capture before it, of the same day."""
+    at = lambda step, span: F.timestamp_seconds(1700000000 + F.col("page_id") * step % span)
+    p = table(spark, sf_dir, "pages").select("page_id", "url", U.host_of(F.col("url")).alias("host"))
+    robots = p.select("host", at(7919, 400000).alias("fetched_at"), joined("Disallow: /", F.col("page_id")).alias("body"))
+    return frontier.robots_as_of(p.select("page_id", "url", at(104729, 500000).alias("at")), robots, F.col("at")).select("page_id", "body")
+
+
 @query(f"""WITH {ROBOTS_SQL} SELECT page_id, 1700000000 + first_id * 3600 > 1700180000 - 86400 AS usable FROM p JOIN r USING (host)""")
 def robots_cache(spark, sf_dir):
     """JOI8: a host's robots file counts for a day."""

@@ -104,6 +104,41 @@ def test_robots(spark):
     assert {r.sitemap for r in frontier.robots_sitemaps(robots).collect()} == {"https://x.it/s.xml", "https://x.it/sitemap.xml"}
 
 
+def test_rules_meet_the_paths_that_begin_with_them(spark):
+    """Prefixes of all lengths, wildcards, ends and ties against a match of every rule; few rows of a large host's rules are joined."""
+    import re
+
+    rng = np.random.default_rng(9)
+    words = ["a", "ab", "abc", "b", "x.y", "q+", "(z)"]
+    patterns = ["/" + "/".join(rng.choice(words, int(rng.integers(0, 4)))) + rng.choice(["", "/", "*", "*c", "$", "/*/b$"]) for _ in range(120)]
+    rules = [("x.it", "*", bool(rng.integers(0, 2)), p) for p in patterns] + [("y.it", "*", False, "*"), ("y.it", "*", True, "/$"), ("z.it", "*", False, "")]
+    paths = ["/" + "/".join(rng.choice(words, int(rng.integers(0, 5)))) for _ in range(300)]
+    urls = sorted({f"https://{h}{p}" for p in paths for h in ("x.it", "y.it", "w.it")})
+    got = {r.url: r.allowed for r in frontier.robots_allowed(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, "host string, agent string, allow boolean, pattern string")).collect()}
+    as_regex = lambda p: "^" + re.sub(r"([.+?^{}()|\[\]\\])", r"\\\1", p).replace("*", ".*")
+    for u in urls:
+        host, path = u[8:].split("/", 1)
+        own = [(len(p), allow) for h, _, allow, p in rules if h == host and re.search(as_regex(p), "/" + path)]
+        assert got[u] == (max(own)[1] if own else True), u
+
+
+def test_robots_as_of(spark):
+    """Several captures of a host: the newest that isn't newer than the row, less than a day old; one row for each row, repeated ones too."""
+    at = lambda h: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(h) * 3600)
+    captures = [("x.it", 0, "a"), ("x.it", 5, "b"), ("x.it", 5, "a"), ("x.it", 40, "c"), ("y.it", 3, "d"), (None, 1, "e")]
+    asked = [("https://x.it/1", h) for h in (-1, 0, 4, 5, 28, 29, 39, 40, 63, 64)] + [("https://x.it/1", 4), ("https://y.it/", 4), ("https://z.it/", 4), (None, 4)]
+    robots = spark.createDataFrame(captures, "host string, h int, body string").select("host", at("h").alias("fetched_at"), "body")
+    urls = spark.createDataFrame(asked, "url string, h int")
+    got = sorted((str(r.url), r.h, r.body) for r in frontier.robots_as_of(urls, robots, at("h")).collect())
+    want = []
+    for u, h in asked:
+        own = [(t, b) for host, t, b in captures if u and host == u[8:12] and t <= h < t + 24]
+        want.append((str(u), h, max(own)[1] if own else None))
+    assert got == sorted(want, key=lambda x: (x[0], x[1]))
+    now = frontier.fresh_robots(urls, robots, F.timestamp_seconds(F.lit(1_700_000_000 + 41 * 3600))).collect()
+    assert sorted((str(r.url), r.body) for r in now) == sorted((str(u), "c" if u and "x.it" in u else None) for u, _ in asked)
+
+
 def test_crawl_levels_and_insert(spark):
     pages = spark.createDataFrame([("a", ["b", "c"]), ("b", ["a", "d"]), ("d", ["e"]), ("e", ["f"])], "url string, links array<string>")
     got = {r.url: r.depth for r in frontier.crawl_levels(spark.createDataFrame([("a",)], "url string"), pages, 2).collect()}
@@ -243,6 +278,21 @@ def test_site_tree_takes_turns_and_caps_levels(spark):
     assert sorted(r.position for r in tree) == list(range(len(tree)))
 
 
+def test_breadcrumbs_of_any_depth(spark):
+    """A chain of 1,000 pages, a forest of random depth, and lines that end in cycles of several lengths, against a walk."""
+    rng = np.random.default_rng(8)
+    up = {f"c{i}": f"c{i - 1}" if i else None for i in range(1000)}
+    up |= {f"t{i}": f"t{int(rng.integers(0, i))}" if i and rng.random() < 0.98 else None for i in range(400)}
+    up |= {"s": "s", "p": "q", "q": "p", **{f"y{i}": f"y{(i + 1) % 7}" for i in range(7)}, "in": "y3", "in2": "in", "lost": "nowhere"}
+    got = {r.url: r.breadcrumb for r in freshness.breadcrumbs(spark.createDataFrame([(u, p, u.upper()) for u, p in up.items()], "url string, parent_url string, title string")).collect()}
+    for u in up:
+        line = [u]
+        while (p := up.get(line[-1])) in up and p not in line:
+            line.append(p)
+        assert got[u] == [x.upper() for x in reversed(line)], u
+    assert len(got["c999"]) == 1000
+
+
 def test_breadcrumbs_survive_a_cycle(spark):
     tree = spark.createDataFrame([("r", None, "R"), ("a", "r", "A"), ("b", "a", "B"), ("x", "y", "X"), ("y", "x", "Y")], "url string, parent_url string, title string")
     got = {r.url: r.breadcrumb for r in freshness.breadcrumbs(tree).collect()}
@@ -325,11 +375,19 @@ def test_site_analysis_puts_tree_dates_and_breadcrumbs_together(spark):
     ]
 
 
+def round_robin(links, per_parent):
+    """WIN6, WIN7 without a cut before the turns are counted."""
+    w = freshness.Window
+    unique = links.withColumn("n", F.row_number().over(w.partitionBy("link").orderBy("parent_pos", "pos"))).where("n = 1")
+    capped = unique.withColumn("rn", F.row_number().over(w.partitionBy("parent_pos").orderBy("pos"))).where(F.col("rn") <= per_parent)
+    return capped.withColumn("turn", F.row_number().over(w.partitionBy(F.lit(0)).orderBy("rn", "parent_pos")))
+
+
 def test_levels_of_a_tree_are_cut_before_their_turns_are_counted(spark):
     rows = [(p, i, f"l{p}-{i}" if i % 3 else "shared") for p in range(5) for i in range(30)]
     df = spark.createDataFrame(rows, "parent_pos int, pos int, link string")
     for per, room in ((6, 11), (3, 100), (1 << 30, 20)):
-        whole = {(r.link, r.turn) for r in freshness.round_robin(df, per).where(F.col("turn") <= room).collect()}
+        whole = {(r.link, r.turn) for r in round_robin(df, per).where(F.col("turn") <= room).collect()}
         assert {(r.link, r.turn) for r in freshness.first_turns(df, per, room).collect()} == whole
 
 
