@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources.shared import materialised
+from .totals import within
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # What isn't content, which blocks make the text, where an article stands.
@@ -243,8 +244,7 @@ def collected(pages: DataFrame, key: str, order: str, *, most: int = 10, chars:
     few = firsts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     listed = few.groupBy(key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.struct("_n", "value")))), lambda x: x["value"]).alias(n) for n in found])
     # texts likewise: each page's length alone says how far the first `chars` characters reach
-    so_far = F.coalesce(F.sum(F.length("content") + 1).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    texts = rows.select(key, order, "content").withColumn("_before", so_far).where(F.col("_before") < chars)
-    joined = texts.groupBy(key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), " "), 1, chars).alias("text_content"))
+    texts = within(rows.select(key, order, F.coalesce("content", F.lit("")).alias("content")), key, order, "content", chars - 1, between=1)
+    joined = texts.groupBy(key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_before", "content"))), lambda x: x["content"]), " "), 1, chars).alias("text_content"))
     out = joined.join(listed, key, "left")
     return out.select(key, *[F.coalesce(n, none).alias(n) for n in found], "text_content")

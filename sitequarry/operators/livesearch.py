@@ -10,6 +10,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions.urls import slug
 from ..sources.shared import materialised, new_folder
+from .totals import within
 
 NOTHING_FOUND = "Nessuna informazione trovata sui siti configurati."
 
@@ -108,12 +109,10 @@ def page_block(p: str = "") -> Column:
     )
 
 
-def live_context(ranked: DataFrame, most: int = 14000) -> DataFrame:
-    """WIN9: rows (query_id, position, block): a block is in if what stands before it is shorter than `most`."""
-    w = Window.partitionBy("query_id").orderBy("position")
-    before = F.coalesce(F.sum(F.length("block")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = ranked.withColumn("_before", before).where(F.col("_before") < most)
-    return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n").alias("context"), F.count("*").alias("pages"))
+def live_context(ranked: DataFrame, most: int = 14000, few: bool = False) -> DataFrame:
+    """WIN9: rows (query_id, position, block): a block is in if what stands before it is shorter than `most`. few: see totals.within."""
+    kept = within(ranked.select("query_id", "position", "block"), "query_id", "position", "block", most - 1, few=few)
+    return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_before", "block"))), lambda x: x["block"]), "\n").alias("context"), F.count("*").alias("pages"))
 
 
 def context_lists(pages: DataFrame, results: DataFrame, most_results: int = 6, most_pages: int = 40, link_pages: int = 10, links_each: int = 3) -> DataFrame:
@@ -142,7 +141,7 @@ def search_pages(queries: DataFrame, documents: DataFrame, most: int = 60) -> Da
     kept = early_stop(rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "position")
     ranked = kept.withColumn("position", F.row_number().over(w)).select("query_id", "root", "url", "position")
-    found = live_context(ranked.join(held.select("root", "url", page_block().alias("block")), ["root", "url"]))
+    found = live_context(ranked.join(held.select("root", "url", page_block().alias("block")), ["root", "url"]), few=True)  # `most` pages of a question at most
     return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", "query", F.coalesce("context", F.lit(NOTHING_FOUND)).alias("context"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 

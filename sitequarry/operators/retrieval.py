@@ -15,6 +15,7 @@ from ..functions.scoring import LICENCE, boost_of, closeness, length_bonus, low_
 from ..functions.urls import let
 from ..sources.shared import materialised, new_folder
 from .dedup import best_of
+from .totals import within
 
 
 def unit(vector: Column) -> Column:
@@ -256,19 +257,17 @@ def block_text(title: Column, url: Column, text: Column) -> Column:
     return F.concat(F.lit("\n"), part("TITOLO", title), F.lit("\n\n"), part("URL", url), F.lit("\n\n"), part("CONTENUTO", text), F.lit("\n\n" + "─" * 28 + "\n"))
 
 
-def pack_context(rows: DataFrame, key: str, order: str, block: str, most: int = 16000, least_rest: int = 200) -> DataFrame:
+def pack_context(rows: DataFrame, key: str, order: str, block: str, most: int = 16000, least_rest: int = 200, few: bool = False) -> DataFrame:
     """WIN8: for each key, the blocks that fit in order; the first that doesn't is cut at its last line break if more than
-    least_rest characters are left; then it ends. Columns: key, context, blocks."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.coalesce(F.sum(F.length(block)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = rows.select(key, order, block).withColumn("_before", before).withColumn("_over", (F.col("_before") + F.length(block) > most).cast("int"))
-    sized = sized.withColumn("_overs", F.sum("_over").over(w)).where((F.col("_overs") == 0) | ((F.col("_overs") == 1) & (F.col("_over") == 1)))
+    least_rest characters are left; then it ends. Columns: key, context, blocks. few: see totals.within."""
+    sized = within(rows.select(key, order, block), key, order, block, most, few=few)  # those that fit, and the first that doesn't
+    over = F.coalesce(F.col("_before") + F.length(block) > most, F.lit(False))
     rest = most - F.col("_before")
     partial = F.substring(F.col(block), F.lit(1), rest.cast("int"))
     up_to_break = F.when(partial.contains("\n"), F.regexp_replace(partial, r"\n[^\n]*\z", "")).otherwise("")
-    kept = F.when(F.col("_over") == 0, F.col(block)).when(rest > least_rest, up_to_break).otherwise("")
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), kept.alias("t"))))
-    grouped = sized.groupBy(key).agg(parts.alias("_parts"), F.sum(1 - F.col("_over")).alias("blocks"))
+    kept = F.when(~over, F.col(block)).when(rest > least_rest, up_to_break).otherwise("")
+    parts = F.array_sort(F.collect_list(F.struct("_before", F.col(order).alias("o"), kept.alias("t"))))
+    grouped = sized.groupBy(key).agg(parts.alias("_parts"), F.count_if(~over & F.col(block).isNotNull()).alias("blocks"))
     return grouped.select(key, F.regexp_replace(F.array_join(F.transform("_parts", lambda p: p["t"]), ""), r"^\s+|\s+$", "").alias("context"), "blocks")
 
 
@@ -294,7 +293,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, overfetch: int
     rows = asked.join(prepared(chunks), "chunk_id").select("query_id", "chunk_id", "title", "url", "key", score.alias("score"))
     ranked = materialised(best_chunks(rows, k))
     blocks = ranked.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", block_text(F.col("title"), F.col("url"), F.col("text")).alias("block")), "chunk_id")
-    context = pack_context(blocks, "query_id", "rank", "block", most)
+    context = pack_context(blocks, "query_id", "rank", "block", most, few=True)
     best = citations(ranked)
     cited = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "score"))).alias("citations"))
     out = queries.select("query_id", "query").join(context, "query_id", "left").join(cited, "query_id", "left").join(confidences(queries, best).drop("cited"), "query_id")

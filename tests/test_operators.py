@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitequarry.operators import chunking, conversations, dedup, freshness, frontier, html, livesearch, monitoring, registry, retrieval
+from sitequarry.operators import chunking, conversations, dedup, freshness, frontier, html, livesearch, monitoring, registry, retrieval, totals
 from sitequarry.sources import readers
 
 PAGE = """<html lang="it"><head><title></title><meta property="og:description" content="d"><link rel="canonical" href="/c/"></head><body>
@@ -217,6 +217,22 @@ def test_index_reads_the_cells_it_needs_and_takes_more_rows(spark, tmp_path):
     assert key(again.nearest(q, 5, 0.2)) == key(index.nearest(q, 5, 0.2))
 
 
+def test_running_totals_on_two_levels(spark):
+    """The same rows as one window for each key: a key with half of all rows in several ranges, equal rows, rows of one place, null keys, orders and texts, empty texts."""
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 2 else f"k{i % 7}" if i % 5 else None, int(rng.integers(0, 400)) if i % 11 else None, None if i % 13 == 0 else "x" * int(rng.integers(0, 9)) + str(i % 17), i) for i in range(3000)]
+    rows += [("hot", 1, "same", -1)] * 5 + [("one", 1, "y" * 500, -2), ("one", 2, "z", -3)]
+    df = spark.createDataFrame(rows, "k string, o int, t string, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most, between in ((300, 0), (299, 1), (10**6, 2), (0, 0)):
+            got, want = (sorted(map(str, totals.within(df, "k", "o", "t", most, between, few).drop("i").collect())) for few in (False, True))
+            assert got == want and len(got) >= 5
+        assert totals.within(df.limit(0), "k", "o", "t", 10).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_context_ends_with_the_first_block_that_does_not_fit(spark):
     rows = [("q", 1, "a" * 60 + "\n"), ("q", 2, "b" * 20 + "\n" + "c" * 50 + "\n"), ("q", 3, "d\n"), ("r", 1, "e" * 300)]
     got = {r.k: (r.context, r.blocks) for r in retrieval.pack_context(spark.createDataFrame(rows, "k string, o int, b string"), "k", "o", "b", 100, 20).collect()}
