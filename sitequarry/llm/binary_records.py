@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections import OrderedDict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .tokens import public_path
 FILES = "part int, file string, records long, tokens long, bytes long"
 HEAD, LENGTH = 16, 12  # bytes of a payload before its token ids, of a frame before its payload
 FRAME = LENGTH + 4
-ENTRY = 16  # bytes of an index entry
+ENTRY = 16  # bytes of an index entry: offset and length of a frame
 MASK = 0xFFFFFFFF
 
 
@@ -138,36 +139,74 @@ class Crc32c:
                 state = own ^ s[0][state & 0xFF] ^ s[1][state >> 8 & 0xFF] ^ s[2][state >> 16 & 0xFF] ^ s[3][state >> 24]
         return state ^ MASK
 
-    def masked(self, data: bytes) -> int:
-        """Rotated and shifted, so that a checksum of data that holds checksums stays a good one."""
-        crc = self(data)
-        return ((crc >> 15 | crc << 17) + 0xA282EAD8) & MASK
+    def several(self, parts: list[bytes]) -> list[int]:
+        """Of each of some records, by one pass over the chunks of all; one that is large by itself, or very short, goes alone."""
+        lengths = np.array([len(x) for x in parts])
+        if len(parts) < 2 or lengths.min() < 64 or lengths.sum() > 4 << 20:
+            return [self(x) for x in parts]
+        chunks = -(-lengths // self.chunk)
+        ends = np.cumsum(chunks) * self.chunk
+        padded = np.zeros(ends[-1], np.uint8)
+        for data, start, end in zip(parts, (ends - lengths).tolist(), ends.tolist()):
+            padded[start:end] = np.frombuffer(data, np.uint8)
+        padded[((ends - lengths)[:, None] + np.arange(4)).ravel()] ^= 0xFF
+        places = padded.reshape(-1, self.chunk).astype(np.intp)
+        places += self.start
+        own = iter(np.bitwise_xor.reduce(self.flat.take(places), axis=1).tolist())
+        s, out = self.shift, []
+        for n in chunks.tolist():
+            state = 0
+            for x in islice(own, n):
+                state = x ^ s[0][state & 0xFF] ^ s[1][state >> 8 & 0xFF] ^ s[2][state >> 16 & 0xFF] ^ s[3][state >> 24]
+            out.append(state ^ MASK)
+        return out
+
+
+def masked(crc: int) -> int:
+    """Rotated and shifted, so that a checksum of data that holds checksums stays a good one."""
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & MASK
 
 
-def framed(payload: bytes, crc: Crc32c) -> bytes:
-    length = struct.pack("<Q", len(payload))
-    return b"".join((length, struct.pack("<I", crc.masked(length)), payload, struct.pack("<I", crc.masked(payload))))
+def framed(payloads: list[bytes], crc: Crc32c) -> list[bytes]:
+    lengths = [struct.pack("<Q", len(p)) for p in payloads]
+    return [b"".join((n, struct.pack("<I", masked(crc(n))), p, struct.pack("<I", masked(own)))) for n, p, own in zip(lengths, payloads, crc.several(payloads))]
 
 
 def payload_length(head: bytes, crc: Crc32c) -> int | None:
     """The length that a frame begins with, or None where it isn't to be trusted."""
-    whole = len(head) == LENGTH and struct.unpack_from("<I", head, 8)[0] == crc.masked(head[:8])
+    whole = len(head) == LENGTH and struct.unpack_from("<I", head, 8)[0] == masked(crc(head[:8]))
     return struct.unpack_from("<Q", head)[0] if whole else None
 
 
-def unframed(frame: bytes, crc: Crc32c, where: str) -> bytes:
-    """The payload of a whole frame."""
-    payload = frame[LENGTH:-4]
-    if payload_length(frame[:LENGTH], crc) != len(frame) - FRAME:
-        raise ValueError(f"bad length of the record at {where}")
-    if struct.pack("<I", crc.masked(payload)) != frame[-4:]:
-        raise ValueError(f"bad checksum of the record at {where}")
-    return payload
+def unframed(frames: list[bytes], crc: Crc32c, where: list[str]) -> list[bytes]:
+    """The payloads of whole frames."""
+    for frame, place in zip(frames, where):
+        if payload_length(frame[:LENGTH], crc) != len(frame) - FRAME:
+            raise ValueError(f"bad length of the record at {place}")
+    payloads = [frame[LENGTH:-4] for frame in frames]
+    for own, frame, place in zip(crc.several(payloads), frames, where):
+        if struct.pack("<I", masked(own)) != frame[-4:]:
+            raise ValueError(f"bad checksum of the record at {place}")
+    return payloads
+
+
+def grouped(rows, size_of, rows_each: int = 256, bytes_each: int = 1 << 20):
+    """Lists of a few rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if len(held) == rows_each or size >= bytes_each:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def entry(offset: int, length: int) -> bytes:
-    """A frame's place, as the index has it."""
-    return struct.pack("<QQ", offset, length)
+def entries(offset: int, frames: list[bytes]) -> bytes:
+    """The places of frames that follow one another, as the index has them."""
+    lengths = np.array([len(f) for f in frames], "<i8")
+    return np.stack([offset + np.cumsum(lengths) - lengths, lengths], axis=1).tobytes()
 
 
 def serialized(doc_id: int | None, ids: bytes, width: int) -> bytes:
@@ -237,11 +276,11 @@ class RecordFiles:
                 for batch in batches:
                     for path, start, count in zip(*[c.to_pylist() for c in batch.columns]):
                         n = 0
-                        for offset, frame in frames(path, crc):
-                            doc_id, ids = parsed(unframed(frame, crc, f"{path}:{offset}"))
-                            wide = _ids(ids)
-                            yield (doc_id, start, len(ids), zlib.crc32(wide), wide)[: len(kinds)]
-                            start, n = start + len(ids), n + 1
+                        for some in grouped(frames(path, crc), lambda x: len(x[1])):
+                            for doc_id, ids in map(parsed, unframed([f for _, f in some], crc, [f"{path}:{at}" for at, _ in some])):
+                                wide = _ids(ids)
+                                yield (doc_id, start, len(ids), zlib.crc32(wide), wide)[: len(kinds)]
+                                start, n = start + len(ids), n + 1
                         if n != count:
                             raise ValueError(f"{path} has {n} records, {count} were written")
 
@@ -284,7 +323,7 @@ class RecordFiles:
                             if len(opened) > open_files:
                                 opened.popitem(last=False)[1].close()
                         opened.move_to_end(path)
-                        doc_id, ids = parsed(unframed(opened[path].read_at(length, offset), crc, f"{path}:{offset}"))
+                        doc_id, ids = parsed(unframed([opened[path].read_at(length, offset)], crc, [f"{path}:{offset}"])[0])
                         yield doc_id, _ids(ids)
 
             yield from _batches(rows(), {"doc_id": pa.int64(), "ids": pa.binary()})
@@ -317,12 +356,13 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
             batch = first
             while batch is not None:
                 texts = (value.as_py() for value in batch.column(1))
-                for doc_id, ids in zip(batch.column(0), bpe.packed(texts)):
-                    ids += last
-                    frame = framed(serialized(doc_id.as_py(), ids, bpe.kind.itemsize), crc)
-                    out.write(frame)
-                    index.write(entry(offset, len(frame)))
-                    offset, records, tokens = offset + len(frame), records + 1, tokens + len(ids) // bpe.kind.itemsize
+                payloads = (serialized(doc_id.as_py(), ids + last, bpe.kind.itemsize) for doc_id, ids in zip(batch.column(0), bpe.packed(texts)))
+                for some in grouped(payloads, len):
+                    own = framed(some, crc)
+                    out.write(b"".join(own))
+                    index.write(entries(offset, own))
+                    offset, records = offset + sum(map(len, own)), records + len(own)
+                    tokens += sum(len(p) - HEAD for p in some) // bpe.kind.itemsize
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "records": records, "tokens": tokens, "bytes": offset}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 

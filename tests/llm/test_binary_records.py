@@ -95,7 +95,7 @@ def test_index_and_shuffled_reads(spark, documents, tmp_path):
     e = got.index().where("number = 1").first()
     with open(e.file, "rb") as f:
         f.seek(e.offset)
-        doc_id, ids = records.parsed(records.unframed(f.read(e.length), records.Crc32c(), "here"))
+        doc_id, ids = records.parsed(records.unframed([f.read(e.length)], records.Crc32c(), ["here"])[0])
     assert crc(ids) == {r.doc_id: r.ids_crc32 for r in got.records().collect()}[doc_id]
     orders = [[r.doc_id for r in got.shuffled(seed).orderBy("place").collect()] for seed in (1, 1, 2)]
     assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) == sorted(r.doc_id for r in documents.collect()) != orders[0]
@@ -138,5 +138,7 @@ def test_checksum_and_framing():
         for b in data:
             state = (state >> 8) ^ crc32c.byte[(state ^ b) & 0xFF]
         assert crc32c(data) == state ^ 0xFFFFFFFF
-    frame = records.framed(b"abc", crc32c)
-    assert frame[:8] == struct.pack("<Q", 3) and frame[12:15] == b"abc" and len(frame) == records.FRAME + 3 and records.unframed(frame, crc32c, "") == b"abc"
+    parts = [rng.bytes(n) for n in (64, 4000, 511, 512, 100)]
+    assert crc32c.several(parts) == [crc32c(p) for p in parts] and crc32c.several([b"a", b""]) == [crc32c(b"a"), 0]
+    frame = records.framed([b"abc"], crc32c)[0]
+    assert frame[:8] == struct.pack("<Q", 3) and frame[12:15] == b"abc" and len(frame) == records.FRAME + 3 and records.unframed([frame], crc32c, [""]) == [b"abc"]
