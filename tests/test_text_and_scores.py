@@ -56,6 +56,10 @@ def test_formatting(spark):
     assert html("• **Tel.**: 0521 82-32") == '• <strong>Tel.</strong>: <a href="tel:05218232" class="chatbot__entity chatbot__entity--phone" title="Chiama">0521 82-32</a>'
     assert html("Indirizzo: Piazza è, 1 (B)\nvedi: https://x.it") == f'Indirizzo: <a href="https://www.google.com/maps/search/?api=1&query=Piazza%20%C3%A8%2C%201%20(B)"{outside} class="chatbot__entity chatbot__entity--address" title="Apri su Google Maps">Piazza è, 1 (B)</a><br>vedi: <a href="https://x.it"{outside}>https://x.it</a>'
     assert html("L'indirizzo: via x") == "L'indirizzo: via x"
+    link = lambda u: f'<a href="{u}"{outside}>{u}</a>'
+    assert html("**vedi https://x.it e a@b.it** [u@x.it](mailto:u@x.it)") == f'<strong>vedi {link("https://x.it")} e {mail("a@b.it")}</strong> {mail("u@x.it")}'
+    assert html("Sede: Via A, 1 [mappa](https://m.it) fine").endswith(f'Via A, 1</a>{link("https://m.it")} fine') and html("Sede: https://x.it") == f"Sede: {link('https://x.it')}"
+    assert html("a ** b\n\n[x](ftp://y) #z\n####### t") == "a ** b<br><br>[x](ftp://y) #z<br>####### t" and html("") == "" and html(None) is None
     assert one(spark, T.cut(F.col("t"), 3), t="abcd") == "abc..." and one(spark, T.cut(F.col("t"), 4), t="abcd") == "abcd"
     assert one(spark, T.clamped_number(F.col("t")), t="score 1.7!") == 1.0 and one(spark, T.clamped_number(F.col("t")), t="none") is None
     assert one(spark, T.backoff_ms(F.col("n")), n=3) == 8000 and one(spark, T.backoff_ms(F.col("n")), n=30) == 1_800_000
