@@ -25,6 +25,7 @@ REMOVED_TAGS = frozenset("script style noscript iframe svg canvas template nav h
 REMOVED_ROLES = frozenset("navigation banner contentinfo".split())
 REMOVED_CLASSES = frozenset("cookie cookies cookie-banner cookie-consent nav navbar menu sidebar breadcrumb breadcrumbs ads advertisement social-share share-buttons popup".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li td th dt dd".split())
+REMOVED_IDS = frozenset("cookie cookie-banner".split())
 CONTAINER_TAGS, CONTAINER_NAMES = frozenset("main article section".split()), frozenset("content main-content".split())
 UTILITY_TITLES = ("accedi", "login", "log in", "sign in", "signin", "esci", "logout", "log out", "cerca", "search", "ricerca")
 
@@ -34,18 +35,76 @@ PARSED = (
 )
 
 
+TREE_TAGS = frozenset("body article main section div td blockquote form ul ol table dl".split())
+
+
+class TextTree:
+    """The blocks of a page with their own text: where most of it stands densely, and little of it in links, is the article (HTM3).
+
+    A block's density is what it says outside links less three times what it says inside, plus as much again for its paragraphs, less a charge for each block; sums over subtrees find where
+    to cut: the subtree of the greatest sum is the article, of equal ones the innermost. Lists of teasers and menus have negative densities, so an ancestor that gathers them loses to the block that is text alone."""
+
+    def __init__(self, charge: int = 80, least: int = 140, marked: int = 50):
+        self.charge, self.least, self.marked = charge, least, marked
+        self.parent: list[int] = []
+        self.plain: list[int] = []
+        self.linked: list[int] = []
+        self.prose: list[int] = []
+        self.parts: list[tuple[int, str]] = []
+        self.tags: list[str] = []
+        self.add(0, "")  # the page
+
+    def add(self, parent: int, tag: str) -> int:
+        self.tags.append(tag)
+        self.parent.append(parent)
+        for column in (self.plain, self.linked, self.prose):
+            column.append(0)
+        return len(self.parent) - 1
+
+    def text(self, node: int, data: str, in_link: bool, in_paragraph: bool) -> None:
+        self.parts.append((node, data))
+        size = len(" ".join(data.split()))
+        (self.linked if in_link else self.plain)[node] += size
+        if in_paragraph and not in_link:
+            self.prose[node] += size
+
+    def article(self) -> str | None:
+        """The text of the page's only `article`, if that says anything worth the name, else of the densest subtree, in page order; where none says enough outside links, that of
+        an only `article` or `main` however short; else null."""
+        own = [p - 3 * k + q - self.charge for p, k, q in zip(self.plain, self.linked, self.prose)]
+        total, size = own[:], self.plain[:]
+        for node in range(len(own) - 1, 0, -1):  # children come after their parent
+            total[self.parent[node]] += total[node]
+            size[self.parent[node]] += size[node]
+        marked = next((x for x in ([n for n, t in enumerate(self.tags) if t == tag] for tag in ("article", "main")) if x), [])
+        if len(marked) == 1 and self.tags[marked[0]] == "article" and size[marked[0]] >= self.marked:
+            best = marked[0]
+        else:
+            best = max((n for n in range(len(own)) if size[n] >= self.least and total[n] > 0), key=lambda n: (total[n], n), default=None)
+        if best is None:
+            if len(marked) != 1:
+                return None
+            best = marked[0]
+        inside = {best}
+        for node in range(best + 1, len(own)):
+            if self.parent[node] in inside:
+                inside.add(node)
+        return _flat([text for node, text in self.parts if node in inside]) or None
+
+
 class Page(HTMLParser):
-    """Collects what the columns need while the page streams by. An open element is (tag, whether it is removed, its collectors)."""
+    """Collects what the columns need while the page streams by. An open element is (tag, whether it is removed, its collectors, its node in the tree)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, list[list[str]]]] = []
+        self.open: list[tuple[str, bool, list[list[str]], int]] = []
+        self.tree = TextTree()
         self.within: Counter = Counter()  # open elements by tag
         self.collecting: list[list[str]] = []  # what text goes to, of all open elements
         self.titles, self.h1s, self.meta = [], [], {}
         self.lang = self.canonical = ""
         self.anchors: list[tuple[list[str], str]] = []
-        self.headings, self.blocks, self.containers, self.articles = [], [], [], []
+        self.headings, self.blocks, self.containers = [], [], []
         self.body, self.aside, self.shown = [], [], []
 
     def handle_starttag(self, tag, attrs):
@@ -60,8 +119,8 @@ class Page(HTMLParser):
             return
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             self._end_open(tag)
-        names = set(a.get("class", "").lower().split()) | {a.get("id", "").lower()}
-        removed = self._removed() or tag in REMOVED_TAGS or a.get("role", "").lower() in REMOVED_ROLES or bool(names & REMOVED_CLASSES)
+        classes, name = set(a.get("class", "").lower().split()), a.get("id", "").lower()
+        removed = self._removed() or tag in REMOVED_TAGS or a.get("role", "").lower() in REMOVED_ROLES or bool(classes & REMOVED_CLASSES) or name in REMOVED_IDS
         into: list[list[str]] = []
 
         def collect(where: list, holder=None):
@@ -79,11 +138,11 @@ class Page(HTMLParser):
                 collect(self.headings)
             if tag in TEXT_BLOCKS:
                 collect(self.blocks)
-            if tag in CONTAINER_TAGS or names & CONTAINER_NAMES or a.get("role") == "main":
+            if tag in CONTAINER_TAGS or (classes | {name}) & CONTAINER_NAMES or a.get("role") == "main":
                 collect(self.containers)
-            if tag in ("article", "main"):
-                collect(self.articles)
-        self.open.append((tag, removed, into))
+        parent = self.open[-1][3] if self.open else 0
+        node = self.tree.add(parent, tag) if tag in TREE_TAGS and not removed else parent
+        self.open.append((tag, removed, into, node))
         self.within[tag] += 1
         self.collecting += into
 
@@ -102,7 +161,7 @@ class Page(HTMLParser):
     def _close(self, i: int):
         """Ends the open elements from the i-th on."""
         while len(self.open) > i:
-            tag, _, into = self.open.pop()
+            tag, _, into, _ = self.open.pop()
             self.within[tag] -= 1
             del self.collecting[len(self.collecting) - len(into) :]
 
@@ -122,6 +181,7 @@ class Page(HTMLParser):
             self.shown.append(data)
         if not self._removed():
             self.body.append(data)
+            self.tree.text(self.open[-1][3] if self.open else 0, data, bool(inside["a"]), bool(inside["p"]))
         if inside["nav"] or inside["footer"] or inside["header"] or inside["aside"]:
             self.aside.append(data)
 
@@ -137,7 +197,7 @@ def parse_page(html: str | None) -> dict:
     first = lambda texts: next((x for x in map(_flat, texts) if x), "")
     meta = lambda *names: next((page.meta[n] for n in names if page.meta.get(n)), "")
     boxes = [x for x in map(_flat, page.containers) if len(x) > 50]
-    article = max(map(_flat, page.articles), key=len, default="")
+    article = page.tree.article()
     return {
         "title": first(page.titles[:1]) or first(page.h1s[:1]),
         "description": meta("description", "og:description"),

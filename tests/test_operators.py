@@ -217,6 +217,27 @@ def test_index_reads_the_cells_it_needs_and_takes_more_rows(spark, tmp_path):
     assert key(again.nearest(q, 5, 0.2)) == key(index.nearest(q, 5, 0.2))
 
 
+def test_articles_by_density_and_what_is_removed():
+    """HTM1, HTM3: pages without an article tag, with a short one, with five teasers, in a section or a table cell, lists of links; ids that look like removed classes stay."""
+    prose = "Il comune informa che gli uffici restano aperti, come di consueto, per tutta la settimana. " * 4
+    paragraphs = "".join(f"<p>{prose}{i}</p>" for i in range(3))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Voce del menu numero {i}</a></li>" for i in range(30)) + "</ul>"
+    teasers = "".join(f"<article><h2><a href=/{i}>Notizia numero {i} del giorno</a></h2><p>Breve testo di richiamo.</p></article>" for i in range(5))
+    flat = lambda x: " ".join((x or "").split())
+    article = lambda body: flat(html.parse_page(f"<html><body>{body}</body></html>")["article_text"])
+    want = flat("".join(f"{prose}{i}" for i in range(3)))
+    for body in (
+        f"<div>{menu}</div><div id=c><h1></h1>{paragraphs}</div><div>Contatti</div>", f"<article>Breve</article><div>{paragraphs}</div>", f"<div>{teasers}</div><section>{paragraphs}</section><div>{menu}</div>",
+        f"<table><tr><td>{menu}</td><td>{paragraphs}</td></tr></table>", f"<main><div>{menu}</div><div>{paragraphs}</div></main>", paragraphs, f"<div><div><div>{paragraphs}</div></div></div>",
+    ):
+        assert article(body) == want, body[:80]
+    assert article(teasers) == "" and article(menu) == "" and article("") == "" and article("<p>corto</p>") == ""
+    both = article(f"<article><div>{paragraphs}</div><section>{paragraphs}</section></article><div>{teasers}</div>")
+    assert both == want + want or both == f"{want} {want}"
+    blocks = lambda body: html.parse_page(body)["block_text"]
+    assert blocks('<div id="menu"><p>Tagliatelle al ragù</p></div>') == "Tagliatelle al ragù" and blocks('<div class="menu"><p>Home</p></div>') == blocks('<div id="cookie"><p>ok</p></div>') == blocks('<div id="cookie-banner"><p>ok</p></div>') == ""
+
+
 def test_running_totals_on_two_levels(spark):
     """The same rows as one window for each key: a key with half of all rows in several ranges, equal rows, rows of one place, null keys, orders and texts, empty texts."""
     rng = np.random.default_rng(2)
