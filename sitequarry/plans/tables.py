@@ -226,11 +226,11 @@ def indexed_hashes(spark, sf_dir):
 
 @query("""SELECT source AS kb_id, count(*) AS chunks FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1""")
 def chunk_deletes(spark, sf_dir):
-    """SNK2, JOI12: the table without the chunks of changed urls."""
-    path, target, rows = new_folder(spark, "chunks"), new_folder(spark, "chunks"), chunk_rows(spark, sf_dir)
+    """SNK2, JOI12: the table without the chunks of changed urls, in place."""
+    path, rows = new_folder(spark, "chunks"), chunk_rows(spark, sf_dir)
     writers.append_chunks(rows, path)
-    writers.delete_urls(spark, path, rows.where("doc_id % 4 = 0").select("url"), target)
-    return writers.rows_by_base(spark.read.parquet(target))
+    writers.delete_urls(spark, path, rows.where("doc_id % 4 = 0").select("url"))
+    return writers.rows_by_base(spark.read.parquet(path))
 
 
 @query("""SELECT source AS kb_id, count(*) AS chunks FROM documents WHERE source <> 'src0' GROUP BY 1""")

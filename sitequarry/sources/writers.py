@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import fresh_chunks, without_urls
+from .shared import materialised
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -31,9 +32,40 @@ def append_fresh(chunks: DataFrame, path: str) -> None:
     append_chunks(chunks, path)
 
 
-def delete_urls(spark: SparkSession, path: str, changed: DataFrame, target: str) -> None:
-    """SNK2: the chunk table without the chunks of changed urls, as a table at target (a rename then puts it in place)."""
-    without_urls(spark.read.parquet(path), changed).write.mode("overwrite").partitionBy("kb_id").parquet(target)
+def rewrite_bases(spark: SparkSession, path: str, rows_of, bases: DataFrame) -> None:
+    """Writes the partitions of some bases (kb_id) anew in place, with rows_of(their rows); other partitions' files stay as they are. The new rows are
+    written beside the table before any partition is replaced, since Spark can't read what it overwrites; a base without rows left loses its partition."""
+    table = spark.read.parquet(path)
+    touched = [r.kb_id for r in bases.select("kb_id").distinct().join(table.select("kb_id").distinct(), "kb_id", "left_semi").collect()]  # names of bases that change
+    if not touched:
+        return
+    new = materialised(rows_of(table.where(F.col("kb_id").isin(touched))))
+    left = {r.kb_id for r in new.select("kb_id").distinct().collect()}
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
+    for kb_id in touched:
+        if kb_id not in left:
+            drop_base(spark, path, kb_id)
+
+
+def delete_urls(spark: SparkSession, path: str, changed: DataFrame) -> None:
+    """SNK2, JOI12: the chunks of changed urls go from the table at path, in place: only the partitions that hold some of them are read whole and written."""
+    held = spark.read.parquet(path).join(changed.select("url").distinct(), "url", "left_semi").select("kb_id")
+    rewrite_bases(spark, path, lambda rows: without_urls(rows, changed), held)
+
+
+def upsert_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> None:
+    """SNK5: the rows of chunks replace those of their urls in their bases, in place."""
+    keys = chunks.select("kb_id", "url").distinct()
+    columns = spark.read.parquet(path).columns
+    rewrite_bases(spark, path, lambda rows: rows.join(keys, ["kb_id", "url"], "left_anti").select(*columns).unionByName(chunks.select(*columns)), keys)
+    new = chunks.join(spark.read.parquet(path).select("kb_id").distinct(), "kb_id", "left_anti")
+    append_chunks(new.select(*columns), path)
+
+
+def drop_base(spark: SparkSession, path: str, kb_id: str) -> None:
+    """SNK4: a base's partition goes, in place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kb_id={kb_id}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def rows_by_base(chunks: DataFrame) -> DataFrame:

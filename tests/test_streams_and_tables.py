@@ -103,10 +103,34 @@ def test_content_dedup_in_a_stream(spark):
 
 def test_chunk_tables(spark):
     chunks = spark.createDataFrame([("k", "u1", "h1"), ("k", "u2", "h2"), ("m", "u1", "h1")], "kb_id string, url string, hash string")
-    path, target = folder() + "/t", folder() + "/t2"
+    path = folder() + "/t"
     for _ in range(2):
         writers.append_fresh(chunks, path)
     assert {r.kb_id: r.chunks for r in writers.rows_by_base(spark.read.parquet(path)).collect()} == {"k": 2, "m": 1}
-    writers.delete_urls(spark, path, spark.createDataFrame([("u1",)], "url string"), target)
-    assert [r.url for r in spark.read.parquet(target).collect()] == ["u2"]
+    writers.delete_urls(spark, path, spark.createDataFrame([("u1",)], "url string"))
+    assert [r.url for r in spark.read.parquet(path).collect()] == ["u2"]
     assert writers.without_base(chunks, "k").count() == 1
+
+
+def test_bases_change_in_place(spark):
+    """Deletes, upserts and drops touch the files of their bases only; a base whose rows all go has no partition left; nothing to change changes nothing."""
+    path = folder() + "/t"
+    rows = [(f"k{b}", f"u{u}", f"h{b}{u}") for b in range(4) for u in range(5)]
+    writers.append_chunks(spark.createDataFrame(rows, "kb_id string, url string, hash string").coalesce(1), path)
+    files = lambda: {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    table = lambda: {(r.kb_id, r.url, r.hash) for r in spark.read.parquet(path).collect()}
+    before, urls = files(), lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    writers.delete_urls(spark, path, urls("nowhere"))
+    assert files() == before
+    extra = spark.createDataFrame([("k1", "only", "x")], "kb_id string, url string, hash string")
+    writers.append_chunks(extra, path)
+    writers.delete_urls(spark, path, urls("only"))
+    assert table() == set(rows) and {f: t for f, t in files().items() if "kb_id=k1" not in f} == {f: t for f, t in before.items() if "kb_id=k1" not in f}
+    writers.upsert_chunks(spark, path, spark.createDataFrame([("k2", "u0", "new"), ("k2", "u9", "new"), ("k9", "u0", "new")], "kb_id string, url string, hash string"))
+    assert table() == (set(rows) - {("k2", "u0", "h20")}) | {("k2", "u0", "new"), ("k2", "u9", "new"), ("k9", "u0", "new")}
+    assert {f: t for f, t in files().items() if "kb_id=k0" in f or "kb_id=k3" in f} == {f: t for f, t in before.items() if "kb_id=k0" in f or "kb_id=k3" in f}
+    writers.delete_urls(spark, path, urls("u9", *[f"u{u}" for u in range(5)]))
+    assert not files()
+    writers.append_chunks(extra, path)
+    writers.drop_base(spark, path, "k1")
+    assert not files()
