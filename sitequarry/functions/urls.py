@@ -92,8 +92,8 @@ def origin(p: Column) -> Column:
     return F.concat(p["scheme"], F.lit("://"), F.when(p["user"] != "", F.concat(p["user"], F.lit("@"))).otherwise(""), p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """An href against the page it stands on, absolute but not yet parsed; null if it has another scheme than http(s)."""
+def resolve(href: Column, base: Column, parts: Column | None = None) -> Column:
+    """An href against the page it stands on, absolute but not yet parsed; null if it has another scheme than http(s). parts: parsed(base), if it is at hand for many hrefs."""
 
     def against(b: Column) -> Column:
         h, p = b["h"], b["p"]
@@ -112,7 +112,7 @@ def resolve(href: Column, base: Column) -> Column:
         )
 
     bare = F.regexp_replace(F.regexp_replace(href, f"^{AROUND}|{AROUND}$", ""), "[\t\n\r]", "")
-    return let(F.struct(bare.alias("h"), parsed(base).alias("p")), against)
+    return let(F.struct(bare.alias("h"), (parsed(base) if parts is None else parts).alias("p")), against)
 
 
 def form_decoded(text: Column) -> Column:
@@ -124,8 +124,8 @@ def form_coded(text: Column) -> Column:
     return F.when(text.rlike("[^A-Za-z0-9*._-]"), F.url_encode(text)).otherwise(text)
 
 
-def normalize_url(raw: Column, base: Column | None = None) -> Column:
-    """URL1: the canonical form, null for what can't be a page."""
+def normalize_url(raw: Column, base: Column | None = None, parts: Column | None = None) -> Column:
+    """URL1: the canonical form, null for what can't be a page. parts: parsed(base), if it is at hand."""
 
     def canonical(u: Column) -> Column:
         p = u["p"]
@@ -137,7 +137,7 @@ def normalize_url(raw: Column, base: Column | None = None) -> Column:
         cut = F.when((F.length(p["path"]) > 1) & p["path"].endswith("/"), F.regexp_replace(p["path"], "/$", "")).otherwise(p["path"])
         return F.when(p.isNotNull() & ~binary, F.concat(origin(p), cut, shown))
 
-    return let(F.struct(parsed(raw if base is None else resolve(raw, base)).alias("p")), canonical)
+    return let(F.struct(parsed(raw if base is None else resolve(raw, base, parts)).alias("p")), canonical)
 
 
 def host_of(url: Column) -> Column:

@@ -231,7 +231,7 @@ def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def page_links(hrefs: Column, url: Column) -> Column:
     """HTM10: canonical links, different ones."""
-    return F.array_distinct(F.array_compact(F.transform(hrefs, lambda h: U.normalize_url(h, url))))
+    return U.let(F.struct(U.parsed(url).alias("p")), lambda page: F.array_distinct(F.array_compact(F.transform(hrefs, lambda h: U.normalize_url(h, url, page["p"])))))
 
 
 def site_links(hrefs: Column, url: Column) -> Column:
