@@ -250,10 +250,10 @@ def page_upserts(spark, sf_dir):
 
 
 def link_rows(spark, sf_dir) -> DataFrame:
-    """The hrefs of pages as a crawl finds them: page_id, parent_url, pos, url."""
+    """The hrefs of pages as a crawl finds them: page_id, parent_url, pos, url (absolute, in the characters that the page has)."""
     p = table(spark, sf_dir, "pages")
     hrefs = p.select("page_id", F.col("url").alias("parent_url"), F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    return hrefs.withColumn("url", U.normalize_url(F.col("href"), F.col("parent_url"))).where("url is not null").drop("href")
+    return hrefs.withColumn("url", U.normalize_url(F.col("href"), F.col("parent_url"), coded=False)).where("url is not null").drop("href")
 
 
 LINKS_SQL = rf"""{PARSED_URL}, h AS (SELECT page_id, url AS parent_url, scheme, host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM p),
