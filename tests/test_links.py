@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["new_urls"])
+@pytest.mark.parametrize("name", ["new_urls", "links_of_pages"])
 def test_links_keep_the_characters_of_their_page(spark, tmp_path, name):
     """Letters that aren't ASCII, a space and braces in paths, of pages with and without a link in common."""
     hrefs = [["/Verä", "/a b/"], ["/Verä", "/èé.", "/{x}"], ["/Ver%C3%A4", "/c"], ["/日本/", "/c", "/"]]
