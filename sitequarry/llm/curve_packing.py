@@ -121,7 +121,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         last = np.array([end_id], dtype=bpe.kind).tobytes()
         for whole in batches:
             for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                packed = [bpe.packed(x.as_py()) + last for x in batch.column(1)]
+                packed = [x + last for x in bpe.packed_all(batch.column(1).to_pylist())]
                 yield batch, packed, np.array([curve.point(np.frombuffer(x, bpe.kind)) for x in packed]).reshape(-1, dims)
         del bpe
         give_back()
