@@ -121,8 +121,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         last = np.array([end_id], dtype=bpe.kind).tobytes()
         for whole in batches:
             for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                packed = [x + last for x in bpe.packed_all(batch.column(1).to_pylist())]
-                yield batch, packed, np.array([curve.point(np.frombuffer(x, bpe.kind)) for x in packed]).reshape(-1, dims)
+                packed = bpe.packed_column(batch.column(1), last)
+                yield batch, packed, np.array([curve.point(np.frombuffer(x.as_buffer(), bpe.kind)) for x in packed]).reshape(-1, dims)
         del bpe
         give_back()
 
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         for batch, packed, points in encoded(batches, curve):
             at = key(curve, points, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)) if len(points) else np.zeros(0, np.int64)
             part = np.interp(at, keys, ranks) * parts if len(keys) else np.zeros(len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, parts - 1).astype(np.int32), pa.int32()), pa.array(at, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["part", "place", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, parts - 1).astype(np.int32), pa.int32()), pa.array(at, pa.int64()), batch.column(0), packed.cast(pa.binary())], names=["part", "place", "doc_id", "ids"])
 
     def packed(batches):
         kind = ByteBpe(path, 1).kind

@@ -8,6 +8,8 @@ import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed values of byte-level BPE: how texts are cut into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,43 +59,58 @@ class ByteBpe:
     def _bytes(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype=self.kind).tobytes()
 
-    def _learned(self, words: list[str]) -> dict[str, bytes]:
+    def _learned(self, words: list[str]) -> list[bytes]:
         """The ids of words, none with white space at an end, encoded in one call; a space before each keeps their pieces apart, and the bytes of ids say where a word ends."""
         ids = np.array(self.encode(" " + " ".join(words)), dtype=self.kind)
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.kind.itemsize
         data, at = ids.tobytes(), [0, *cuts.tolist()]
-        return {w: data[a:b] for w, a, b in zip(words, at, at[1:])}
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
-    def packed_all(self, texts: list[str], at_once: int = 500) -> list[bytes]:
+    def packed_all(self, texts: list[str]) -> list[bytes]:
         """packed() of each text, with the words that are new in them encoded together."""
-        words, split, new, ending = self.words, [], set(), set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            got = [*map(words.get, rest)]
-            missed = [(i, rest[i]) for i, x in enumerate(got) if x is None] if None in got else []
-            beside = not text or text[0] == " " or first[-1:].isspace() and rest  # what is cached has no white space at an end
-            if beside or any(not w or w[0].isspace() or w[-1].isspace() and i + 1 < len(rest) for i, w in missed) or any(s in text for s in self.specials):
-                split.append(None)
-                continue
-            for _, w in missed:
-                (ending if w[-1].isspace() else new).add(w)
-            split.append((first, got, missed))
-        plain, found = [*new], {w: self._bytes(" " + w) for w in ending}
-        for at in range(0, len(plain), at_once):
-            found.update(self._learned(plain[at : at + at_once]))
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(self.packed(text))
-                continue
-            first, got, missed = parts
-            for i, w in missed:
-                got[i] = found[w]
-            out.append(self._bytes(first) + b"".join(got))
-        words.update((w, found[w]) for w in plain if len(w) < 32)
+        return self.packed_column(pa.array(texts, pa.string())).to_pylist()
+
+    def packed_column(self, texts: pa.Array, end: bytes = b"", at_once: int = 500) -> pa.Array:
+        """packed() of each text of a column (null: empty) and end, as large_binary. Arrow numbers the words, so each different one is looked up once, what is new is encoded together, and
+        the ids are put together by number."""
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        coded = split.flatten().dictionary_encode()
+        at, number, found = np.array(split.offsets, np.int64), np.array(coded.indices, np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first, last = at[:-1], at[1:] - 1
+        got, new = [*map(self.words.get, found)], []
+        before, behind = np.zeros(len(found), bool), np.zeros(len(found), bool)  # words with white space at that end, which isn't cached
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            w = found[i]
+            if not w or w[0].isspace() or w[-1].isspace():
+                before[i], behind[i], got[i] = not w or w[0].isspace(), w[-1:].isspace(), self._bytes(" " + w)
+            else:
+                new.append(i)
+        for start in range(0, len(new), at_once):
+            some = new[start : start + at_once]
+            for i, ids in zip(some, self._learned([found[i] for i in some])):
+                got[i] = ids
+        begins, ends = before[number], behind[number]
+        begins[first], ends[last] = False, False
+        whole = np.logical_or.reduceat(begins | ends, first)
+        for s in self.specials:
+            whole |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
+        # The first words have no space before them; a text that is encoded whole stands where its first word does.
+        firsts = [self._bytes(found[i]) for i in number[first].tolist()]
+        for i in np.flatnonzero(whole).tolist():
+            firsts[i] = self.packed(texts[i].as_py())
+        none = len(found) + len(firsts)
+        number[np.repeat(whole, last - first + 1)] = none
+        number[first] = len(found) + np.arange(len(firsts))
+        number, at = np.insert(number, at[1:], none + 1), at + np.arange(len(at))
+        ids = pa.array([*got, *firsts, b"", end], pa.large_binary()).take(pa.array(number))
+        self.words.update((found[i], got[i]) for i in new if len(found[i]) < 32)
         self._forget()
-        return out
+        _, bounds, data = ids.buffers()
+        cuts = np.frombuffer(bounds, np.int64)[at + ids.offset]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), data or pa.py_buffer(b"")])
 
     def _forget(self) -> None:
         """Words that came late go, since what is common came early."""
