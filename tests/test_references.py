@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from sitequarry.operators import html
 
-QUERIES = ["chunk_pages", "page_texts"]
+QUERIES = ["chunk_pages", "page_texts", "knowledge_base"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
