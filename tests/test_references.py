@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from sitequarry.operators import html
 
-QUERIES = ["chunk_pages", "page_texts", "knowledge_base"]
+QUERIES = ["chunk_pages", "page_texts", "knowledge_base", "page_raw_texts"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
