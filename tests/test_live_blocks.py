@@ -1,6 +1,10 @@
+import glob
+
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sitequarry.operators import livesearch
+from sitequarry.sources import shared
 
 
 def written(spark, what: str) -> int:
@@ -26,3 +30,13 @@ def test_a_word_of_all_pages_is_not_a_row_for_each_question_and_page(spark):
     assert 0 < written(spark, "shuffleWriteRecords") - begin < 60_000  # of 300,000 pairs
     if hasattr(index, "matches"):
         assert key(index.best(asked, 10, block_pages=400, block_queries=30)) == want
+
+
+def test_pages_are_kept_once_and_without_what_nothing_reads(spark, sf):
+    """live_search parses pages into one table, of the columns that contexts are made of."""
+    folder = lambda: set(glob.glob(f"{shared.shared_folder(spark).removeprefix('file:')}/*"))
+    before = folder()
+    got = {r.query_id: r for r in entry.queries()["live_search"](spark, sf).collect()}
+    kept = [set(spark.read.parquet(f).columns) for f in folder() - before if f.rsplit("/", 1)[1].startswith("table-")]
+    assert len([c for c in kept if "raw_text" in c]) == 1 and not any(c & {"links", "text", "named_links"} for c in kept)
+    assert got and any(r.pages > 0 for r in got.values())
